@@ -262,3 +262,18 @@ def task_projection(spark, sf):
         F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("segment"))
     t = L.task_projection(cust, "segment", keep_key=("c_custkey",))
     return t.groupBy("label").agg(F.count("*").alias("n"), F.sum("c_custkey").cast("bigint").alias("key_sum"))
+
+
+@register("pcap_source", with_ev("""
+SELECT prefix || '.' || user_id || '.' || chunk || '.pcap' AS name, packet_no, CAST(frame_len AS BIGINT) AS caplen,
+       CAST(sport AS INTEGER) AS sport, CAST(plen AS INTEGER) AS payload_len, md5(unhex(frame_hex)) AS data_md5
+FROM ev"""))
+def pcap_source(spark, sf):
+    """S2 second form: capture files read by the ``pcap`` data source (one partition per file, streamed)."""
+    from wirefold.sources.pcap_source import read_pcap
+
+    folder = FS.write_capture_files(captures_from_events(spark, sf), spark)
+    pk = read_pcap(spark, folder)
+    return pk.select(F.element_at(F.split("path", "/"), -1).alias("name"), "packet_no", "caplen",
+                     F.col("hdr.sport").alias("sport"), F.col("hdr.payload_len").alias("payload_len"),
+                     F.md5("data").alias("data_md5"))
