@@ -79,6 +79,7 @@ def capture_format(captures: DataFrame) -> DataFrame:
     hdr = "hex(substring(content, 1, 24))"
     magic = "substr(_fh, 1, 8)"
     little = f"{magic} IN ('D4C3B2A1', '4D3CB2A1')"
+    classic = f"(length(content) >= 24 AND {magic} IN ('A1B2C3D4', 'A1B23C4D', 'D4C3B2A1', '4D3CB2A1'))"
     df = captures.withColumn("_fh", F.expr(hdr))
     return df.selectExpr(
         "*",
@@ -93,10 +94,10 @@ def capture_format(captures: DataFrame) -> DataFrame:
                  WHEN {magic} = '0A0D0D0A' THEN CASE WHEN length(content) < 28 THEN 'too short' END
                  WHEN {magic} NOT IN ('A1B2C3D4', 'A1B23C4D', 'D4C3B2A1', '4D3CB2A1') THEN 'bad magic'
                  WHEN length(content) < 24 THEN 'too short' END AS format_error""",
-        f"CASE WHEN length(content) >= 24 THEN {_half('_fh', 4, little)} END AS version_major",
-        f"CASE WHEN length(content) >= 24 THEN {_half('_fh', 6, little)} END AS version_minor",
-        f"CASE WHEN length(content) >= 24 THEN {_word('_fh', 16, little)} END AS snaplen",
-        f"CASE WHEN length(content) >= 24 THEN CAST({_word('_fh', 20, little)} AS INT) END AS linktype",
+        f"CASE WHEN {classic} THEN {_half('_fh', 4, little)} END AS version_major",
+        f"CASE WHEN {classic} THEN {_half('_fh', 6, little)} END AS version_minor",
+        f"CASE WHEN {classic} THEN {_word('_fh', 16, little)} END AS snaplen",
+        f"CASE WHEN {classic} THEN try_cast({_word('_fh', 20, little)} AS INT) END AS linktype",
     ).drop("_fh")
 
 
@@ -164,7 +165,8 @@ def decode_packets(captures: DataFrame, mode: str = "PERMISSIVE", mtu: int = MTU
 def capture_rejects(captures: DataFrame) -> DataFrame:
     """Captures the decoder skips in PERMISSIVE mode, with the reason."""
     fmt = capture_format(captures)
-    return fmt.where(F.col("format_error").isNotNull()).select("path", "length", "format_error")
+    return fmt.where(F.col("format_error").isNotNull()).select(
+        "path", F.length("content").cast("bigint").alias("length"), "format_error")
 
 
 def packet_lengths(packets: DataFrame) -> DataFrame:
