@@ -142,11 +142,16 @@ def pad_udp(data: str, at: str, is_udp: str) -> Column:
 # --- P9-P11: vectors -------------------------------------------------------------------
 
 def byte_vector(data: str = "data", n: int = FEATURE_LEN) -> Column:
-    """First ``n`` bytes / 255, zero-padded on the right to ``n`` doubles."""
+    """First ``n`` bytes / 255, zero-padded on the right to ``n`` doubles.
+
+    Bytes are read as ISO-8859-1 characters (one character per byte, code
+    point = byte value) and ``ascii`` gives the value back — no hex text and
+    no regular expression per byte.
+    """
+    chars = f"split(decode(substring({data}, 1, {n}), 'ISO-8859-1'), '')"
     return F.expr(
-        f"concat(transform(regexp_extract_all(hex(substring({data}, 1, {n})), '(..)', 1), "
-        f"x -> CAST(conv(x, 16, 10) AS DOUBLE) / 255D), "
-        f"array_repeat(0D, {n} - least(length({data}), {n})))"
+        f"CASE WHEN length({data}) = 0 THEN array_repeat(0D, {n}) ELSE "
+        f"concat(transform({chars}, c -> ascii(c) / 255D), array_repeat(0D, {n} - least(length({data}), {n}))) END"
     )
 
 
