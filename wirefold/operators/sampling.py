@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wirefold.session import checkpoint_root
+
 # Fixed value: seed of the split and of the under-sampling order.
 SEED = 9876
 TWO_32 = 4294967296
@@ -151,12 +153,15 @@ def top_n_per_group(df: DataFrame, group, n, key, seed: int = SEED) -> DataFrame
         return d.join(n.select(*group, F.col("n").cast("bigint").alias("_n")), group, "inner")
 
     # Level 1: high 16 bits of h1 (class-size histogram, partial aggregation).
+    # The per-group cut tables are tiny; they are checkpointed to the shared
+    # checkpoint folder so the source is not re-derived in every branch.
+    checkpoint_root(df.sparkSession)
     c1 = with_n(narrow.groupBy(*group, "_b1").agg(F.count("*").alias("_cnt")))
-    cut1 = _cut(c1, group, "_b1", "_n")
-    # Level 2: low 16 bits, over the rows of each group's cut bucket only.
-    cand1 = wide.join(cut1, group, "inner").where(F.col("_b1") == F.col("_b1_cut"))
+    cut1 = _cut(c1, group, "_b1", "_n").checkpoint(eager=True)
+    # Level 2: low 16 bits, over the rows of each group's cut bucket only (~1/65536 of a group).
+    cand1 = wide.join(cut1, group, "inner").where(F.col("_b1") == F.col("_b1_cut")).checkpoint(eager=True)
     c2 = cand1.groupBy(*group, "_b2", "_b1_need").agg(F.count("*").alias("_cnt"))
-    cut2 = _cut(c2, group, "_b2", "_b1_need")
+    cut2 = _cut(c2, group, "_b2", "_b1_need").checkpoint(eager=True)
     # Level 3: rows sharing the cut's full 32-bit value, ranked by (h2, key).
     cand2 = cand1.join(cut2, group, "inner").where(F.col("_b2") == F.col("_b2_cut"))
     rw = Window.partitionBy(*group).orderBy("_h2", *keys)
