@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from tools.check_oracles import TABLES, canon
 
-QUICK = ["packet_headers", "packet_filter", "byte_vector", "label_traffic", "stratified_sample",
+QUICK = ["pcap_source", "stream_capture_labels", "training_presets", "packet_headers", "packet_filter", "byte_vector", "label_traffic", "stratified_sample",
          "top_n_per_group", "undersample_train", "conv1d_same", "class_report", "capture_label",
          "majority_vote", "sample_json_roundtrip"]
 
@@ -36,5 +36,5 @@ def test_entry_runs(spark):
 
 def test_every_query_registered_has_docstring():
     qs, oracles = E.queries(), E.oracle_sql()
-    assert set(oracles) <= set(qs) and len(qs) >= 60
+    assert set(oracles) <= set(qs) and len(qs) >= 66
     assert all(fn.__doc__ for fn in qs.values())

@@ -211,3 +211,29 @@ def score_captures(spark, sf):
     caps = captures_from_events(spark, sf)
     model = _packet_model(spark, sf, caps)
     return SC.score_captures(caps, model, "traffic")
+
+
+@register("training_presets", with_kept(f"""
+, p(model_type, task, output_dim, epochs, kernel1, stride1) AS (VALUES
+  ('cnn', 'app', 17, 20, 4, 3), ('cnn', 'traffic', 12, 20, 5, 3),
+  ('resnet', 'app', 17, 40, 4, 3), ('resnet', 'traffic', 12, 40, 5, 3)),
+k AS (SELECT 'app' AS task, max({_APP}) + 1 AS k_data FROM kept
+      UNION ALL SELECT 'traffic', max({_TRAFFIC}) + 1 FROM kept)
+SELECT p.model_type, p.task, CAST(p.output_dim AS INTEGER) AS output_dim, CAST(p.epochs AS INTEGER) AS epochs,
+       CAST(p.kernel1 AS INTEGER) AS kernel1, CAST(p.stride1 AS INTEGER) AS stride1, CAST(k.k_data AS INTEGER) AS k_data
+FROM p JOIN k USING (task)"""))
+def training_presets(spark, sf):
+    """The four (model type, task) presets next to the class count the data asks for
+    (the head is sized from the data, K5)."""
+    samples = FE.preprocess(captures_from_events(spark, sf), with_key=False)
+    k = samples.agg((F.max("app_label") + 1).cast("int").alias("app"),
+                    (F.max("traffic_label") + 1).cast("int").alias("traffic"))
+    kd = k.select(F.explode(F.array(
+        F.struct(F.lit("app").alias("task"), F.col("app").alias("k_data")),
+        F.struct(F.lit("traffic").alias("task"), F.col("traffic").alias("k_data")))).alias("t")).select("t.*")
+    rows = [(m, t, p["output_dim"], p["epochs"], p["kernels"][0][0], p["kernels"][0][1])
+            for (m, t), p in MO.PRESETS.items()]
+    presets = spark.createDataFrame(rows, "model_type string, task string, output_dim int, epochs int, "
+                                          "kernel1 int, stride1 int")
+    return presets.join(F.broadcast(kd), "task").select(
+        "model_type", "task", "output_dim", "epochs", "kernel1", "stride1", "k_data")
