@@ -182,12 +182,13 @@ def vector_digest(vec: str = "feature") -> list[Column]:
     """Integer summary of a byte vector (exact under hashing): size, non-zero count,
     byte sum and position-weighted byte sum (1-based positions).
 
-    Three flat lambdas; a single ``aggregate`` with a struct accumulator was
-    measured 1.7x slower (one struct allocated per element)."""
+    Built-ins where possible (``array_remove`` needs no lambda); a single
+    ``aggregate`` with a struct accumulator was measured 1.7x slower (one
+    struct allocated per element)."""
     byte = "CAST(round(x * 255D) AS BIGINT)"
     return [
         F.expr(f"size({vec})").alias("vec_len"),
-        F.expr(f"size(filter({vec}, x -> x != 0D))").alias("n_nonzero"),
+        F.expr(f"size(array_remove({vec}, 0D))").alias("n_nonzero"),
         F.expr(f"aggregate({vec}, 0L, (acc, x) -> acc + {byte})").alias("byte_sum"),
         F.expr(f"aggregate(zip_with({vec}, sequence(1, size({vec})), (x, p) -> p * {byte}), 0L, "
                f"(acc, y) -> acc + y)").alias("weighted_sum"),

@@ -50,13 +50,26 @@ def to_features(packets: DataFrame, n: int = P.FEATURE_LEN, keep: tuple[str, ...
     return fb.select(*keep, P.byte_vector("fbytes", n).alias("feature"))
 
 
-def preprocess(captures: DataFrame, n: int = P.FEATURE_LEN, with_key: bool = True, **opts) -> DataFrame:
+def preprocess(captures: DataFrame, n: int = P.FEATURE_LEN, with_key: bool = True, as_bytes: bool = False,
+               **opts) -> DataFrame:
     """Captures -> ``samples(app_label, traffic_label, feature)``.
 
     With ``with_key`` the stable row key ``(path, packet_no)`` is kept too, so
-    later splits do not depend on partitioning.
+    later splits do not depend on partitioning. With ``as_bytes`` the sample
+    keeps the rewritten packet bytes (``fbytes``, tens of bytes) instead of the
+    1500-double vector (12 kB); ``with_feature`` derives the vector later.
     """
-    feats = to_features(decode_packets(captures), n=n, **opts)
-    labelled = attach_labels(feats)
-    cols = (["path", "packet_no"] if with_key else []) + ["app_label", "traffic_label", "feature"]
-    return labelled.select(*cols)
+    fb = feature_bytes(decode_packets(captures), **opts)
+    keep = ["path", "packet_no"] if with_key else []
+    if as_bytes:
+        return attach_labels(fb.select("path", "packet_no", "fbytes")).select(
+            *keep, "app_label", "traffic_label", "fbytes")
+    feats = fb.select("path", "packet_no", P.byte_vector("fbytes", n).alias("feature"))
+    return attach_labels(feats).select(*keep, "app_label", "traffic_label", "feature")
+
+
+def with_feature(samples: DataFrame, n: int = P.FEATURE_LEN) -> DataFrame:
+    """Derive ``feature`` from stored ``fbytes`` (no-op when the vector is already there)."""
+    if "feature" in samples.columns or "fbytes" not in samples.columns:
+        return samples
+    return samples.withColumn("feature", P.byte_vector("fbytes", n)).drop("fbytes")

@@ -193,7 +193,8 @@ def task_sets(df: DataFrame, label_col: str, key, test_size=0.2, under_sampling:
               seed: int = SEED) -> DataFrame:
     """One task's rows with ``split`` in {train, test} (write with ``partitionBy('split')``)."""
     keys = _key_list(key)
-    t = df.where(F.col(label_col).isNotNull()).select(*keys, "feature", F.col(label_col).alias("label"))
+    feat = "fbytes" if "feature" not in df.columns and "fbytes" in df.columns else "feature"
+    t = df.where(F.col(label_col).isNotNull()).select(*keys, feat, F.col(label_col).alias("label"))
     train, test = split_train_test(t, keys, "label", test_size, under_sampling, seed)
     return (train.withColumn("split", F.lit("train"))
             .unionByName(test.withColumn("split", F.lit("test"))))
@@ -202,7 +203,9 @@ def task_sets(df: DataFrame, label_col: str, key, test_size=0.2, under_sampling:
 def build_task_sets(df: DataFrame, label_col: str, out: str, key, test_size=0.2, under_sampling: bool = False,
                     seed: int = SEED) -> str:
     """B9 + S11: write ``out/split=train`` and ``out/split=test`` in one job."""
-    sets = task_sets(df, label_col, key, test_size, under_sampling, seed)
+    from wirefold.operators.features import with_feature
+
+    sets = with_feature(task_sets(df, label_col, key, test_size, under_sampling, seed))
     sets.select("feature", "label", "split").write.mode("overwrite").partitionBy("split").parquet(out)
     return out
 

@@ -155,8 +155,9 @@ FROM (SELECT 'application_classification' AS task, path, packet_no, {_APP} AS la
       UNION ALL SELECT 'traffic_classification', path, packet_no, {_TRAFFIC} FROM kept)
 WHERE label IS NOT NULL GROUP BY 1, 2, 3"""))
 def both_task_sets(spark, sf):
-    """Application and traffic sets from one stored sample table."""
-    samples = FE.preprocess(captures_from_events(spark, sf))
+    """Application and traffic sets from one stored sample table (bytes stored,
+    vectors derived when the sets are written)."""
+    samples = FE.preprocess(captures_from_events(spark, sf), as_bytes=True)
     stored = shared_dir(spark, "samples")
     samples.write.mode("overwrite").parquet(stored)
     out = shared_dir(spark, "task-sets")
