@@ -63,3 +63,9 @@ def test_truncated_flag(spark):
     caps = caps_df(spark, [("t.pcap", capture([FRAME], wirelen_extra=100))])
     r = C.packet_lengths(C.decode_packets(caps)).first()
     assert r.truncated and r.wirelen == r.caplen + 100
+
+
+def test_spread_packets_keeps_rows(spark):
+    caps = caps_df(spark, [("big.pcap", capture([FRAME] * 50))])
+    pk = C.spread_packets(C.decode_packets(caps), 4)
+    assert pk.rdd.getNumPartitions() == 4 and pk.count() == 50

@@ -181,3 +181,14 @@ def packet_lengths(packets: DataFrame) -> DataFrame:
 def capture_error_of(content: bytes) -> str | None:
     """Driver-side helper for tests: the reason a buffer is rejected."""
     return format_error(content)
+
+
+def spread_packets(packets: DataFrame, num_partitions: int) -> DataFrame:
+    """Re-balance packets after decoding when a few huge captures made a few huge tasks.
+
+    A capture cannot be split while it is read (no sync marker), so one big
+    file is one read task; hashing on ``(path, packet_no)`` spreads its packets
+    over ``num_partitions`` tasks for the feature and model stages (one
+    shuffle of the packet bytes, never of the 1500-double vectors).
+    """
+    return packets.repartition(num_partitions, "path", "packet_no")
