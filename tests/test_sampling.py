@@ -54,3 +54,19 @@ def test_per_label_fractions_and_ids(spark):
     ids = spark.createDataFrame([(1,), (2,), (3,)], "o_orderkey long")
     train, test = B.split_by_ids(o, ids, "o_orderkey")
     assert train.count() + test.count() == o.count()
+
+
+def test_top_n_with_a_hot_group(spark):
+    """One group holds about a third of all rows; the result still equals the brute-force window."""
+    li = read_table(spark, SF_SMALL, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    g = F.when(F.col("l_linenumber") <= 2, F.lit(-1)).otherwise(F.col("l_suppkey")).alias("g")
+    d = li.select(g, "l_orderkey", "l_linenumber")
+    k = ["l_orderkey", "l_linenumber"]
+    h1, h2 = B.hash_words(k)
+    w = Window.partitionBy("g").orderBy(h1, h2, *k)
+    for n in (7, 1500):
+        fast = B.top_n_per_group(d, "g", n, k)
+        brute = d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
+        assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, brute.select(fast.columns).collect()))
+    hot = d.where("g = -1").count()
+    assert hot > d.count() / 4
