@@ -51,7 +51,8 @@ def packet_decode(spark, sf):
 
 
 @register("capture_format", with_ev("""
-SELECT DISTINCT path, 'A1B2C3D4' AS magic, 'big' AS endian, false AS nano,
+SELECT DISTINCT path, ['A1B2C3D4', 'D4C3B2A1', 'A1B23C4D'][user_id % 3 + 1] AS magic,
+       CASE WHEN user_id % 3 = 1 THEN 'little' ELSE 'big' END AS endian, user_id % 3 = 2 AS nano,
        CAST(NULL AS VARCHAR) AS format_error, CAST(2 AS INTEGER) AS version_major,
        CAST(4 AS INTEGER) AS version_minor, CAST(65535 AS BIGINT) AS snaplen, CAST(1 AS INTEGER) AS linktype
 FROM ev"""))

@@ -2,8 +2,9 @@
 
 The repository ships no real captures, so every capture the queries read is
 built by Spark from ``events``: one Ethernet/IPv4/TCP-or-UDP frame per event,
-grouped into classic big-endian capture files (one per user and event-id
-range). The oracle side answers the same questions from the ``events``
+grouped into classic capture files (one per user and event-id range; by
+user, big-endian microsecond, little-endian microsecond or big-endian
+nanosecond format). The oracle side answers the same questions from the ``events``
 columns directly, so the decoder and the header parser are checked
 independently of this builder.
 
@@ -36,9 +37,28 @@ PREFIXES = ["Email1a", "netflix1", "vpn_email2a", "mystery"]
 TCP_FLAGS_BY_EVENT = {"click": "02", "view": "10", "signup": "18", "error": "11", "purchase": "08"}
 RECORDS_PER_CAPTURE = 65536
 GLOBAL_HEADER_HEX = "A1B2C3D4" + "0002" + "0004" + "00000000" + "00000000" + "0000FFFF" + "00000001"
+# Capture format per user (user_id % 3): big-endian microseconds, little-endian
+# microseconds, big-endian nanoseconds — so the decoder sees three of the four magics.
+FORMATS = [
+    ("A1B2C3D4", False, False),
+    ("D4C3B2A1", True, False),
+    ("A1B23C4D", False, True),
+]
 MIN_FRAME = 60
 
 
+def global_header_hex(magic: str, little: bool) -> str:
+    def w16(v: int) -> str:
+        h = f"{v:04X}"
+        return h[2:] + h[:2] if little else h
+
+    def w32(v: int) -> str:
+        h = f"{v:08X}"
+        return "".join(reversed([h[i:i + 2] for i in range(0, 8, 2)])) if little else h
+
+    return magic + w16(2) + w16(4) + w32(0) + w32(0) + w32(65535) + w32(1)
+
+
 def _h(expr: str, width: int) -> str:
     return f"lpad(hex({expr}), {width}, '0')"
 
@@ -82,13 +102,22 @@ def frame_hex_sql(idiv: str = "DIV") -> str:
     return f"({body} || {pad})"
 
 
+def _u32(expr: str, little: str) -> str:
+    """u32 as hex in the capture's byte order (``little`` is a SQL boolean)."""
+    h = _h(expr, 8)
+    le = f"concat(substr({h}, 7, 2), substr({h}, 5, 2), substr({h}, 3, 2), substr({h}, 1, 2))"
+    return f"(CASE WHEN {little} THEN {le} ELSE {h} END)"
+
+
 def record_hex_sql() -> str:
-    """Record header (sec, usec, caplen, wirelen) + frame, as hex."""
+    """Record header (sec, usec or nsec, caplen, wirelen) in the capture's byte order + frame, as hex."""
     frame = frame_hex_sql()
     flen = f"(length({frame}) DIV 2)"
+    little = f"(user_id % {len(FORMATS)} = 1)"
+    frac = f"(ts_us % 1000000) * (CASE WHEN user_id % {len(FORMATS)} = 2 THEN 1000 ELSE 1 END)"
     return (
-        f"{_h('ts_us DIV 1000000', 8)} || {_h('ts_us % 1000000', 8)} || "
-        f"{_h(flen, 8)} || {_h(flen, 8)} || {frame}"
+        f"{_u32('ts_us DIV 1000000', little)} || {_u32(frac, little)} || "
+        f"{_u32(flen, little)} || {_u32(flen, little)} || {frame}"
     )
 
 
@@ -119,10 +148,12 @@ def captures_from_events(spark: SparkSession, sf_dir: str, root: str = "/capture
         F.sort_array(F.collect_list(F.struct("event_id", "rec_hex"))).alias("recs"),
         F.max("ts").alias("last_ts"),
     )
+    headers = "element_at(array(" + ", ".join(f"'{global_header_hex(m, le)}'" for m, le, _n in FORMATS) + \
+        f"), CAST(user_id % {len(FORMATS)} AS INT) + 1)"
     return grouped.selectExpr(
         f"{capture_path_sql(root)} AS path",
         "CAST(last_ts AS TIMESTAMP) AS modificationTime",
-        f"unhex('{GLOBAL_HEADER_HEX}' || concat_ws('', transform(recs, r -> r.rec_hex))) AS content",
+        f"unhex({headers} || concat_ws('', transform(recs, r -> r.rec_hex))) AS content",
     ).withColumn("length", F.length("content").cast("bigint")).select(
         "path", "modificationTime", "length", "content"
     )
