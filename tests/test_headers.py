@@ -58,3 +58,9 @@ def test_vector_truncates_at_1500_and_sparse_roundtrip(spark):
     f = FE.to_features(pk).select("feature", P.to_sparse("feature").alias("sp"))
     d = f.select("feature", P.to_dense("sp").alias("dense")).first()
     assert len(d.feature) == 1500 and list(d.dense) == list(d.feature)
+
+
+def test_zero_total_length_means_all_captured_bytes(spark):
+    fr = eth(0x0800, ipv4(6, tcp(1, 2, 0x10, b"xyz"), total=0))
+    h = hdrs(spark, [fr]).select("hdr", P.is_tcp_control().alias("c")).first()
+    assert (h.hdr.total_len, h.hdr.payload_len, h.hdr.pad_len, h.c) == (0, 3, 0, False)

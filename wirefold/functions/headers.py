@@ -99,7 +99,9 @@ def parse_headers(datas, linktypes) -> pd.DataFrame:
     udp = ip & first & (nh == PROTO_UDP) & (lens >= l4 + 8)
     l4p = tcp | udp
     l4h = np.select([tcp, udp], [(byte(l4 + 12) // 16) * 4, 8], NULL)
-    ipend = l2 + tot
+    # IPv4 total length smaller than the header (0 in offload captures): no
+    # padding is cut, everything captured after the header is payload.
+    ipend = np.where(ip4 & (tot < ihl4), lens, l2 + tot)
     pay_off = l4 + l4h
     fields = {
         "l2_off": np.where(known, l2, NULL),

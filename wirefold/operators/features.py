@@ -35,7 +35,7 @@ def feature_bytes(packets: DataFrame, udp_pad: str = "header", mask_v6: bool = F
     df = df.withColumns({"_s": P.strip_link(), "_sh": P.link_shift()})
     is_udp = f"(hdr.proto = {P.PROTO_UDP} AND hdr.l4_hlen IS NOT NULL)"
     at = ("hdr.l4_off - _sh + 8" if udp_pad == "header"
-          else "least(hdr.ip_off + hdr.total_len, length(data)) - _sh")
+          else "hdr.payload_off + hdr.payload_len - _sh")
     df = df.withColumn("_p", P.pad_udp("_s", at, is_udp))
     df = df.withColumn("_m", P.mask_ipv4("_p", "hdr.ip_off - _sh", "hdr.ip_version = 4"))
     if mask_v6:
