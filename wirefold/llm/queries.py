@@ -4,9 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from wirefold.llm.bin_packing import pack_texts
+from wirefold.llm.chat_format import chat_digests
 from wirefold.llm.common import read_table
+from wirefold.llm.decontaminate import contamination_report
+from wirefold.llm.html_extract import extract_pages
 from wirefold.llm.jaccard_join import jaccard_components
 from wirefold.llm.registry import register
+from wirefold.llm.secret_scan import secret_digests
+from wirefold.llm.token_repair import token_blocks
+
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (SELECT *, contains(text, chr(91)) OR contains(text, '<') AS odd FROM t),
+l AS (SELECT conv_id, max(CASE WHEN regexp_matches(text, '[\[<]/?(INST|SYS|OUT|TURN|s[:>])') THEN 1 ELSE 0 END) AS level FROM c GROUP BY conv_id),
+e AS (SELECT c.*, CASE WHEN level = 0 THEN length(text)
+        ELSE length(regexp_replace(replace(text, '\', '\\'), '([\[<])(/?(INST|SYS|OUT|TURN|s[:>]))', '\1\\\2', 'g')) END AS n, level
+      FROM c JOIN l USING (conv_id))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (any_value(CASE WHEN level = 0 THEN 3 ELSE 5 END) + sum(n + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13
+         WHEN 'assistant' THEN 10 ELSE 16 + 2 * strlen(role) END))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+DECONTAMINATION_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+        FROM b, UNNEST(range(1, greatest(2, len(w) - 8))) AS t(i) WHERE len(w) > 0),
+k AS (SELECT DISTINCT k FROM win),
+dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+       FROM d, k, UNNEST(range(1, len(w) - k + 2)) AS t(i) WHERE len(w) >= k),
+hit AS (SELECT DISTINCT doc_id, dw.k, i, item_id FROM dw JOIN win ON dw.g = win.g AND dw.k = win.k),
+pos AS (SELECT DISTINCT doc_id, p FROM hit, UNNEST(range(i, i + k)) AS t(p)),
+n AS (SELECT doc_id, count(*) AS n FROM pos GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, n.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
 
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (
@@ -27,3 +75,45 @@ FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY w.doc_id
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by five-word shingles at similarity 0.75."""
     return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+@register("op1_repair_tokens")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in grammar blocks, read back."""
+    import public_tokenizers
+
+    return token_blocks(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op2_chat_round_trip", CHAT_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts look like the template, formatted and read back."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema)
+    return chat_digests(rows.union(extra))
+
+
+@register("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents."""
+    return secret_digests(read_table(spark, sf_dir, "documents"))
+
+
+@register("op4_html_main_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = extract_pages(read_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@register("op5_best_fit_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 words; no sequence holds a source or an exact copy twice."""
+    return pack_texts(read_table(spark, sf_dir, "documents"))
+
+
+@register("op6_window_decontamination", DECONTAMINATION_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    return contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
