@@ -287,3 +287,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = full.join(of_class, "class_id").select("id", "n_shingles", "component_id")
     alone = info.where("class_id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     return linked.unionByName(alone).withColumnRenamed("id", id_col)
+
+
+def drop_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` but those linked to a smaller id; columns stay as they are.
+
+    Rows with a null id or an empty set stay; rows that share the smallest id
+    of their group all stay, as ids are taken to name documents.
+    """
+    dropped = jaccard_components(docs, id_col, text_col, k).where(F.col("component_id") < F.col(id_col)).select(
+        F.col(id_col).alias("_dropped")).distinct()
+    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")

@@ -10,8 +10,10 @@ from wirefold.llm.bin_packing import pack_texts
 from wirefold.llm.chat_format import chat_digests
 from wirefold.llm.common import read_table
 from wirefold.llm.decontaminate import contamination_report
+from wirefold.llm.embedding_dedup import near_duplicate_vectors
 from wirefold.llm.html_extract import extract_pages
 from wirefold.llm.jaccard_join import jaccard_components
+from wirefold.llm.quality_rank import score_documents
 from wirefold.llm.registry import register
 from wirefold.llm.secret_scan import secret_digests
 from wirefold.llm.token_repair import token_blocks
@@ -117,3 +119,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     return contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@register("op9_pairwise_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the labelled ones that aren't held out."""
+    return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@register("op10_itq_near_duplicates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors of one label at cosine 0.93 or more."""
+    return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
