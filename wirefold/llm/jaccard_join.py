@@ -160,8 +160,8 @@ def candidate_edges(signatures: DataFrame) -> DataFrame:
         .where("rank <= spare + shared")
         .select("sig", cls.alias("src"))
     )
-    pivot = prefix.groupBy("sig").agg(F.min("src").alias("dst"), F.max("src").alias("top")).where("dst <> top")
-    return prefix.join(pivot, "sig").where("src <> dst").select("src", "dst").distinct()
+    star = prefix.withColumn("dst", F.min("src").over(by_sig))
+    return star.where("src <> dst").select("src", "dst").distinct()
 
 
 def _bit_sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -241,8 +241,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_
     sets = (
         docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
         .mapInArrow(recompute, "class_id long, members binary")
-        .join(members.select("class_id"), "class_id", "left_semi")
-    )
+    )  # the bitmap lets few other rows through; the join below drops them
 
     def verify(batches):
         for unit in runs(batches, ["root", "a", "b"]):
