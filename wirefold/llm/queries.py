@@ -13,6 +13,7 @@ from wirefold.llm.decontaminate import contamination_report
 from wirefold.llm.embedding_dedup import near_duplicate_vectors
 from wirefold.llm.html_extract import extract_pages
 from wirefold.llm.jaccard_join import jaccard_components
+from wirefold.llm.lm_score import backoff_scores
 from wirefold.llm.quality_rank import score_documents
 from wirefold.llm.registry import register
 from wirefold.llm.secret_scan import secret_digests
@@ -72,6 +73,28 @@ SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.root)
 FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY w.doc_id
 """
 
+BACKOFF_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, i, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS v FROM d, UNNEST(range(1, len(w) + 1)) AS u(i)),
+dw AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY ALL),
+cw AS (SELECT w, sum(n) AS n FROM dw GROUP BY w),
+db AS (SELECT doc_id, v, w, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY ALL),
+cb AS (SELECT v, w, sum(n) AS n FROM db GROUP BY ALL),
+x AS (SELECT t.doc_id, t.v, coalesce(cb.n - db.n, 0) AS b, cw.n - dw.n AS u, cv.n - dv.n AS h,
+             greatest((SELECT count(*) FROM t) - len(d.w), 1) AS total
+      FROM t JOIN d ON d.doc_id = t.doc_id JOIN dw ON dw.doc_id = t.doc_id AND dw.w = t.w JOIN cw ON cw.w = t.w
+      LEFT JOIN db ON db.doc_id = t.doc_id AND db.v = t.v AND db.w = t.w LEFT JOIN cb ON cb.v = t.v AND cb.w = t.w
+      LEFT JOIN dw dv ON dv.doc_id = t.doc_id AND dv.w = t.v LEFT JOIN cw cv ON cv.w = t.v),
+s AS (SELECT doc_id, sum(CASE WHEN b > 0 THEN 1 ELSE 0 END) AS n_known,
+             sum(CASE WHEN b > 0 THEN ln(b / h)
+                 ELSE ln((CASE WHEN u > 0 THEN u ELSE 0.5 END) / total) + CASE WHEN v IS NULL THEN 0 ELSE ln(0.4) END END) AS s
+      FROM x GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_known, 0)::BIGINT AS n_known, round(coalesce(s, 0), 3) AS log_score
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id
+"""
+
 
 @register("op7_parity_sketch_join", JACCARD_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,3 +154,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of vectors of one label at cosine 0.93 or more."""
     return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+@register("op8_backoff_scores", BACKOFF_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of all documents, to three decimals."""
+    scores = backoff_scores(read_table(spark, sf_dir, "documents"))
+    return scores.withColumn("log_score", F.round("log_score", 3))

@@ -70,11 +70,8 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray):
-    """(start, end, hash, first) of the words: byte ranges, lower-cased hashes, and the index of each text's first word.
-
-    ``first`` has one entry more than there are texts.  No word spans two texts.
-    """
+def word_bounds(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of the words; no word spans two texts."""
     n = len(data)
     inside = in_word[data]
     edge = np.empty(n + 1, bool)
@@ -87,7 +84,16 @@ def words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray):
     at = np.flatnonzero(edge)
     if len(joined):
         at = np.sort(np.concatenate([at, joined, joined]), kind="stable")
-    start, end = at[0::2], at[1::2]
+    return at[0::2], at[1::2]
+
+
+def words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray):
+    """(start, end, hash, first) of the words: byte ranges, lower-cased hashes, and the index of each text's first word.
+
+    ``first`` has one entry more than there are texts.
+    """
+    n = len(data)
+    start, end = word_bounds(data, offsets, in_word)
     values, lower = _byte_values(), _lower_table()
     values = values[lower]
     h = np.empty(len(start), np.uint64)
