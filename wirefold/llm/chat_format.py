@@ -13,8 +13,8 @@ requires opening and closing ones in turn with nothing between turns.  A
 conversation is rendered with its texts as they are, reparsed and compared to
 its source; where the two differ, its texts are escaped (level 1: a backslash
 after the first character of every control-like string, backslashes doubled;
-level 2: after every ``[`` and ``<``) and the trip is made again, until the
-recovered turns are identical.
+level 2: codes for every backslash, ``[`` and ``<``) and the trip is made
+again, until the recovered turns are identical.
 """
 
 from __future__ import annotations
@@ -30,19 +30,26 @@ CLOSE = r" \[/(?:INST|SYS|TURN)\]|</s>"
 CONTROL = f"{HEADER}|{OPEN}|{CLOSE}"
 CONTROL_LIKE = r"([\[<])(?=/?(?:INST|SYS|OUT|TURN|s[:>]))"
 LEVELS = (0, 1, 2)
+CODES = (("\\", "\\0"), ("[", "\\1"), ("<", "\\2"))  # level 2, in the order of replacement
 
 
 def escape(text: Column, level: int) -> Column:
     """Reversibly break control strings inside ``text``; level 0 leaves it as it is."""
     if level == 0:
         return text
-    doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    return F.regexp_replace(doubled, CONTROL_LIKE if level == 1 else r"([\[<])", r"$1\\")
+    if level == 1:
+        return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), CONTROL_LIKE, r"$1\\")
+    for plain, code in CODES:
+        text = F.replace(text, F.lit(plain), F.lit(code))
+    return text
 
 
 def unescape(text: Column, level: Column) -> Column:
     """The text before ``escape``."""
-    return F.when(level == 0, text).otherwise(F.regexp_replace(text, r"(?s)\\(.)", "$1"))
+    coded = text
+    for plain, code in reversed(CODES):
+        coded = F.replace(coded, F.lit(code), F.lit(plain))
+    return F.when(level == 0, text).when(level == 1, F.regexp_replace(text, r"(?s)\\(.)", "$1")).otherwise(coded)
 
 
 def _opening(role: Column) -> Column:
@@ -85,7 +92,7 @@ def parse(df: DataFrame, formatted: str = "formatted") -> DataFrame:
             F.filter(tokens, lambda t, i: i % 2 == 1).alias("open"),
             F.filter(pieces, lambda p, i: (i % 2 == 0) & (i > 0)).alias("raw"),
             F.filter(tokens, lambda t, i: (i % 2 == 0) & (i > 0)).alias("close")),
-        "level": F.coalesce(F.regexp_extract(tokens[0], r"<s:([12])>", 1).try_cast("int"), F.lit(0)),
+        "level": F.coalesce(F.regexp_extract(F.get(tokens, F.lit(0)), r"<s:([12])>", 1).try_cast("int"), F.lit(0)),
     })
     ok = cut["_kinds"].rlike("^h(?:oc)*$") & (F.col("_gaps") == "")
     turns = F.when(ok, F.transform("_triples", lambda t: F.struct(

@@ -78,7 +78,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> t
     edge[0] = n > 0 and inside[0]
     edge[1:n] = inside[1:] != inside[:-1]
     edge[n] = n > 0 and inside[-1]
-    inner = offsets[1:-1]
+    inner = np.unique(offsets[1:-1])  # empty texts repeat an offset
     inner = inner[(inner > 0) & (inner < n)]
     joined = inner[inside[inner] & inside[inner - 1]]  # two texts meet inside a run of word bytes
     at = np.flatnonzero(edge)
