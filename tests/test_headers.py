@@ -64,3 +64,55 @@ def test_zero_total_length_means_all_captured_bytes(spark):
     fr = eth(0x0800, ipv4(6, tcp(1, 2, 0x10, b"xyz"), total=0))
     h = hdrs(spark, [fr]).select("hdr", P.is_tcp_control().alias("c")).first()
     assert (h.hdr.total_len, h.hdr.payload_len, h.hdr.pad_len, h.c) == (0, 3, 0, False)
+
+
+def v6(next_header, body, length=None, ext=()):
+    """IPv6 packet; ``ext`` = (type, total bytes) of extension headers in order."""
+    kinds = [t for t, _ in ext] + [next_header]
+    chain = b"".join(bytes([kinds[i + 1], n // 8 - 1]) + b"\x01\x04" + b"\0" * (n - 4) for i, (_, n) in enumerate(ext))
+    body = chain + body
+    return bytes([0x60, 0, 0, 0]) + struct.pack(">HBB", len(body) if length is None else length, kinds[0], 64) + b"\x20" * 32 + body
+
+
+def test_no_cap_on_tags_and_extension_headers(spark):
+    tagged = eth(0x0800, ipv4(17, udp(5000, 53, b"q" * 10)), vlan=7)
+    for _ in range(3):
+        tagged = tagged[:12] + b"\x81\x00\x00\x05" + tagged[12:]
+    frames = [
+        tagged,                                                                      # four VLAN tags
+        eth(0x86DD, v6(17, udp(5000, 53, b"q" * 10), ext=[(0, 8), (60, 8), (43, 8), (60, 8), (60, 8), (60, 8)])),
+        eth(0x86DD, v6(17, udp(5000, 53, b"q" * 10), ext=[(60, 2048)])),             # L4 far behind byte 256
+        eth(0x86DD, v6(6, tcp(9, 10, 0x10, b"x" * 100), length=0)),                  # length field 0
+    ]
+    rows = hdrs(spark, frames).select("hdr", P.is_tcp_control().alias("c"), P.is_dns().alias("d")).collect()
+    assert [r.d for r in rows] == [True, True, True, False]
+    assert (rows[0].hdr.l2_off, rows[0].hdr.ip_version, rows[0].hdr.dport) == (30, 4, 53)
+    assert (rows[1].hdr.proto, rows[1].hdr.payload_len) == (17, 10)
+    assert (rows[2].hdr.sport, rows[2].hdr.l4_off) == (5000, 14 + 40 + 2048)
+    assert (rows[3].hdr.payload_len, rows[3].hdr.pad_len, rows[3].c) == (100, 0, False)
+
+
+def test_later_ipv6_fragments_have_no_ports(spark):
+    def fragment(offset, body):
+        return eth(0x86DD, v6(44, struct.pack(">BBHI", 17, 0, offset << 3 | 1, 7) + body))
+
+    frames = [fragment(0, udp(5000, 53, b"q" * 10)), fragment(100, b"\x00\x35\x00\x35" + b"z" * 20)]
+    rows = hdrs(spark, frames).select("hdr", P.is_dns().alias("d")).collect()
+    assert rows[0].d and rows[0].hdr.dport == 53
+    assert not rows[1].d and rows[1].hdr.sport is None and rows[1].hdr.proto == 17 and rows[1].hdr.l4_off is None
+
+
+def test_addresses_behind_many_tags_are_masked(spark):
+    frame = eth(0x0800, ipv4(6, tcp(1, 2, 0x18, b"abc")), vlan=7)
+    for _ in range(3):
+        frame = frame[:12] + b"\x81\x00\x00\x05" + frame[12:]
+    row = FE.feature_bytes(hdrs(spark, [frame])).first()
+    assert bytes(row.fbytes)[30 - 14 + 12:30 - 14 + 20] == b"\0" * 8
+    v = FE.to_features(hdrs(spark, [frame])).first().feature
+    assert len(v) == 1500 and [round(x * 255) for x in v[:len(row.fbytes)]] == list(row.fbytes)
+
+
+def test_vector_of_null_empty_and_long_bytes(spark):
+    df = spark.createDataFrame([(1, None), (2, bytearray()), (3, bytearray(range(256)) * 8)], "k int, data binary")
+    rows = {r.k: r.v for r in df.select("k", P.byte_vector("data").alias("v")).collect()}
+    assert rows[1] is None and rows[2] == [0.0] * 1500 and rows[3] == [i % 256 / 255 for i in range(1500)]

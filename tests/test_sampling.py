@@ -70,3 +70,31 @@ def test_top_n_with_a_hot_group(spark):
         assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, brute.select(fast.columns).collect()))
     hot = d.where("g = -1").count()
     assert hot > d.count() / 4
+
+
+def test_top_n_zero_null_groups_and_absent_groups(spark, monkeypatch):
+    rows = [("a", i) for i in range(60)] + [(None, i) for i in range(100, 140)] + [("b", i) for i in range(200, 203)]
+    df = spark.createDataFrame(rows, "g string, k long")
+
+    def ranked(limits):
+        h1, h2 = B.hash_words("k")
+        w = Window.partitionBy("g").orderBy(h1, h2, "k")
+        ranks = df.withColumn("rn", F.row_number().over(w)).collect()
+        return sorted(((r.g, r.k) for r in ranks if r.rn <= limits.get(r.g, 0)), key=str)
+
+    for broadcast in (200_000, 0):
+        monkeypatch.setattr(B, "BROADCAST_GROUPS", broadcast)
+        for n in (0, -1, 1, 5, 45, 100):
+            got = sorted(((r.g, r.k) for r in B.top_n_per_group(df, "g", n, "k").collect()), key=str)
+            assert got == ranked({"a": n, None: n, "b": n})
+        n = spark.createDataFrame([("a", 7), (None, 0), ("missing", 3)], "g string, n long")
+        got = sorted(((r.g, r.k) for r in B.top_n_per_group(df, "g", n, "k").collect()), key=str)
+        assert got == ranked({"a": 7})
+
+
+def test_undersampling_does_not_deal_rows_by_label_alone(spark):
+    df = spark.range(20_000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 < 8, "x").when(F.col("id") % 10 == 8, "y").alias("label"))
+    out = B.undersample(df, "k")
+    assert {r.label: r["count"] for r in out.groupBy("label").count().collect()} == {"x": 2000, "y": 2000, None: 2000}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan

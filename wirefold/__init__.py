@@ -8,6 +8,13 @@ Every operator is a ``DataFrame -> DataFrame`` or ``Column -> Column``
 function so it composes with ``DataFrame.transform``.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from wirefold.session import get_session, shared_dir, read_table
 
 __all__ = ["get_session", "shared_dir", "read_table"]
+
+# Functions shipped to Python workers are pickled by value: nothing has to be installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -29,8 +29,6 @@ PROTO_TCP = 6
 PROTO_UDP = 17
 IPV6_EXT_HEADERS = (0, 43, 60)  # hop-by-hop, routing, destination options
 IPV6_FRAGMENT = 44
-IPV6_MAX_EXT = 4
-HEADER_BYTES = 256
 
 HDR_FIELDS = [
     "l2_off", "ethertype", "ip_version", "ip_hlen", "ip_off", "ip_flags", "proto", "total_len",
@@ -48,25 +46,23 @@ def parse_headers(datas, linktypes) -> pd.DataFrame:
     if n == 0:
         return pd.DataFrame({f: pd.array([], dtype="Int32") for f in HDR_FIELDS})
     lens = np.fromiter((len(d) if d is not None else 0 for d in datas), dtype=np.int64, count=n)
-    buf = b"".join((bytes(d[:HEADER_BYTES]) if d is not None else b"").ljust(HEADER_BYTES, b"\0")
-                   for d in datas)
-    m = np.frombuffer(buf, dtype=np.uint8).reshape(n, HEADER_BYTES).astype(np.int64)
-    rows = np.arange(n)
-    avail = np.minimum(lens, HEADER_BYTES)
+    flat = np.frombuffer(b"".join(d for d in datas if d is not None) or b"\0", dtype=np.uint8)
+    starts = np.cumsum(lens) - lens
     lt = np.asarray(linktypes, dtype=np.int64)
 
     def byte(off):
         off = np.asarray(off)
-        ok = (off >= 0) & (off < avail)
-        return np.where(ok, m[rows, np.clip(off, 0, HEADER_BYTES - 1)], NULL)
+        ok = (off >= 0) & (off < lens)
+        return np.where(ok, flat[np.where(ok, starts + off, 0)].astype(np.int64), NULL)
 
     def word(off):
         hi, lo = byte(off), byte(np.asarray(off) + 1)
         return np.where((hi >= 0) & (lo >= 0), hi * 256 + lo, NULL)
 
     # Link-layer dispatch.
-    w12, w16 = word(np.full(n, 12)), word(np.full(n, 16))
-    eth_l2 = np.where(np.isin(w12, ETH_VLAN), np.where(np.isin(w16, ETH_VLAN), 22, 18), 14)
+    eth_l2 = np.full(n, 14)
+    while (tagged := (lt == LINKTYPE_ETHERNET) & np.isin(word(eth_l2 - 2), ETH_VLAN)).any():
+        eth_l2 = eth_l2 + 4 * tagged  # any number of tags
     l2 = np.select(
         [lt == LINKTYPE_ETHERNET, np.isin(lt, (LINKTYPE_RAW, LINKTYPE_IPV4, LINKTYPE_IPV6)),
          lt == LINKTYPE_LINUX_SLL, lt == LINKTYPE_LINUX_SLL2, lt == LINKTYPE_NULL],
@@ -85,23 +81,27 @@ def parse_headers(datas, linktypes) -> pd.DataFrame:
     ihl4 = (b0 % 16) * 4
     tot = np.select([ip4, ip6], [word(l2 + 2), 40 + word(l2 + 4)], NULL)
     ifl = np.where(ip4, byte(l2 + 6) // 32, NULL)
-    frag = np.where(ip4, word(l2 + 6) % 8192, 0)
+    later = ip4 & (word(l2 + 6) % 8192 != 0)  # a fragment other than the first has no L4 header
     nh = np.select([ip4, ip6], [byte(l2 + 9), byte(l2 + 6)], NULL)
     l4 = np.where(ip4, l2 + ihl4, l2 + 40)
-    for _ in range(IPV6_MAX_EXT):
-        is_ext = ip6 & np.isin(nh, IPV6_EXT_HEADERS)
-        is_frag = ip6 & (nh == IPV6_FRAGMENT)
+    while True:  # any number of extension headers
+        is_frag = ip6 & ~later & (nh == IPV6_FRAGMENT)
+        is_ext = ip6 & ~later & np.isin(nh, IPV6_EXT_HEADERS)
+        if not (is_ext | is_frag).any():
+            break
+        later = later | (is_frag & (word(l4 + 2) > 7))
         step = np.where(is_ext, (byte(l4 + 1) + 1) * 8, np.where(is_frag, 8, 0))
         nh = np.where(is_ext | is_frag, byte(l4), nh)
         l4 = l4 + step
-    first = frag == 0
+    first = ~later
     tcp = ip & first & (nh == PROTO_TCP) & (lens >= l4 + 20)
     udp = ip & first & (nh == PROTO_UDP) & (lens >= l4 + 8)
     l4p = tcp | udp
     l4h = np.select([tcp, udp], [(byte(l4 + 12) // 16) * 4, 8], NULL)
-    # IPv4 total length smaller than the header (0 in offload captures): no
-    # padding is cut, everything captured after the header is payload.
-    ipend = np.where(ip4 & (tot < ihl4), lens, l2 + tot)
+    # IPv4 total length smaller than the header, or an IPv6 payload length of 0
+    # (jumbograms, offload captures): no padding is cut, everything captured
+    # after the header is payload.
+    ipend = np.where((ip4 & (tot < ihl4)) | (ip6 & (tot == 40)), lens, l2 + tot)
     pay_off = l4 + l4h
     fields = {
         "l2_off": np.where(known, l2, NULL),

@@ -10,73 +10,182 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Application classes — "id name: capture prefixes".
-APP_CLASSES = """
-0 AIM Chat: aim_chat_3a aim_chat_3b aimchat1 aimchat2
-1 Email: email1a email1b email2a email2b
-2 Facebook: facebook_audio1a facebook_audio1b facebook_audio2a facebook_audio2b facebook_audio3 facebook_audio4 facebook_chat_4a facebook_chat_4b facebook_video1a facebook_video1b facebook_video2a facebook_video2b facebookchat1 facebookchat2 facebookchat3
-3 FTPS: ftps_down_1a ftps_down_1b ftps_up_2a ftps_up_2b
-4 Gmail: gmailchat1 gmailchat2 gmailchat3
-5 Hangouts: hangout_chat_4b hangouts_audio1a hangouts_audio1b hangouts_audio2a hangouts_audio2b hangouts_audio3 hangouts_audio4 hangouts_chat_4a hangouts_video1b hangouts_video2a hangouts_video2b
-6 ICQ: icq_chat_3a icq_chat_3b icqchat1 icqchat2
-7 Netflix: netflix1 netflix2 netflix3 netflix4
-8 SCP: scp1 scpdown1 scpdown2 scpdown3 scpdown4 scpdown5 scpdown6 scpup1 scpup2 scpup3 scpup5 scpup6
-9 SFTP: sftp1 sftp_down_3a sftp_down_3b sftp_up_2a sftp_up_2b sftpdown1 sftpdown2 sftpup1
-10 Skype: skype_audio1a skype_audio1b skype_audio2a skype_audio2b skype_audio3 skype_audio4 skype_chat1a skype_chat1b skype_file1 skype_file2 skype_file3 skype_file4 skype_file5 skype_file6 skype_file7 skype_file8 skype_video1a skype_video1b skype_video2a skype_video2b
-11 Spotify: spotify1 spotify2 spotify3 spotify4
-12 Vimeo: vimeo1 vimeo2 vimeo3 vimeo4
-13 Voipbuster: voipbuster1b voipbuster2b voipbuster3b voipbuster_4a voipbuster_4b
-14 Youtube: youtube1 youtube2 youtube3 youtube4 youtube5 youtube6 youtubehtml5_1
-"""
-
-# Traffic classes — "id name: capture prefixes".
-TRAFFIC_CLASSES = """
-0 Chat: aim_chat_3a aim_chat_3b aimchat1 aimchat2 facebook_chat_4a facebook_chat_4b facebookchat1 facebookchat2 facebookchat3 gmailchat1 gmailchat2 gmailchat3 hangout_chat_4b hangouts_chat_4a icq_chat_3a icq_chat_3b icqchat1 icqchat2 skype_chat1a skype_chat1b
-1 Email: email1a email1b email2a email2b
-2 File Transfer: ftps_down_1a ftps_down_1b ftps_up_2a ftps_up_2b scp1 scpdown1 scpdown2 scpdown3 scpdown4 scpdown5 scpdown6 scpup1 scpup2 scpup3 scpup5 scpup6 sftp1 sftp_down_3a sftp_down_3b sftp_up_2a sftp_up_2b sftpdown1 sftpdown2 sftpup1 skype_file1 skype_file2 skype_file3 skype_file4 skype_file5 skype_file6 skype_file7 skype_file8
-3 Streaming: netflix1 netflix2 netflix3 netflix4 spotify1 spotify2 spotify3 spotify4 vimeo1 vimeo2 vimeo3 vimeo4 youtube1 youtube2 youtube3 youtube4 youtube5 youtube6 youtubehtml5_1
-4 Voip: facebook_audio1a facebook_audio1b facebook_audio2a facebook_audio2b facebook_audio3 facebook_audio4 facebook_video1a facebook_video1b facebook_video2a facebook_video2b hangouts_audio1a hangouts_audio1b hangouts_audio2a hangouts_audio2b hangouts_audio3 hangouts_audio4 hangouts_video1b hangouts_video2a hangouts_video2b skype_audio1a skype_audio1b skype_audio2a skype_audio2b skype_audio3 skype_audio4 skype_video1a skype_video1b skype_video2a skype_video2b voipbuster1b voipbuster2b voipbuster3b voipbuster_4a voipbuster_4b
-5 VPN: Chat: vpn_aim_chat1a vpn_aim_chat1b vpn_facebook_chat1a vpn_facebook_chat1b vpn_hangouts_chat1a vpn_hangouts_chat1b vpn_icq_chat1a vpn_icq_chat1b vpn_skype_chat1a vpn_skype_chat1b
-6 VPN: File Transfer: vpn_ftps_a vpn_ftps_b vpn_sftp_a vpn_sftp_b vpn_skype_files1a vpn_skype_files1b
-7 VPN: Email: vpn_email2a vpn_email2b
-8 VPN: Streaming: vpn_netflix_a vpn_spotify_a vpn_vimeo_a vpn_vimeo_b vpn_youtube_a
-9 VPN: Torrent: vpn_bittorrent
-10 VPN: Voip: vpn_facebook_audio2 vpn_hangouts_audio1 vpn_hangouts_audio2 vpn_skype_audio1 vpn_skype_audio2 vpn_voipbuster1a vpn_voipbuster1b
-"""
+# Capture prefix, application id, traffic id.
+LABEL_PREFIXES = [
+    ("aim_chat_3a", 0, 0),
+    ("aim_chat_3b", 0, 0),
+    ("aimchat1", 0, 0),
+    ("aimchat2", 0, 0),
+    ("facebook_chat_4a", 2, 0),
+    ("facebook_chat_4b", 2, 0),
+    ("facebookchat1", 2, 0),
+    ("facebookchat2", 2, 0),
+    ("facebookchat3", 2, 0),
+    ("gmailchat1", 4, 0),
+    ("gmailchat2", 4, 0),
+    ("gmailchat3", 4, 0),
+    ("hangout_chat_4b", 5, 0),
+    ("hangouts_chat_4a", 5, 0),
+    ("icq_chat_3a", 6, 0),
+    ("icq_chat_3b", 6, 0),
+    ("icqchat1", 6, 0),
+    ("icqchat2", 6, 0),
+    ("skype_chat1a", 10, 0),
+    ("skype_chat1b", 10, 0),
+    ("email1a", 1, 1),
+    ("email1b", 1, 1),
+    ("email2a", 1, 1),
+    ("email2b", 1, 1),
+    ("ftps_down_1a", 3, 2),
+    ("ftps_down_1b", 3, 2),
+    ("ftps_up_2a", 3, 2),
+    ("ftps_up_2b", 3, 2),
+    ("scp1", 8, 2),
+    ("scpdown1", 8, 2),
+    ("scpdown2", 8, 2),
+    ("scpdown3", 8, 2),
+    ("scpdown4", 8, 2),
+    ("scpdown5", 8, 2),
+    ("scpdown6", 8, 2),
+    ("scpup1", 8, 2),
+    ("scpup2", 8, 2),
+    ("scpup3", 8, 2),
+    ("scpup5", 8, 2),
+    ("scpup6", 8, 2),
+    ("sftp1", 9, 2),
+    ("sftp_down_3a", 9, 2),
+    ("sftp_down_3b", 9, 2),
+    ("sftp_up_2a", 9, 2),
+    ("sftp_up_2b", 9, 2),
+    ("sftpdown1", 9, 2),
+    ("sftpdown2", 9, 2),
+    ("sftpup1", 9, 2),
+    ("skype_file1", 10, 2),
+    ("skype_file2", 10, 2),
+    ("skype_file3", 10, 2),
+    ("skype_file4", 10, 2),
+    ("skype_file5", 10, 2),
+    ("skype_file6", 10, 2),
+    ("skype_file7", 10, 2),
+    ("skype_file8", 10, 2),
+    ("netflix1", 7, 3),
+    ("netflix2", 7, 3),
+    ("netflix3", 7, 3),
+    ("netflix4", 7, 3),
+    ("spotify1", 11, 3),
+    ("spotify2", 11, 3),
+    ("spotify3", 11, 3),
+    ("spotify4", 11, 3),
+    ("vimeo1", 12, 3),
+    ("vimeo2", 12, 3),
+    ("vimeo3", 12, 3),
+    ("vimeo4", 12, 3),
+    ("youtube1", 14, 3),
+    ("youtube2", 14, 3),
+    ("youtube3", 14, 3),
+    ("youtube4", 14, 3),
+    ("youtube5", 14, 3),
+    ("youtube6", 14, 3),
+    ("youtubehtml5_1", 14, 3),
+    ("facebook_audio1a", 2, 4),
+    ("facebook_audio1b", 2, 4),
+    ("facebook_audio2a", 2, 4),
+    ("facebook_audio2b", 2, 4),
+    ("facebook_audio3", 2, 4),
+    ("facebook_audio4", 2, 4),
+    ("facebook_video1a", 2, 4),
+    ("facebook_video1b", 2, 4),
+    ("facebook_video2a", 2, 4),
+    ("facebook_video2b", 2, 4),
+    ("hangouts_audio1a", 5, 4),
+    ("hangouts_audio1b", 5, 4),
+    ("hangouts_audio2a", 5, 4),
+    ("hangouts_audio2b", 5, 4),
+    ("hangouts_audio3", 5, 4),
+    ("hangouts_audio4", 5, 4),
+    ("hangouts_video1b", 5, 4),
+    ("hangouts_video2a", 5, 4),
+    ("hangouts_video2b", 5, 4),
+    ("skype_audio1a", 10, 4),
+    ("skype_audio1b", 10, 4),
+    ("skype_audio2a", 10, 4),
+    ("skype_audio2b", 10, 4),
+    ("skype_audio3", 10, 4),
+    ("skype_audio4", 10, 4),
+    ("skype_video1a", 10, 4),
+    ("skype_video1b", 10, 4),
+    ("skype_video2a", 10, 4),
+    ("skype_video2b", 10, 4),
+    ("voipbuster1b", 13, 4),
+    ("voipbuster2b", 13, 4),
+    ("voipbuster3b", 13, 4),
+    ("voipbuster_4a", 13, 4),
+    ("voipbuster_4b", 13, 4),
+    ("vpn_aim_chat1a", None, 5),
+    ("vpn_aim_chat1b", None, 5),
+    ("vpn_facebook_chat1a", None, 5),
+    ("vpn_facebook_chat1b", None, 5),
+    ("vpn_hangouts_chat1a", None, 5),
+    ("vpn_hangouts_chat1b", None, 5),
+    ("vpn_icq_chat1a", None, 5),
+    ("vpn_icq_chat1b", None, 5),
+    ("vpn_skype_chat1a", None, 5),
+    ("vpn_skype_chat1b", None, 5),
+    ("vpn_ftps_a", None, 6),
+    ("vpn_ftps_b", None, 6),
+    ("vpn_sftp_a", None, 6),
+    ("vpn_sftp_b", None, 6),
+    ("vpn_skype_files1a", None, 6),
+    ("vpn_skype_files1b", None, 6),
+    ("vpn_email2a", None, 7),
+    ("vpn_email2b", None, 7),
+    ("vpn_netflix_a", None, 8),
+    ("vpn_spotify_a", None, 8),
+    ("vpn_vimeo_a", None, 8),
+    ("vpn_vimeo_b", None, 8),
+    ("vpn_youtube_a", None, 8),
+    ("vpn_bittorrent", None, 9),
+    ("vpn_facebook_audio2", None, 10),
+    ("vpn_hangouts_audio1", None, 10),
+    ("vpn_hangouts_audio2", None, 10),
+    ("vpn_skype_audio1", None, 10),
+    ("vpn_skype_audio2", None, 10),
+    ("vpn_voipbuster1a", None, 10),
+    ("vpn_voipbuster1b", None, 10),
+]
+
+# Task, class id, display name.
+LABEL_NAMES = [
+    ("app", 0, "AIM Chat"),
+    ("app", 1, "Email"),
+    ("app", 2, "Facebook"),
+    ("app", 3, "FTPS"),
+    ("app", 4, "Gmail"),
+    ("app", 5, "Hangouts"),
+    ("app", 6, "ICQ"),
+    ("app", 7, "Netflix"),
+    ("app", 8, "SCP"),
+    ("app", 9, "SFTP"),
+    ("app", 10, "Skype"),
+    ("app", 11, "Spotify"),
+    ("app", 12, "Vimeo"),
+    ("app", 13, "Voipbuster"),
+    ("app", 14, "Youtube"),
+    ("traffic", 0, "Chat"),
+    ("traffic", 1, "Email"),
+    ("traffic", 2, "File Transfer"),
+    ("traffic", 3, "Streaming"),
+    ("traffic", 4, "Voip"),
+    ("traffic", 5, "VPN: Chat"),
+    ("traffic", 6, "VPN: File Transfer"),
+    ("traffic", 7, "VPN: Email"),
+    ("traffic", 8, "VPN: Streaming"),
+    ("traffic", 9, "VPN: Torrent"),
+    ("traffic", 10, "VPN: Voip"),
+]
 
 TASKS = {"app": "app_label", "traffic": "traffic_label"}
 
-
-def _parse(text: str) -> list[tuple[int, str, list[str]]]:
-    out = []
-    for line in text.strip().splitlines():
-        head, prefixes = line.rsplit(": ", 1) if line.count(": ") > 1 else line.split(": ", 1)
-        # Names may contain ": " (e.g. "VPN: Chat"); prefixes never do.
-        num, name = head.split(" ", 1)
-        out.append((int(num), name, prefixes.split()))
-    return out
-
-
-def app_classes() -> list[tuple[int, str, list[str]]]:
-    return _parse(APP_CLASSES)
-
-
-def traffic_classes() -> list[tuple[int, str, list[str]]]:
-    return _parse(TRAFFIC_CLASSES)
-
-
-def prefix_rows() -> list[tuple[str, int | None, int | None]]:
-    app = {p: i for i, _n, ps in app_classes() for p in ps}
-    traffic = {p: i for i, _n, ps in traffic_classes() for p in ps}
-    keys = list(dict.fromkeys(list(traffic) + list(app)))
-    return [(k, app.get(k), traffic.get(k)) for k in keys]
-
-
-def name_rows() -> list[tuple[str, int, str]]:
-    return ([("app", i, n) for i, n, _p in app_classes()]
-            + [("traffic", i, n) for i, n, _p in traffic_classes()])
-
-
 LABEL_PREFIX_SCHEMA = T.StructType([
     T.StructField("prefix", T.StringType(), False),
     T.StructField("app_id", T.IntegerType(), True),
@@ -90,11 +199,11 @@ LABEL_NAME_SCHEMA = T.StructType([
 
 
 def label_prefix_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(prefix_rows(), LABEL_PREFIX_SCHEMA)
+    return spark.createDataFrame(LABEL_PREFIXES, LABEL_PREFIX_SCHEMA)
 
 
 def label_name_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(name_rows(), LABEL_NAME_SCHEMA)
+    return spark.createDataFrame(LABEL_NAMES, LABEL_NAME_SCHEMA)
 
 
 def capture_prefix(path: str | Column = "path") -> Column:

@@ -25,12 +25,16 @@ def _grid(scored: DataFrame, label: str, prediction: str, num_classes: int | Non
 
 def confusion_matrix(scored: DataFrame, label: str = "label", prediction: str = "prediction",
                      num_classes: int | None = None) -> DataFrame:
-    """M1: ``(label, prediction, n)`` for every cell, zeros included; row = truth."""
+    """M1: ``(label, prediction, n)`` for every cell, zeros included; row = truth.
+
+    Pairs outside of the grid, null labels or predictions among them, get
+    cells of their own, so the cells always add up to the number of rows.
+    """
     counts = scored.groupBy(F.col(label).cast("int").alias("label"),
                             F.col(prediction).cast("int").alias("prediction")).agg(F.count("*").alias("n"))
     grid = _grid(scored, label, prediction, num_classes)
-    return grid.join(counts, ["label", "prediction"], "left").select(
-        "label", "prediction", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    cells = grid.withColumn("n", F.lit(0).cast("bigint")).unionByName(counts)
+    return cells.groupBy("label", "prediction").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 def confusion_wide(matrix: DataFrame, num_classes: int) -> DataFrame:
@@ -45,7 +49,7 @@ def class_report(matrix: DataFrame, task: str | None = None) -> DataFrame:
     tp = matrix.where(F.col("label") == F.col("prediction")).select(F.col("label").alias("cls"), F.col("n").alias("tp"))
     rows = matrix.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("row_sum"))
     cols = matrix.groupBy(F.col("prediction").alias("cls")).agg(F.sum("n").alias("col_sum"))
-    rep = rows.join(cols, "cls", "full").join(tp, "cls", "left").select(
+    rep = rows.join(cols, "cls", "full").join(tp, "cls", "left").where(F.col("cls").isNotNull()).select(
         "cls",
         F.try_divide(F.col("tp").cast("double"), F.when(F.col("col_sum") > 0, F.col("col_sum"))).alias("precision"),
         F.try_divide(F.col("tp").cast("double"), F.when(F.col("row_sum") > 0, F.col("row_sum"))).alias("recall"))

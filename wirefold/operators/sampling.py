@@ -18,11 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wirefold.operators.labels import TASKS
 from wirefold.session import checkpoint_root
 
 # Fixed value: seed of the split and of the under-sampling order.
 SEED = 9876
 TWO_32 = 4294967296
+BROADCAST_GROUPS = 200_000  # largest per-group table (three numbers a row) that is broadcast
+SALTS = 16
 
 
 def _key_list(key) -> list[str]:
@@ -119,10 +122,11 @@ def min_label_count(df: DataFrame, label: str = "label") -> DataFrame:
 def min_count_per_label(df: DataFrame, label: str = "label") -> DataFrame:
     """B6 as ``(label, n)``: every class paired with the smallest class size.
 
-    The window runs over the class-count table (one row per class), never over data rows.
+    The smallest size is one row, attached by a join on a constant.
     """
     counts = label_counts(df, label)
-    return counts.select(label, F.min("count").over(Window.partitionBy()).alias("n"))
+    least = counts.agg(F.min("count").alias("n")).withColumn("_one", F.lit(1))
+    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(least), "_one").select(label, "n")
 
 
 def _cut(counts: DataFrame, group: list[str], bucket: str, need: str) -> DataFrame:
@@ -133,46 +137,68 @@ def _cut(counts: DataFrame, group: list[str], bucket: str, need: str) -> DataFra
         *group, F.col(bucket).alias(bucket + "_cut"), (F.col(need) - F.col("_before")).alias(bucket + "_need"))
 
 
+def _null_safe(left: DataFrame, right: DataFrame, group: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``group`` with nulls equal; keeps the left columns of the key."""
+    renamed = right.select(*[F.col(g).alias("_g_" + g) for g in group], *[c for c in right.columns if c not in group])
+    on = [left[g].eqNullSafe(renamed["_g_" + g]) for g in group]
+    return left.join(renamed, on, how).drop(*["_g_" + g for g in group])
+
+
+def _attach(rows: DataFrame, per_group: DataFrame, group: list[str]) -> DataFrame:
+    """Data rows with the columns of a table of one row per group, without dealing them by the group alone.
+
+    ``per_group`` is a checkpointed table.  Up to ``BROADCAST_GROUPS`` groups
+    (counted) it is broadcast; beyond, data rows are dealt by (group, salt)
+    and the table is repeated once per salt.
+    """
+    if per_group.count() <= BROADCAST_GROUPS:
+        return _null_safe(rows, F.broadcast(per_group), group)
+    salted = rows.withColumn("_salt", (F.col("_h1") % SALTS).cast("int"))
+    repeated = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return _null_safe(salted, repeated, [*group, "_salt"]).drop("_salt")
+
+
 def top_n_per_group(df: DataFrame, group, n, key, seed: int = SEED) -> DataFrame:
     """The first ``n`` rows of each group in (hash, key) order — a seeded random top-n.
 
     ``n`` is an int or a DataFrame ``(group..., n)`` with one row per group.
     Equal to
-    ``row_number() OVER (PARTITION BY group ORDER BY h1, h2, key) <= n``.
+    ``row_number() OVER (PARTITION BY group ORDER BY h1, h2, key) <= n``:
+    null groups are a group, n <= 0 and groups that ``n`` doesn't list give no
+    rows.  Jobs run while the plan is built, to measure the per-group tables.
     """
     group = _key_list(group)
     keys = _key_list(key)
     h1, h2 = hash_words(keys, seed)
     wide = df.withColumns({"_h1": h1, "_h2": h2}).withColumns(
         {"_b1": F.expr("_h1 DIV 65536"), "_b2": F.expr("_h1 % 65536")})
-    narrow = wide.select(*group, *keys, "_h1", "_h2", "_b1", "_b2")
-
-    def with_n(d: DataFrame) -> DataFrame:
-        if isinstance(n, int):
-            return d.withColumn("_n", F.lit(n).cast("bigint"))
-        return d.join(n.select(*group, F.col("n").cast("bigint").alias("_n")), group, "inner")
+    checkpoint_root(df.sparkSession)
 
     # Level 1: high 16 bits of h1 (class-size histogram, partial aggregation).
-    # The per-group cut tables are tiny; they are checkpointed to the shared
-    # checkpoint folder so the source is not re-derived in every branch.
-    checkpoint_root(df.sparkSession)
-    c1 = with_n(narrow.groupBy(*group, "_b1").agg(F.count("*").alias("_cnt")))
-    cut1 = _cut(c1, group, "_b1", "_n").checkpoint(eager=True)
+    sizes = wide.groupBy(*group, "_b1").agg(F.count("*").alias("_cnt"))
+    if isinstance(n, int):
+        c1 = sizes.withColumn("_n", F.lit(n).cast("bigint"))
+    else:
+        c1 = _null_safe(sizes, n.select(*group, F.col("n").cast("bigint").alias("_n")), group)
+    c1 = c1.where("_n > 0").checkpoint(eager=True)
+    total = c1.groupBy(*group).agg(F.sum("_cnt").alias("_size"), F.first("_n").alias("_n"))
+    whole = total.where("_size <= _n").select(*group, F.lit(65536).cast("bigint").alias("_b1_cut"), F.lit(0).cast("bigint").alias("_b1_need"))
+    cut1 = _cut(c1, group, "_b1", "_n")
+    cut1 = whole.unionByName(_null_safe(cut1, whole.select(*group), group, "left_anti")).checkpoint(eager=True)
     # Level 2: low 16 bits, over the rows of each group's cut bucket only (~1/65536 of a group).
-    cand1 = wide.join(cut1, group, "inner").where(F.col("_b1") == F.col("_b1_cut")).checkpoint(eager=True)
+    bounded = _attach(wide, cut1, group)
+    cand1 = bounded.where(F.col("_b1") == F.col("_b1_cut")).checkpoint(eager=True)
     c2 = cand1.groupBy(*group, "_b2", "_b1_need").agg(F.count("*").alias("_cnt"))
     cut2 = _cut(c2, group, "_b2", "_b1_need").checkpoint(eager=True)
-    # Level 3: rows sharing the cut's full 32-bit value, ranked by (h2, key).
-    cand2 = cand1.join(cut2, group, "inner").where(F.col("_b2") == F.col("_b2_cut"))
-    rw = Window.partitionBy(*group).orderBy("_h2", *keys)
+    # Level 3: rows sharing the cut's full 32-bit value, ranked by (h2, key); below it all rows of the cut bucket stay.
+    cand2 = _attach(cand1, cut2, group)
     helpers = ["_h1", "_h2", "_b1", "_b2", "_b1_cut", "_b1_need", "_b2_cut", "_b2_need"]
-    at_cut = (cand2.withColumn("_rn", F.row_number().over(rw))
+    rw = Window.partitionBy(*group).orderBy("_h2", *keys)
+    at_cut = (cand2.where(F.col("_b2") == F.col("_b2_cut")).withColumn("_rn", F.row_number().over(rw))
               .where(F.col("_rn") <= F.col("_b2_need")).drop("_rn", *helpers))
-    bounds = cut1.join(cut2.select(*group, "_b2_cut"), group, "left").select(*group, "_b1_cut", "_b2_cut")
-    keep = (F.col("_b1_cut").isNull() | (F.col("_b1") < F.col("_b1_cut"))
-            | ((F.col("_b1") == F.col("_b1_cut")) & (F.col("_b2") < F.col("_b2_cut"))))
-    below = wide.join(bounds, group, "left").where(keep).drop(*helpers)
-    return below.unionByName(at_cut)
+    in_bucket = cand2.where(F.col("_b2") < F.col("_b2_cut")).drop(*helpers)
+    below = bounded.where(F.col("_b1") < F.col("_b1_cut")).drop(*helpers)
+    return below.unionByName(in_bucket).unionByName(at_cut)
 
 
 def undersample(df: DataFrame, key, label: str = "label", seed: int = SEED) -> DataFrame:
@@ -191,11 +217,18 @@ def split_train_test(df: DataFrame, key, label: str = "label", test_size=0.2, un
 
 def task_sets(df: DataFrame, label_col: str, key, test_size=0.2, under_sampling: bool = False,
               seed: int = SEED) -> DataFrame:
-    """One task's rows with ``split`` in {train, test} (write with ``partitionBy('split')``)."""
+    """One task's rows with ``split`` in {train, test} (write with ``partitionBy('split')``).
+
+    Without balancing this is one projection of one scan.  Balancing works on
+    stored bytes where there are any, so that no vector is shuffled.
+    """
     keys = _key_list(key)
-    feat = "fbytes" if "feature" not in df.columns and "fbytes" in df.columns else "feature"
+    feat = "fbytes" if "fbytes" in df.columns else "feature"
     t = df.where(F.col(label_col).isNotNull()).select(*keys, feat, F.col(label_col).alias("label"))
-    train, test = split_train_test(t, keys, "label", test_size, under_sampling, seed)
+    if not under_sampling:
+        flagged = stratified_flag(t, keys, "label", test_size, seed)
+        return flagged.withColumn("split", F.when(F.col("is_test"), "test").otherwise("train")).drop("is_test")
+    train, test = split_train_test(t, keys, "label", test_size, True, seed)
     return (train.withColumn("split", F.lit("train"))
             .unionByName(test.withColumn("split", F.lit("test"))))
 
@@ -214,7 +247,7 @@ def build_both_task_sets(samples: DataFrame, out: str, key, test_size=0.2, under
                          seed: int = SEED) -> dict[str, str]:
     """Application and traffic sets from one stored sample table."""
     paths = {}
-    for task, col in (("application_classification", "app_label"), ("traffic_classification", "traffic_label")):
+    for task, col in TASKS.items():
         paths[task] = build_task_sets(samples, col, f"{out}/{task}", key, test_size, under_sampling, seed)
     return paths
 

@@ -28,12 +28,6 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> tuple[dict[str, QueryFn], dict[str, str]]:
     """Import every query module so the registry is complete."""
-    from wirefold.plans import packet_queries  # noqa: F401
-
-    for mod in ("sampling_queries", "vector_queries", "scoring_queries", "io_queries"):
-        try:
-            __import__(f"wirefold.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"wirefold.plans.{mod}":
-                raise
+    from wirefold.plans import packet_queries, sampling_queries, scoring_queries, vector_queries  # noqa: F401
+
     return QUERIES, ORACLES

@@ -151,8 +151,8 @@ _TRAFFIC = "CASE lprefix WHEN 'email1a' THEN 1 WHEN 'netflix1' THEN 3 WHEN 'vpn_
 @register("both_task_sets", with_kept(f"""
 SELECT task, CASE WHEN {test_sql('path', 'packet_no')} THEN 'test' ELSE 'train' END AS split,
        CAST(label AS BIGINT) AS label, count(*) AS n
-FROM (SELECT 'application_classification' AS task, path, packet_no, {_APP} AS label FROM kept
-      UNION ALL SELECT 'traffic_classification', path, packet_no, {_TRAFFIC} FROM kept)
+FROM (SELECT 'app' AS task, path, packet_no, {_APP} AS label FROM kept
+      UNION ALL SELECT 'traffic', path, packet_no, {_TRAFFIC} FROM kept)
 WHERE label IS NOT NULL GROUP BY 1, 2, 3"""))
 def both_task_sets(spark, sf):
     """Application and traffic sets from one stored sample table (bytes stored,

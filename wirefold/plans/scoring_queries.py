@@ -10,7 +10,7 @@ from wirefold.operators import features as FE
 from wirefold.operators import models as MO
 from wirefold.operators import sampling as B
 from wirefold.operators import scoring as SC
-from wirefold.operators.labels import traffic_classes
+from wirefold.operators.labels import LABEL_NAMES
 from wirefold.plans.oracle_base import byte_digest_sql, with_ev, with_kept
 from wirefold.plans.registry import register
 from wirefold.plans.sampling_queries import test_sql
@@ -32,7 +32,8 @@ def rule_predictions(packets: DataFrame) -> DataFrame:
 
 
 def _traffic_name_sql(col: str) -> str:
-    return "CASE " + col + " " + " ".join(f"WHEN {i} THEN '{n}'" for i, n, _p in traffic_classes()) + " END"
+    return "CASE " + col + " " + " ".join(
+        f"WHEN {i} THEN '{n}'" for task, i, n in LABEL_NAMES if task == "traffic") + " END"
 
 
 _VOTE_CTE = """,

@@ -7,6 +7,7 @@ in settings that are missing, so a cluster's own configuration always wins.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -49,6 +50,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="wirefold-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     # Make RDD-level checkpoint() use the same folder.
@@ -65,37 +68,3 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the given parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make ``wirefold`` importable in Python workers (once per application).
-
-    On a cluster the package is normally installed on the executors or passed
-    with ``--py-files``; here it is zipped into the shared checkpoint folder
-    and added with ``addPyFile`` when that folder is a local path.
-    """
-    sc = spark.sparkContext
-    app = sc.applicationId
-    if app in _SHIPPED:
-        return
-    root = checkpoint_root(spark)
-    local = root[len("file:"):] if root.startswith("file:") else root
-    if "://" in local:
-        _SHIPPED.add(app)
-        return
-    import zipfile
-
-    pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    os.makedirs(local, exist_ok=True)
-    target = os.path.join(local, f"wirefold-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
-        for base, _dirs, files in os.walk(pkg_dir):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(base, f)
-                    zf.write(full, os.path.join("wirefold", os.path.relpath(full, pkg_dir)))
-    sc.addPyFile(target)
-    _SHIPPED.add(app)

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirefold.functions.packet import HDR_FLAT_FIELDS, add_flat_headers, hdr_struct
-from wirefold.session import ship_package
 from wirefold.sources.capture_format import MTU, CaptureError, format_error, iter_records
 
 PACKET_FIELDS = [
@@ -149,7 +148,6 @@ def decode_packets(captures: DataFrame, mode: str = "PERMISSIVE", mtu: int = MTU
     struct ``hdr`` (P1/P2) is parsed in the same pass, vectorised per batch.
     """
     failfast = mode.upper() == "FAILFAST"
-    ship_package(captures.sparkSession)
     src = captures.select(
         F.col("path") if "path" in captures.columns else F.lit(None).cast("string").alias("path"),
         "content",
