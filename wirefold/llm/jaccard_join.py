@@ -45,8 +45,9 @@ from wirefold.llm.common import connected_components, id_bitmap, in_bitmap, mate
 SHINGLE_WORDS = 5
 THRESHOLD = (75, 100)  # similarity >= 75 / 100, compared in integers
 PER_BUCKET = 2.5  # shingles per bucket at the upper end of a size band
-CHUNK_ROWS = 512  # documents per chunk of a cluster
-CHUNK_SHINGLES = 1 << 20  # shingles per chunk of a cluster
+CHUNK_ROWS = 4096  # documents per chunk of a cluster
+CHUNK_SHINGLES = 1 << 22  # shingles per chunk of a cluster (32 MB)
+SKETCH_WORDS = 512  # widest bit sketch in 64-bit words; sets beyond 8,192 shingles are filtered less sharply
 _U = np.uint64
 _C = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
 
@@ -165,13 +166,13 @@ def candidate_edges(signatures: DataFrame) -> DataFrame:
 
 
 def _bit_sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of bits per set, at least four bits per shingle; every shingle flips one bit."""
-    words = max(1, -(-4 * max(map(len, sets)) // 64))
-    out = np.zeros((len(sets), words * 64), np.uint8)
-    for i, s in enumerate(sets):
+    """One row of bits per set, four bits per shingle of the largest up to ``SKETCH_WORDS``; every shingle flips one bit."""
+    words = min(SKETCH_WORDS, max(1, -(-4 * max(map(len, sets)) // 64)))
+    out = np.zeros((len(sets), words), np.uint64)
+    for row, s in zip(out, sets):
         at = (((s & _U(0xFFFFFFFF)) * _U(words * 64)) >> _U(32)).astype(np.int64)
-        out[i] = np.bincount(at, minlength=words * 64) & 1
-    return np.packbits(out, axis=1).view(np.uint64)
+        row[:] = np.packbits((np.bincount(at, minlength=words * 64) & 1).astype(np.uint8)).view(np.uint64)
+    return out
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
