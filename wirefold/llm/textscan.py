@@ -9,8 +9,11 @@ is a few passes over the buffer, whatever the number of words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -70,6 +73,22 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+PIECE_BYTES = 4 << 20
+
+
+def pieces(column: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive slices of a string column with a few megabytes of text each (or one longer text)."""
+    lo, size = 0, 0
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for i, n in enumerate(lengths.tolist()):
+        size += n
+        if size >= PIECE_BYTES:
+            yield column.slice(lo, i + 1 - lo)
+            lo, size = i + 1, 0
+    if lo < len(column):
+        yield column.slice(lo)
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte ranges of the words; no word spans two texts."""
     n = len(data)
