@@ -70,8 +70,8 @@ def document_frequencies(docs: DataFrame, text: str, vocabulary: np.ndarray) ->
     def scan(batches):
         voc = known.value
         total = np.zeros(len(voc), np.int64)
-        for b in batches:
-            h, first = _words(b.column("text"))
+        for part in (p for b in batches for p in ts.pieces(b.column("text"))):
+            h, first = _words(part)
             at = np.searchsorted(voc, h)
             at[at == len(voc)] = 0
             hit = np.flatnonzero(voc[at] == h)
@@ -171,21 +171,22 @@ def _hits_udf(shared) -> Callable[[Column], Column]:
 
     def scan(texts):
         index = shared.value
-        h, first = _words(texts)
-        start, win = index.occurrences(h, first)
-        doc = np.searchsorted(first, start, "right") - 1
-        order = np.argsort(doc, kind="stable")
-        start, win, doc = start[order], win[order], doc[order]
-        cut = np.searchsorted(doc, np.arange(len(first)))
         out = []
-        for i, n in enumerate(np.diff(first)):
-            a, z = cut[i], cut[i + 1]
-            spans, names = [], []
-            if z > a:
-                s = start[a:z] - first[i]
-                spans = _merged(s, s + index.length[win[a:z]])
-                names = sorted({x for w in np.unique(win[a:z]) for x in index.items[w]})
-            out.append({"n_words": int(n), "spans": spans, "items": names})
+        for part in ts.pieces(texts):
+            h, first = _words(part)
+            start, win = index.occurrences(h, first)
+            doc = np.searchsorted(first, start, "right") - 1
+            order = np.argsort(doc, kind="stable")
+            start, win, doc = start[order], win[order], doc[order]
+            cut = np.searchsorted(doc, np.arange(len(first)))
+            for i, n in enumerate(np.diff(first)):
+                a, z = cut[i], cut[i + 1]
+                spans, names = [], []
+                if z > a:
+                    s = start[a:z] - first[i]
+                    spans = _merged(s, s + index.length[win[a:z]])
+                    names = sorted({x for w in np.unique(win[a:z]) for x in index.items[w]})
+                out.append({"n_words": int(n), "spans": spans, "items": names})
         return pa.array(out, _HITS_ARROW)
 
     scan.__annotations__ = {"texts": pa.Array, "return": pa.Array}

@@ -54,10 +54,11 @@ _C = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    data, offsets = ts.text_buffer(texts)
-    _, _, h, first = ts.words(data, offsets, ts.SPACES)
-    for a, b in zip(first[:-1], first[1:]):
-        yield np.unique(ts.shingles(h[a:b], k))
+    for part in ts.pieces(texts):
+        data, offsets = ts.text_buffer(part)
+        _, _, h, first = ts.words(data, offsets, ts.SPACES)
+        for a, b in zip(first[:-1], first[1:]):
+            yield np.unique(ts.shingles(h[a:b], k))
 
 
 def _class_id(s: np.ndarray) -> int:
