@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wirefold.functions import packet as P
 from wirefold.operators.labels import attach_labels
-from wirefold.sources.captures import decode_packets
+from wirefold.sources.captures import decode_packets, spread_packets
 
 
 def ensure_headers(packets: DataFrame) -> DataFrame:
@@ -51,15 +51,19 @@ def to_features(packets: DataFrame, n: int = P.FEATURE_LEN, keep: tuple[str, ...
 
 
 def preprocess(captures: DataFrame, n: int = P.FEATURE_LEN, with_key: bool = True, as_bytes: bool = False,
-               **opts) -> DataFrame:
+               num_partitions: int | None = None, **opts) -> DataFrame:
     """Captures -> ``samples(app_label, traffic_label, feature)``.
 
     With ``with_key`` the stable row key ``(path, packet_no)`` is kept too, so
     later splits do not depend on partitioning. With ``as_bytes`` the sample
     keeps the rewritten packet bytes (``fbytes``, tens of bytes) instead of the
     1500-double vector (12 kB); ``with_feature`` derives the vector later.
+    ``num_partitions`` deals the decoded packets anew, for a few huge captures.
     """
-    fb = feature_bytes(decode_packets(captures), **opts)
+    packets = decode_packets(captures)
+    if num_partitions:
+        packets = spread_packets(packets, num_partitions)
+    fb = feature_bytes(packets, **opts)
     keep = ["path", "packet_no"] if with_key else []
     if as_bytes:
         return attach_labels(fb.select("path", "packet_no", "fbytes")).select(

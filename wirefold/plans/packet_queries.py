@@ -16,7 +16,7 @@ from wirefold.plans.oracle_base import byte_digest_sql, with_ev, with_kept
 from wirefold.plans.registry import register
 from wirefold.sources import captures as C
 from wirefold.sources import files as FS
-from wirefold.sources.synthetic import captures_from_events
+from wirefold.sources.synthetic import captures_from_events, recoded_captures
 
 
 def packets(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,6 +50,47 @@ def packet_decode(spark, sf):
                                      F.md5("data").alias("data_md5"))
 
 
+_DECODED = """
+SELECT path, packet_no, CAST(frame_len AS BIGINT) AS caplen, CAST(frame_len AS BIGINT) AS wirelen,
+       CAST(1 AS INTEGER) AS linktype, CAST({} AS BIGINT) AS snaplen, CAST(ts_us * 1000 AS BIGINT) AS ts_nanos,
+       md5(unhex(frame_hex)) AS data_md5
+FROM ev"""
+
+
+def _decoded(captures: DataFrame) -> DataFrame:
+    return C.decode_packets(captures).select("path", "packet_no", "caplen", "wirelen", "linktype", "snaplen", "ts_nanos",
+                                             F.md5("data").alias("data_md5"))
+
+
+@register("gzip_decode", with_ev(_DECODED.format(65535)))
+def gzip_decode(spark, sf):
+    """Gzip captures."""
+    return _decoded(recoded_captures(captures_from_events(spark, sf), "gzip"))
+
+
+@register("pcapng_decode", with_ev(_DECODED.format(65535)))
+def pcapng_decode(spark, sf):
+    """Block-format captures."""
+    return _decoded(recoded_captures(captures_from_events(spark, sf), "pcapng"))
+
+
+@register("capture_rejects", with_ev("""
+SELECT DISTINCT path, CASE prefix WHEN 'netflix1' THEN 'too short' WHEN 'vpn_email2a' THEN 'bad gzip' ELSE 'bad magic' END AS format_error
+FROM ev WHERE prefix <> 'Email1a'"""))
+def capture_rejects(spark, sf):
+    """Damaged captures are skipped by the decoder and reported with a reason; a sound one is neither."""
+    caps = captures_from_events(spark, sf)
+    kind = F.lower(F.element_at(F.split("path", "/"), -1))
+    whole = recoded_captures(caps.where(kind.startswith("vpn_")), "gzip")
+    damaged = caps.where(~kind.startswith("vpn_")).withColumn(
+        "content", F.when(kind.startswith("netflix"), F.expr("substring(content, 1, 20)"))
+        .when(kind.startswith("mystery"), F.expr("overlay(content PLACING X'00' FROM 1 FOR 1)")).otherwise(F.col("content")))
+    damaged = damaged.unionByName(whole.withColumn("content", F.expr("substring(content, 1, length(content) - 9)")))
+    rejected = C.capture_rejects(damaged).select("path", "format_error")
+    read = C.decode_packets(damaged).select("path").distinct()
+    return rejected.join(read, "path", "left_anti")
+
+
 @register("capture_format", with_ev("""
 SELECT DISTINCT path, ['A1B2C3D4', 'D4C3B2A1', 'A1B23C4D'][user_id % 3 + 1] AS magic,
        CASE WHEN user_id % 3 = 1 THEN 'little' ELSE 'big' END AS endian, user_id % 3 = 2 AS nano,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wirefold.functions import packet as P
 from wirefold.operators import features as FE
+from wirefold.operators import metrics as M
 from wirefold.operators import models as MO
 from wirefold.operators import sampling as B
 from wirefold.operators import scoring as SC
@@ -134,84 +135,125 @@ def split_parquet_roundtrip(spark, sf):
                                               F.round(F.sum(F.col("feature")[0]), 2).alias("price_sum"))
 
 
-# --- models (rows-only checks; properties are tested in tests/) ---------------------------
+# --- models -----------------------------------------------------------------------------
+# What a model predicts depends on its training; checked exactly are the features, the rows
+# scored, the range of the classes, the votes, and that a stored model scores like the first.
 
-def _embedding_sets(spark, sf):
-    e = read_table(spark, sf, "embeddings").select(
+EMBEDDING_WIDTH = 64
+
+
+def _embeddings(spark, sf):
+    return read_table(spark, sf, "embeddings").select(
         "vec_id", F.expr("transform(embedding, x -> CAST(x AS DOUBLE))").alias("feature"), "label")
-    return B.train_test_split(e, "vec_id", "label", 0.2)
 
 
-@register("cnn_features")
-def cnn_features(spark, sf):
-    """V8: random-convolution features of the cnn / app preset over each embedding."""
-    p = MO.preset("cnn", "app")
-    t = MO.RandomConvFeatures(inputCol="feature", outputCol="conv", kernelSpec=MO.flat_spec(p["kernels"]),
-                              numFilters=32, padding=p["padding"])
-    e = read_table(spark, sf, "embeddings").select(
-        "vec_id", F.expr("transform(embedding, x -> CAST(x AS DOUBLE))").alias("feature"))
+def _conv_sql(model_type: str, task: str, width: int = EMBEDDING_WIDTH) -> str:
+    """SQL of the preset's convolution features: the kernels' numbers, drawn from the seed, written out."""
+    p = MO.preset(model_type, task)
+    same = p["padding"] == "same"
+    parts = []
+    for i, (k, stride, w, bias) in enumerate(MO.random_kernels(p["kernels"], p["filters"])):
+        n_out = -(-width // stride) if same else (width - k) // stride + 1
+        left = max(0, (n_out - 1) * stride + k - width) // 2 if same else 0
+        rows = ", ".join(f"({f}, {[float(x) for x in w[f]]}::DOUBLE[], {float(bias[f])!r}::DOUBLE)" for f in range(len(bias)))
+        terms = " + ".join(f"w[{j + 1}] * (CASE WHEN o * {stride} + {j - left} BETWEEN 0 AND {width - 1} "
+                           f"THEN x[o * {stride} + {j - left} + 1]::DOUBLE ELSE 0 END)" for j in range(k))
+        y = f"(SELECT vec_id, f, {terms} + b AS y FROM e, (VALUES {rows}) AS k(f, w, b), range({n_out}) AS r(o))"
+        first, second = ("avg(greatest(y, 0))", "max(greatest(y, 0))") if same else ("max(y)", "avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END)")
+        parts.append(f"SELECT vec_id, f, {first} AS a, {second} AS c FROM {y} GROUP BY vec_id, f")
+    return (f"WITH e AS (SELECT vec_id, embedding AS x FROM embeddings), u AS ({' UNION ALL '.join(parts)}) "
+            "SELECT vec_id, CAST(2 * count(*) AS INTEGER) AS n_features, round(sum(a), 4) AS first_sum, round(sum(c), 4) AS second_sum "
+            "FROM u GROUP BY vec_id")
+
+
+def _conv_query(spark, sf, model_type: str, task: str):
     from pyspark.ml.functions import vector_to_array
 
-    out = t.transform(e).select("vec_id", vector_to_array("conv").alias("c"))
-    return out.select("vec_id", F.size("c").alias("n_features"),
-                      F.round(F.expr("aggregate(c, 0D, (s, x) -> s + x)"), 6).alias("total"))
+    p = MO.preset(model_type, task)
+    t = MO.RandomConvFeatures(inputCol="feature", outputCol="conv", kernelSpec=MO.flat_spec(p["kernels"]),
+                              numFilters=p["filters"], padding=p["padding"], inputWidth=EMBEDDING_WIDTH)
+    out = t.transform(_embeddings(spark, sf)).select("vec_id", vector_to_array("conv").alias("c"))
+    half = f"int(i / {p['filters']}) % 2"
+    return out.select("vec_id", F.size("c").alias("n_features"), *[
+        F.round(F.expr(f"aggregate(filter(c, (x, i) -> {half} = {part}), 0D, (s, x) -> s + x)"), 4).alias(name)
+        for part, name in ((0, "first_sum"), (1, "second_sum"))])
 
 
-@register("resnet_features")
+@register("cnn_features", _conv_sql("cnn", "app"))
+def cnn_features(spark, sf):
+    """V8: random-convolution features (max, positive share) of the cnn / app preset, all 200 filters."""
+    return _conv_query(spark, sf, "cnn", "app")
+
+
+@register("resnet_features", _conv_sql("resnet", "traffic"))
 def resnet_features(spark, sf):
-    """V9: SAME-padded random-convolution features (resnet / traffic preset)."""
-    p = MO.preset("resnet", "traffic")
-    t = MO.RandomConvFeatures(inputCol="feature", outputCol="conv", kernelSpec=MO.flat_spec(p["kernels"]),
-                              numFilters=32, padding=p["padding"])
-    e = read_table(spark, sf, "embeddings").select(
-        "vec_id", F.expr("transform(embedding, x -> CAST(x AS DOUBLE))").alias("feature"))
-    from pyspark.ml.functions import vector_to_array
+    """V9: SAME-padded random-convolution features (mean, max of ReLU) of the resnet / traffic preset."""
+    return _conv_query(spark, sf, "resnet", "traffic")
+
 
-    out = t.transform(e).select("vec_id", vector_to_array("conv").alias("c"))
-    return out.select("vec_id", F.size("c").alias("n_features"),
-                      F.round(F.expr("aggregate(c, 0D, (s, x) -> s + x)"), 6).alias("total"))
+def _embedding_sets(spark, sf):
+    return B.train_test_split(_embeddings(spark, sf), "vec_id", "label", 0.2)
 
 
-@register("train_mlp")
+@register("train_mlp", f"SELECT vec_id, label, true AS in_range FROM embeddings WHERE {test_sql('vec_id')}")
 def train_mlp(spark, sf):
-    """MLP head (d-200-100-50-k) on cnn features of the embedding train split; test predictions."""
+    """MLP head (d-200-100-50-k) on cnn features at preset settings; one class of the data per test row."""
     train, test = _embedding_sets(spark, sf)
-    model = MO.train(train, "app", "cnn", head="mlp", num_filters=16, max_iter=20)
-    return MO.predict(model, test, ("vec_id", "label"))
+    model = MO.train(train, "app", "cnn", head="mlp", input_width=EMBEDDING_WIDTH)
+    k = train.agg((F.max("label") + 1).alias("k"))
+    scored = MO.predict(model, test, ("vec_id", "label"))
+    return scored.join(F.broadcast(k), F.lit(True)).select(
+        "vec_id", "label", ((F.col("prediction") >= 0) & (F.col("prediction") < F.col("k"))).alias("in_range"))
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", f"SELECT vec_id, true AS same FROM embeddings WHERE {test_sql('vec_id')}")
 def model_roundtrip(spark, sf):
-    """Saved and loaded model scores the test split like the trained one."""
+    """The saved and loaded model scores every test row like the trained one."""
     train, test = _embedding_sets(spark, sf)
-    model = MO.train(train, "traffic", "resnet", head="logistic", num_filters=16, max_iter=30)
+    model = MO.train(train, "traffic", "resnet", head="logistic", input_width=EMBEDDING_WIDTH)
     path = MO.save_model(model, shared_dir(spark, "model"))
     a = MO.predict(model, test, ("vec_id",)).withColumnRenamed("prediction", "before")
     b = MO.predict(MO.load_model(path), test, ("vec_id",)).withColumnRenamed("prediction", "after")
-    return a.join(b, "vec_id")
+    return a.join(b, "vec_id").select("vec_id", (F.col("before") == F.col("after")).alias("same"))
 
 
 def _packet_model(spark, sf, caps):
-    samples = FE.preprocess(caps).where(F.col("traffic_label").isNotNull())
-    train, _ = B.train_test_split(samples, ["path", "packet_no"], "traffic_label", 0.2)
-    return MO.train(train.select("feature", F.col("traffic_label").alias("label")), "traffic", "cnn",
-                    head="logistic", num_filters=8, max_iter=20)
+    """Stored task sets -> train -> save -> load, at preset filters."""
+    stored = shared_dir(spark, "samples")
+    FE.preprocess(caps, as_bytes=True).write.parquet(stored)
+    sets = B.build_task_sets(spark.read.parquet(stored), "traffic_label", shared_dir(spark, "task-set"), ["path", "packet_no"])
+    train = spark.read.parquet(sets).where("split = 'train'")
+    model = MO.train(train, "traffic", "resnet", head="logistic")
+    return MO.load_model(MO.save_model(model, shared_dir(spark, "model"))), sets
 
 
-@register("score_packets")
+@register("score_packets", with_kept("SELECT path, packet_no, true AS in_range FROM kept"))
 def score_packets(spark, sf):
-    """Every kept packet scored by a model trained on the labelled samples."""
+    """Every kept packet scored once by a model trained on the stored task set."""
     caps = captures_from_events(spark, sf)
-    model = _packet_model(spark, sf, caps)
-    return SC.score_packets(FE.to_features(C.decode_packets(caps)), model)
+    model, _ = _packet_model(spark, sf, caps)
+    scored = SC.score_packets(FE.to_features(C.decode_packets(caps)), model)
+    return scored.select("path", "packet_no", F.col("prediction").between(0, N_TRAFFIC - 1).alias("in_range"))
 
 
-@register("score_captures")
+@register("score_captures", with_ev("""
+SELECT path, CAST(count(*) FILTER (WHERE NOT is_control AND NOT is_dns) AS BIGINT) AS n_packets,
+       count(*) FILTER (WHERE NOT is_control AND NOT is_dns) > 0 AS labelled FROM ev GROUP BY path"""))
 def score_captures(spark, sf):
     """Captures -> model -> vote -> traffic label, for all captures in one job."""
     caps = captures_from_events(spark, sf)
-    model = _packet_model(spark, sf, caps)
-    return SC.score_captures(caps, model, "traffic")
+    model, _ = _packet_model(spark, sf, caps)
+    return SC.score_captures(caps, model, "traffic").select("path", "n_packets", F.col("label").isNotNull().alias("labelled"))
+
+
+@register("evaluate_stored_set", with_kept(f"""
+SELECT CAST(label AS INTEGER) AS label, count(*) AS n FROM (SELECT path, packet_no, {_TRAFFIC} AS label FROM kept)
+WHERE label IS NOT NULL AND {test_sql('path', 'packet_no')} GROUP BY 1"""))
+def evaluate_stored_set(spark, sf):
+    """E1 + M1: a loaded model on a stored test set; the matrix' rows add up to the test rows of each class."""
+    model, sets = _packet_model(spark, sf, captures_from_events(spark, sf))
+    matrix = M.confusion_matrix(MO.predict(model, spark.read.parquet(sets).where("split = 'test'"), ("label",)))
+    return matrix.groupBy("label").agg(F.sum("n").cast("bigint").alias("n")).where("n > 0")
 
 
 @register("training_presets", with_kept(f"""

@@ -170,6 +170,21 @@ def confusion_matrix(spark, sf):
     return M.confusion_matrix(_scored(spark, sf), num_classes=2)
 
 
+@register("confusion_overflow", """
+WITH s AS (SELECT CASE WHEN doc_id % 7 > 0 THEN quality END AS label, CASE WHEN doc_id % 5 = 0 THEN 3 WHEN doc_id % 11 > 0 THEN toxic END AS prediction
+           FROM labels),
+c AS (SELECT label, prediction, count(*) AS n FROM s GROUP BY ALL),
+g AS (SELECT CAST(a AS INTEGER) AS label, CAST(b AS INTEGER) AS prediction FROM range(2) AS x(a), range(2) AS y(b))
+SELECT CAST(label AS INTEGER) AS label, CAST(prediction AS INTEGER) AS prediction, CAST(sum(n) AS BIGINT) AS n
+FROM (SELECT * FROM c UNION ALL SELECT label, prediction, 0 FROM g) GROUP BY ALL""")
+def confusion_overflow(spark, sf):
+    """M1: classes beyond the grid and nulls keep cells of their own, so that no row is lost."""
+    d = read_table(spark, sf, "labels").selectExpr(
+        "CASE WHEN doc_id % 7 > 0 THEN quality END AS label",
+        "CASE WHEN doc_id % 5 = 0 THEN 3 WHEN doc_id % 11 > 0 THEN toxic END AS prediction")
+    return M.confusion_matrix(d, num_classes=2)
+
+
 @register("confusion_wide", _CM + """
 SELECT label, CAST(sum(n) FILTER (WHERE prediction = 0) AS BIGINT) AS p0,
        CAST(sum(n) FILTER (WHERE prediction = 1) AS BIGINT) AS p1 FROM cm GROUP BY label""")

@@ -14,6 +14,7 @@ from __future__ import annotations
 from typing import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,7 @@ PACKET_FIELDS = [
 DECODED_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t in PACKET_FIELDS])
 PACKET_COLUMNS = ["path", "packet_no", "ts_nanos", "ts", "linktype", "snaplen", "caplen", "wirelen", "data"]
 _BATCH_ROWS = 8192
+_BATCH_BYTES = 32 << 20  # packet bytes held before a batch is handed on
 
 
 def scan_captures(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
@@ -112,6 +114,7 @@ def _decode_partition(batches: Iterator[pd.DataFrame], mtu: int, failfast: bool,
             v.clear()
         return add_flat_headers(out) if headers else out
 
+    held = 0
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
             buf = bytes(content) if content is not None else b""
@@ -125,8 +128,10 @@ def _decode_partition(batches: Iterator[pd.DataFrame], mtu: int, failfast: bool,
                     cols["caplen"].append(r.caplen)
                     cols["wirelen"].append(r.wirelen)
                     cols["data"].append(r.data)
-                    if len(cols["path"]) >= _BATCH_ROWS:
+                    held += len(r.data)
+                    if len(cols["path"]) >= _BATCH_ROWS or held >= _BATCH_BYTES:
                         yield flush()
+                        held = 0
             except CaptureError as e:
                 if failfast:
                     raise ValueError(f"{path}: not a readable capture ({e})") from None
@@ -161,10 +166,15 @@ def decode_packets(captures: DataFrame, mode: str = "PERMISSIVE", mtu: int = MTU
 
 
 def capture_rejects(captures: DataFrame) -> DataFrame:
-    """Captures the decoder skips in PERMISSIVE mode, with the reason."""
-    fmt = capture_format(captures)
-    return fmt.where(F.col("format_error").isNotNull()).select(
-        "path", F.length("content").cast("bigint").alias("length"), "format_error")
+    """Captures the decoder skips in PERMISSIVE mode, with the decoder's own reason (damaged gzip too)."""
+
+    def reasons(contents):
+        return pa.array([format_error(b or b"") for b in contents.to_pylist()], pa.string())
+
+    reasons.__annotations__ = {"contents": pa.Array, "return": pa.Array}
+    checked = captures.select("path", F.coalesce(F.length("content"), F.lit(0)).cast("bigint").alias("length"),
+                              F.arrow_udf(reasons, "string")(F.col("content")).alias("format_error"))
+    return checked.where(F.col("format_error").isNotNull())
 
 
 def packet_lengths(packets: DataFrame) -> DataFrame:
@@ -176,11 +186,6 @@ def packet_lengths(packets: DataFrame) -> DataFrame:
     )
 
 
-def capture_error_of(content: bytes) -> str | None:
-    """Driver-side helper for tests: the reason a buffer is rejected."""
-    return format_error(content)
-
-
 def spread_packets(packets: DataFrame, num_partitions: int) -> DataFrame:
     """Re-balance packets after decoding when a few huge captures made a few huge tasks.
 

@@ -27,9 +27,15 @@ no capture grows with the table (captures rotate like ``tcpdump -C``).
 
 from __future__ import annotations
 
+import gzip
+import struct
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirefold.sources.capture_format import iter_records
+
 from wirefold.session import read_table
 
 # Fixed values of the synthetic fixture.
@@ -157,3 +163,31 @@ def captures_from_events(spark: SparkSession, sf_dir: str, root: str = "/capture
     ).withColumn("length", F.length("content").cast("bigint")).select(
         "path", "modificationTime", "length", "content"
     )
+
+
+def _as_pcapng(content: bytes) -> bytes:
+    """A classic capture as a block-format one: a section, one interface in nanoseconds, one block per packet."""
+    def block(kind: int, body: bytes) -> bytes:
+        body += b"\0" * (-len(body) % 4)
+        return struct.pack("<II", kind, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+
+    out = [block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1))]
+    described = False
+    for r in iter_records(content):
+        if not described:
+            out.append(block(1, struct.pack("<HHI", r.linktype, 0, r.snaplen) + struct.pack("<HHB3x", 9, 1, 9) + struct.pack("<HH", 0, 0)))
+            described = True
+        t = r.ts_nanos
+        out.append(block(6, struct.pack("<IIIII", 0, t >> 32, t & 0xFFFFFFFF, r.caplen, r.wirelen) + r.data))
+    return b"".join(out)
+
+
+def recoded_captures(captures: DataFrame, form: str) -> DataFrame:
+    """The same captures as ``gzip`` or ``pcapng`` files."""
+    recode = {"gzip": lambda b: gzip.compress(b, mtime=0), "pcapng": _as_pcapng}[form]
+
+    def run(contents):
+        return pa.array([None if b is None else recode(b) for b in contents.to_pylist()], pa.binary())
+
+    run.__annotations__ = {"contents": pa.Array, "return": pa.Array}
+    return captures.withColumn("content", F.arrow_udf(run, "binary")(F.col("content")))
