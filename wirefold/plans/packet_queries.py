@@ -16,7 +16,7 @@ from wirefold.plans.oracle_base import byte_digest_sql, with_ev, with_kept
 from wirefold.plans.registry import register
 from wirefold.sources import captures as C
 from wirefold.sources import files as FS
-from wirefold.sources.synthetic import captures_from_events, recoded_captures
+from wirefold.sources.synthetic import captures_from_events, mixed_packets, recoded_captures
 
 
 def packets(spark: SparkSession, sf: str) -> DataFrame:
@@ -319,3 +319,35 @@ def pcap_source(spark, sf):
     return pk.select(F.element_at(F.split("path", "/"), -1).alias("name"), "packet_no", "caplen",
                      F.col("hdr.sport").alias("sport"), F.col("hdr.payload_len").alias("payload_len"),
                      F.md5("data").alias("data_md5"))
+
+
+_MIXED = """
+WITH m AS (SELECT event_id, event_id % 8 AS shape, event_id % 3 = 0 AS udp, strlen(props) AS plen, 1024 + event_id % 60000 AS sport,
+                  CASE WHEN event_id % 7 = 0 THEN 53 ELSE 443 END AS dport FROM events),
+x AS (SELECT *, CASE shape WHEN 1 THEN 18 WHEN 2 THEN 26 WHEN 3 THEN 0 ELSE 14 END AS l2,
+             CASE WHEN shape IN (4, 5, 6) THEN 40 ELSE 20 END + CASE shape WHEN 5 THEN 24 WHEN 6 THEN 8 WHEN 7 THEN 8 ELSE 0 END AS hlen FROM m)
+"""
+
+
+@register("mixed_headers", _MIXED + """
+SELECT event_id, CAST(l2 AS INTEGER) AS l2_off, CAST(CASE WHEN shape IN (4, 5, 6) THEN 6 ELSE 4 END AS INTEGER) AS ip_version,
+       CAST(CASE WHEN udp THEN 17 ELSE 6 END AS INTEGER) AS proto, CAST(hlen AS INTEGER) AS ip_hlen,
+       CAST(CASE WHEN shape <> 6 THEN l2 + hlen END AS INTEGER) AS l4_off, CAST(CASE WHEN shape <> 6 THEN sport END AS INTEGER) AS sport,
+       CAST(CASE WHEN shape <> 6 THEN dport END AS INTEGER) AS dport, CAST(CASE WHEN shape <> 6 THEN plen END AS INTEGER) AS payload_len,
+       shape <> 6 AND plen > 0 AND dport = 53 AS is_dns
+FROM x""")
+def mixed_headers(spark, sf):
+    """Headers behind tags, options, extension headers and fragments, with and without a length."""
+    d = P.with_headers(mixed_packets(spark, sf))
+    return d.select("event_id", *[F.col("hdr." + c).alias(c) for c in (
+        "l2_off", "ip_version", "proto", "ip_hlen", "l4_off", "sport", "dport", "payload_len")], P.is_dns().alias("is_dns"))
+
+
+@register("unmasked_addresses", _MIXED + """
+SELECT CAST(shape AS INTEGER) AS shape, count(*) AS n_kept, CAST(0 AS BIGINT) AS n_unmasked
+FROM x WHERE shape = 6 OR plen = 0 OR dport <> 53 GROUP BY shape""")
+def unmasked_addresses(spark, sf):
+    """No kept packet of any shape shows an IP address of the fixture."""
+    kept = FE.feature_bytes(P.with_headers(mixed_packets(spark, sf)), mask_v6=True)
+    seen = F.instr(F.hex("fbytes"), "0A0000010A000002") + F.instr(F.hex("fbytes"), "20" * 16) + F.instr(F.hex("fbytes"), "21" * 16)
+    return kept.groupBy("shape").agg(F.count("*").alias("n_kept"), F.count(F.when(seen > 0, 1)).alias("n_unmasked"))

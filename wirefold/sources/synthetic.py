@@ -191,3 +191,32 @@ def recoded_captures(captures: DataFrame, form: str) -> DataFrame:
 
     run.__annotations__ = {"contents": pa.Array, "return": pa.Array}
     return captures.withColumn("content", F.arrow_udf(run, "binary")(F.col("content")))
+
+
+def mixed_packets(spark: SparkSession, sf: str) -> DataFrame:
+    """One packet per event in eight shapes (``event_id % 8``), for the header parser.
+
+    0 Ethernet, 1 one VLAN tag, 2 three tags, 3 raw IP, 4 IPv6, 5 IPv6 with two
+    extension headers, 6 a later IPv6 fragment, 7 IPv4 options. Every second
+    event of shape 4 has an IPv6 length field of 0. Ports and payload as in the
+    capture fixture, TCP flags PSH and ACK; captured length below the wire's.
+    """
+    word = lambda x: f"lpad(hex({x}), 4, '0')"
+    l4 = (f"concat({word('sport')}, {word('dport')}, if(udp, concat({word('8 + plen')}, '0000'), "
+          "'00000001000000025018FFFF00000000'), hex(props))")
+    v4 = (f"concat(if(shape = 7, '47', '45'), '00', {word('if(shape = 7, 28, 20) + l4len + plen')}, '0000400040', proto, "
+          "'00000A0000010A000002', if(shape = 7, repeat('01', 8), ''), l4)")
+    ext = (f"CASE shape WHEN 5 THEN concat('3C00010400000000', proto, '01010C', repeat('00', 12)) "
+           f"WHEN 6 THEN concat(proto, '00', '0321', '00000007') ELSE '' END")
+    first = "CASE shape WHEN 5 THEN '00' WHEN 6 THEN '2C' ELSE proto END"
+    v6 = (f"concat('60000000', {word('if(shape = 4 and event_id % 16 = 4, 0, length(ext) / 2 + l4len + plen)')}, {first}, '40', "
+          "repeat('20', 16), repeat('21', 16), ext, l4)")
+    link = ("CASE shape WHEN 1 THEN concat(eth, '810000070800') WHEN 2 THEN concat(eth, '88A8000581000006810000070800') "
+            "WHEN 3 THEN '' WHEN 0 THEN concat(eth, '0800') WHEN 7 THEN concat(eth, '0800') ELSE concat(eth, '86DD') END")
+    e = read_table(spark, sf, "events").selectExpr(
+        "event_id", "props", "cast(event_id % 8 as int) AS shape", "event_id % 3 = 0 AS udp", "octet_length(props) AS plen",
+        "1024 + event_id % 60000 AS sport", "if(event_id % 7 = 0, 53, 443) AS dport", "'020000000001020000000002' AS eth")
+    e = e.selectExpr("*", "if(udp, '11', '06') AS proto", "if(udp, 8, 20) AS l4len")
+    e = e.selectExpr("*", f"{l4} AS l4", f"{ext} AS ext")
+    e = e.selectExpr("event_id", "shape", f"unhex(concat({link}, if(shape IN (4, 5, 6), {v6}, {v4}))) AS data")
+    return e.select("event_id", "shape", F.when(F.col("shape") == 3, 101).otherwise(1).alias("linktype"), "data")
