@@ -17,9 +17,9 @@ expansion[R], u32 symbol[S], u32 document length[D].
 from __future__ import annotations
 
 import json
-import re
+import os
 import zlib
-from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,10 @@ BLOCK_IDS = 1 << 18  # a block is closed by the document that reaches this many
 ROUNDS = 4
 RULES_PER_ROUND = 1024
 MIN_PAIR_COUNT = 8
-CACHED_CHUNKS = 400_000  # text chunks whose ids a task remembers
+CACHED_CHUNKS = 250_000  # text chunks whose ids a task remembers
+ENCODED_ROWS = 1024  # texts cut into chunks at a time
+_PUNCTUATION = ".,;:!?%$#&*|\")]}"
+_SPLIT_BELOW = "\u0250"  # Latin letters, on whose class all libraries agree
 _SLOT_BITS = 16
 
 
@@ -172,61 +175,83 @@ class Encoder:
 
     The tokenizer's pattern never joins a space between two other
     characters with what stands before it, nor a line feed between two others
-    with either side.  A text without two white-space characters in a row may
-    thus be cut there and its chunks encoded apart, each distinct one once.
-    Other texts are encoded in one call.
+    with either side.  A text whose white space is only such spaces and line
+    feeds may thus be cut there and its chunks encoded apart, each distinct one
+    once.  Other texts are encoded in one call.
     """
 
-    _DOUBLE = re.compile(r"[\s\x00]\s|\x00|\A\s|\s\Z|[\x1c-\x1f\x85]")
-
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
         pre = json.loads(self._tok.to_str())["pre_tokenizer"] or {}
-        self._chunks = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        feed = self._tok.encode("\n", add_special_tokens=False).ids
+        self._chunks = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and len(feed) == 1
+        self._feed = feed[0] if feed else 0
         self._known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks without line feeds, many in one call with a line feed between two."""
+        out: list[bytes] = []
+        for i in range(0, len(chunks), 1000):
+            part = chunks[i:i + 1000]
+            ids = np.array(self._tok.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(ids == self._feed)
+            data = ids.tobytes()
+            ends = [*(4 * cut).tolist(), len(data)]
+            out += [data[x:y] for x, y in zip([0, *(4 * cut + 4).tolist()], ends)]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Add the ids of new chunks to the known ones; a word is encoded apart from the punctuation behind it."""
+        known = self._known
+        stems: dict[str, tuple[str, str]] = {}
+        needed = set()
+        for c in new:
+            stem = c.rstrip(_PUNCTUATION)
+            word = stem[1:] if stem[:1] == "\0" else stem
+            if len(stem) < len(c) and word.isalpha() and (word.isascii() or max(word) < _SPLIT_BELOW):
+                stems[c] = stem, "\0" + c[len(stem):]
+                needed.update(stems[c])
+            else:
+                needed.add(c)
+        needed = sorted(needed.difference(known))
+        plain = [c for c in needed if c not in ("\n", "", "\0")]
+        known.update(zip(plain, self._encode_chunks([c[1:] if c[0] == "\0" else " " + c for c in plain])))
+        known["\n"], known["\0"] = np.array([self._feed], "<u4").tobytes(), b""
+        known.update((c, known[x] + known[y]) for c, (x, y) in stems.items())
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if not self._chunks or self._DOUBLE.search(t)]
         out: list = [None] * len(texts)
+        parts: list = [None] * len(texts)
+        whole = []
+        for i, t in enumerate(texts):
+            # Equal only if all white space is single spaces and line feeds between other characters.
+            if self._chunks and "\0" not in t and " ".join(t.split()) == t.replace("\n", " "):
+                # A chunk keeps its leading space implicitly; \0 marks the first one of a line, which has none.
+                parts[i] = ("\0" + t.replace("\n", " \n \0")).split(" ")
+            else:
+                whole.append(i)
         for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = ids
-        # A chunk keeps its leading space implicitly; \0 marks the first one of a line, which has none.
-        parts = [None if out[i] is not None else ("\0" + t.replace("\n", " \n \0")).split(" ") for i, t in enumerate(texts)]
-        new = set()
-        for p in parts:
-            if p is not None:
-                new.update(p)
         known = self._known
-        new = sorted(new.difference(known))
-        ids = self._encode(["\n" if c == "\n" else c[1:] if c[:1] == "\0" else " " + c for c in new])
-        table = known
-        if len(known) + len(new) <= CACHED_CHUNKS:
-            known.update(zip(new, ids))
-        else:
-            table = _Both(known, dict(zip(new, ids)))
+        size = len(known)
+        new = set().union(*filter(None, parts)).difference(known)
+        self._learn(new)
         for i, p in enumerate(parts):
             if p is not None:
-                out[i] = b"".join(map(table.__getitem__, p))
+                out[i] = b"".join(map(known.__getitem__, p))
+        if len(known) > CACHED_CHUNKS:  # the earliest, hence the frequent ones, stay
+            for c in list(islice(reversed(known), len(known) - min(size, CACHED_CHUNKS))):
+                del known[c]
         return out
 
 
-class _Both(dict):
-    """The new chunks of one batch, with the remembered ones behind them."""
-
-    def __init__(self, known: dict, new: dict):
-        super().__init__(new)
-        self._known = known
-
-    def __missing__(self, key):
-        return self._known[key]
-
-
 def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                        end_id: int = END_ID, block_ids: int = BLOCK_IDS, shards: int | None = None) -> None:
     """Encode all texts and write them in ascending id order as grammar blocks to the table at ``path``.
@@ -259,8 +284,8 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, id_col: str =
         key_arrow = None
         for b in batches:
             key_arrow = b.column("key").type
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, ENCODED_ROWS):
+                part = b.slice(lo, ENCODED_ROWS)
                 for key, x in zip(part.column("key").to_pylist(), enc([t or "" for t in part.column("text").to_pylist()])):
                     keys.append(key)
                     ids.append(x + end)
