@@ -44,8 +44,24 @@ PARTITION_BYTES = 4 << 20  # corpus bytes per hash partition, about half a milli
 _U = np.uint64
 
 
+def _packed(texts: pa.Array) -> bytes:
+    """A string array as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: pa.Scalar) -> pa.Array:
+    return pa.ipc.open_stream(data.as_buffer()).read_all()["text"].combine_chunks()
+
+
 def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(block, ids, texts, n_words, n_bytes)``, written once below ``spark.checkpoint.dir``; a text is never cut."""
+    """``(block, ids, texts, n_words, n_bytes)``, written once below ``spark.checkpoint.dir``; a text is never cut.
+
+    ``texts`` is compressed, so that the block is small in the shuffle too.
+    """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
@@ -63,7 +79,7 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             one = pa.array([0, t.num_rows], pa.int32())
             return pa.RecordBatch.from_arrays(
                 [pa.array([block]), pa.ListArray.from_arrays(one, t["id"].chunk(0)),
-                 pa.ListArray.from_arrays(one, t["text"].chunk(0)),
+                 pa.array([_packed(t["text"].chunk(0))], pa.binary()),
                  pa.array([len(ts.word_bounds(data, offsets, ts.SPACES)[0])]), pa.array([len(data)])],
                 ["block", "ids", "texts", "n_words", "n_bytes"])
 
@@ -81,7 +97,7 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if kept:
             yield flush()
 
-    schema = f"block long, ids array<{id_type}>, texts array<string>, n_words long, n_bytes long"
+    schema = f"block long, ids array<{id_type}>, texts binary, n_words long, n_bytes long"
     blocks = source.mapInArrow(gather, schema)
     path = shared_dir(spark, "text-blocks")
     blocks.write.option("compression", "zstd").parquet(path)
@@ -126,7 +142,7 @@ def ngram_totals(blocks: DataFrame, partitions: int) -> DataFrame:
     def explode(batches):
         for b in batches:
             for block, texts in zip(b.column("block"), b.column("texts")):
-                keys, times, *_ = _block_keys(texts.values)
+                keys, times, *_ = _block_keys(_unpacked(texts))
                 part = (keys >> shift).astype(np.int64) if partitions > 1 else np.zeros(len(keys), np.int64)
                 cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(keys) else np.zeros(0, np.int64)
                 ends = np.append(cut[1:], len(keys))
@@ -199,7 +215,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def score(batches):
         for t in runs(batches, ["block"]):
             whole = t.slice(0, 1)
-            ids, texts = (whole[c].combine_chunks().values for c in ("ids", "texts"))
+            ids, texts = whole["ids"].combine_chunks().values, _unpacked(whole["texts"][0])
             parts = [_from_planes(x, np.uint64) for x in t["totals"][1:]]
             totals = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             n, hits, sums = _document_scores(texts, totals, all_words)
@@ -207,7 +223,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                              ["id", "n_words", "n_known", "log_score"])
 
     totals = ngram_totals(blocks, partitions)
-    empty = {"ids": f"array<{id_type}>", "texts": "array<string>"}
+    empty = {"ids": f"array<{id_type}>", "texts": "binary"}
     answers = totals.select("block", "part", "totals", *(F.lit(None).cast(k).alias(c) for c, k in empty.items()))
     rows = blocks.select("block", F.lit(-1).cast("long").alias("part"), F.lit(None).cast("binary").alias("totals"), "ids", "texts")
     scored = (
