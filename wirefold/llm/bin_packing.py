@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import runs
+from wirefold.llm.common import materialize, runs
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
@@ -110,4 +110,5 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Pack whole texts by their number of words; clusters are equal texts."""
     items = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("length"),
                         duplicate_cluster(F.col(text_col)).alias("cluster"))
+    items = materialize(items, "lengths")  # the texts are read once, whatever is counted and joined after
     return pack_documents(items, "id", "length", "source", "cluster", capacity).withColumnRenamed("id", id_col)
