@@ -28,6 +28,19 @@ def test_open_elements_do_not_swallow_the_article():
     assert H.main_text(PAGE.format(ARTICLE).replace("</footer></body></html>", "")) == TEXT
 
 
+def test_all_content_is_in_the_region():
+    long, short = "<p>" + "several words of prose " * 30 + "</p>", "<p>" + "a few more words here " * 12 + "</p>"
+    parts = [" ".join(re.sub("<[^>]+>", " ", x).split()) for x in (long, short)]
+    menu = '<div class="menu"><a href="/">Home</a></div>'
+    for tag in ("section", "article", "blockquote", "div"):
+        page = f"<body>{menu}<div><h1>Heading</h1><{tag}>{long}</{tag}><{tag}>{short}</{tag}></div></body>"
+        assert H.main_text(page).split("\n") == ["Heading", *parts]
+    assert H.main_text(f"<body>{menu}<article>{long}</article><section>{short}</section></body>").split("\n") == parts
+    assert H.main_text(f"<body>{menu}<table><tr><td>{long}</td><td>{short}</td></tr></table></body>").split("\n") == parts
+    assert H.main_text(f"<body>{menu}<main><h1>Heading</h1><article>{long}</article></main></body>").split("\n") == ["Heading", parts[0]]
+    assert H.main_text(PAGE.format(ARTICLE * 20)) == "\n".join([TEXT] * 20)
+
+
 def test_piecewise_parsing_equals_whole(monkeypatch):
     whole = H.main_text(PAGE.format(ARTICLE * 20))
     monkeypatch.setattr(H, "PIECE", 7)

@@ -4,11 +4,11 @@ The standard library's parser is fed piece by piece.  Its events cut a page
 into lines (one per block element); a line has its text, the number of tags
 in it and the chain of containers around it.  The ratio of text to tags per
 line is smoothed with a Gaussian kernel, and lines above a threshold (a share
-of the standard deviation) are content.  The region that the content lines
-select is the container holding most of their weight (an article or main
-element first); the result is all lines of the region, short ones too, without
-those inside menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments.
+of the standard deviation) are content.  The region is the smallest container
+that holds all content lines, so that sibling articles and sections stay
+together (an article or main element around them is taken whole); the result
+is all lines of the region, short ones too, without those inside menus,
+headers, footers, sidebars, notices, adverts, forms and reader comments.
 """
 
 from __future__ import annotations
@@ -171,18 +171,10 @@ def main_text(html: str | None) -> str:
         return ""
     smooth = smoothed_ratios(page.lines)
     floor = min(THRESHOLD * float(smooth.std()), float(max(s for s, k in zip(smooth, kept) if k)))
-    weight: dict[int, float] = {}
-    total = 0.0
-    for (text, _, chain, _), s, keep in zip(page.lines, smooth, kept):
-        if keep and s >= floor:
-            total += len(text)
-            for c in chain:
-                weight[c] = weight.get(c, 0.0) + len(text)
-    articles = [c for c in weight if page.kinds[c] in ("article", "main")]
-    if articles:
-        region = max(articles, key=lambda c: (weight[c], c))
-    else:
-        region = max((c for c in weight if weight[c] >= 0.6 * total), default=-1)  # the innermost such container
+    content = [chain for (_, _, chain, _), s, keep in zip(page.lines, smooth, kept) if keep and s >= floor]
+    shared = set(content[0]).intersection(*content[1:])
+    # Inside an article or main element, all of the outermost one; elsewhere the innermost container.
+    region = min((c for c in shared if page.kinds[c] in ("article", "main")), default=max(shared, default=-1))
     return "\n".join(text for (text, _, chain, _), keep in zip(page.lines, kept) if keep and (region < 0 or region in chain))
 
 
