@@ -62,6 +62,27 @@ def test_vector_links_equal_brute_force(spark, monkeypatch, chunk_rows):
     assert got == brute_force(rows)
 
 
+@pytest.mark.parametrize("chunk_rows", [512, 7])
+def test_vectors_of_every_length_are_compared(spark, monkeypatch, chunk_rows):
+    monkeypatch.setattr(E, "CHUNK_ROWS", chunk_rows)
+    rng = np.random.default_rng(8)
+    rows = []
+    for dim, n in ((64, 40), (48, 30), (200, 12), (3, 4), (1, 9)):
+        base = rng.standard_normal((n, dim))
+        for x in (base, base + rng.standard_normal((n, dim)) * 0.1, base[:3]):
+            rows += [(len(rows) + i, v.tolist(), i % 2) for i, v in enumerate(x)]
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    linked = np.array([[i != j and a[2] == b[2] and len(x) == len(y) and x @ y >= 0.93 for j, (b, y) in enumerate(zip(rows, unit))]
+                       for i, (a, x) in enumerate(zip(rows, unit))])
+    low = np.arange(len(rows))
+    for _ in rows:
+        low = np.minimum(low, np.where(linked, low, len(rows)).min(axis=1))
+    want = [(i, int(linked[i].sum()), int(low[i]), bool(low[i] == i)) for i in range(len(rows))]
+    assert {len(rows[i][1]) for i, n, _, _ in want if n} == {64, 48, 200, 3, 1}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    assert sorted(tuple(r) for r in E.near_duplicate_vectors(table).collect()) == want
+
+
 def test_vectors_without_any_pair(spark):
     v = vectors(spark)
     assert E.near_duplicate_vectors(v.limit(0)).collect() == []

@@ -17,7 +17,9 @@
    counted once and never listed.
 
 Large buckets and clusters are cut into chunks of bounded size, and each pair
-of chunks is a unit of work.
+of chunks is a unit of work.  Every vector length has its own codes and tables;
+a length whose labels all fit in a chunk needs none, each of its labels is a
+candidate cluster.
 """
 
 from __future__ import annotations
@@ -72,6 +74,8 @@ def sign_codes(x: np.ndarray, mean: np.ndarray, projections: np.ndarray) -> np.n
 
 def bit_difference(sample: np.ndarray, mean: np.ndarray, projections: np.ndarray, cosine: float, seed: int = 1) -> float:
     """Share of bits in which vectors at the given cosine differ, measured on neighbours made of the sample."""
+    if sample.shape[1] == 1:
+        return 0.0  # at any cosine above 0 the unit vectors are equal
     rng = np.random.default_rng(seed)
     x = sample[:2000]
     z = rng.standard_normal(x.shape)
@@ -175,32 +179,45 @@ def _ties(rows: np.ndarray, chunk: np.ndarray, codes: np.ndarray, radius: int, c
                 yield int(rows[i]), int(rows[j])
 
 
-def candidate_ties(vectors: DataFrame, tables: Tables) -> DataFrame:
-    """``(src, dst)`` rows whose components are the candidate clusters (step 2)."""
+def learn_tables(vectors: DataFrame, count: int, largest_label: int) -> Tables:
+    """The tables of ``count`` vectors of one length, learnt from a sample of them (step 1)."""
+    part = max(1, round(1_000_000 * min(1.0, SAMPLE_ROWS / count)))
+    drawn = vectors.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < part).select("row", "vector").collect()  # about SAMPLE_ROWS
+    if len(drawn) < 2:
+        drawn = vectors.select("row", "vector").limit(1000).collect()
+    sample = np.stack([np.frombuffer(r["vector"], np.float64) for r in sorted(drawn, key=lambda r: r["row"])])
+    return Tables(sample, largest_label)
+
+
+def candidate_ties(vectors: DataFrame, tables: dict[int, Tables]) -> DataFrame:
+    """``(src, dst)`` rows whose components are the candidate clusters (step 2); ``tables`` by length of the vectors."""
     shared = vectors.sparkSession.sparkContext.broadcast(tables)
 
     def index(batches):
-        t = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in b.column("vector")])
-            codes, keys = t.encode(x)
-            packed = pa.array([c.tobytes() for c in codes], pa.binary())
-            for i in range(t.count):
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("grp"), pa.array(keys[:, i].copy()), b.column("row"), packed], ["grp", "bucket", "row", "code"])
+        for mixed in batches:
+            dims = mixed.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                t = shared.value[int(dim)]
+                b = mixed.filter(pa.array(dims == dim))
+                x = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in b.column("vector")])
+                codes, keys = t.encode(x)
+                packed = pa.array([c.tobytes() for c in codes], pa.binary())
+                for i in range(t.count):
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("grp"), pa.array(keys[:, i].copy()), b.column("row"), b.column("dim"), packed],
+                        ["grp", "bucket", "row", "dim", "code"])
 
     def tie(batches):
         for t in runs(batches, ["grp", "bucket", "a", "b"]):
             codes = np.stack([np.frombuffer(c.as_buffer(), np.uint64) for c in t["code"]])
             cross = t["a"][0].as_py() != t["b"][0].as_py()
-            found = list(_ties(t["row"].to_numpy(), t["chunk"].to_numpy(), codes, shared.value.radius, cross))
+            radius = shared.value[t["dim"][0].as_py()].radius
+            found = list(_ties(t["row"].to_numpy(), t["chunk"].to_numpy(), codes, radius, cross))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["src", "dst"])
 
-    rows = vectors.select("grp", "row", "vector").mapInArrow(index, "grp long, bucket long, row long, code binary")
-    return _units(rows, ["grp", "bucket"], ["code"]).mapInArrow(tie, "src long, dst long")
+    rows = vectors.select("grp", "row", "dim", "vector").mapInArrow(index, "grp long, bucket long, row long, dim int, code binary")
+    return _units(rows, ["grp", "bucket"], ["dim", "code"]).mapInArrow(tie, "src long, dst long")
 
 
 def reranked_links(vectors: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
@@ -239,27 +256,25 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col:
 
     Rows are compared if their labels are equal and not null.  Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing,
-    nor do vectors of different lengths; the index is learnt for, and links,
-    the most frequent length.  Repeated rows are rows of their own and link
+    nor do vectors of different lengths; all lengths are compared, each on its
+    own (a length with more than ``CHUNK_ROWS`` vectors of a label costs one
+    more pass for its sample).  Repeated rows are rows of their own and link
     with each other.  A row whose id is null stays; ids of a component are
     compared without nulls.  An empty table gives an empty result.
     """
     vectors = comparable_vectors(rows, id_col, vector_col, label_col)
     per_group = vectors.where("vector is not null").groupBy("dim", "grp").count()
-    dims = per_group.groupBy("dim").agg(F.sum("count").alias("n"), F.max("count").alias("largest")).orderBy(
-        F.desc("n"), "dim").first()
+    dims = per_group.groupBy("dim").agg(F.sum("count").alias("n"), F.max("count").alias("largest")).where(
+        F.col("largest") > CHUNK_ROWS).orderBy("dim").collect()
     result = vectors.select("row", "id")
-    if dims is None or dims["largest"] < 2:
-        alone = result.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-        return alone.withColumnRenamed("id", id_col)
-    usable = vectors.where((F.col("dim") == dims["dim"]) & F.col("vector").isNotNull())
-    part = max(1, round(1_000_000 * min(1.0, SAMPLE_ROWS / dims["n"])))
-    drawn = usable.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < part).select("row", "vector").collect()  # about SAMPLE_ROWS
-    if len(drawn) < 2:
-        drawn = usable.select("row", "vector").limit(1000).collect()
-    sample = np.stack([np.frombuffer(r["vector"], np.float64) for r in sorted(drawn, key=lambda r: r["row"])])
-    ties = candidate_ties(usable, Tables(sample, dims["largest"]))
-    links = reranked_links(usable, connected_components(ties), threshold)
+    usable = vectors.where("vector is not null")
+    indexed = F.col("dim").isin([d["dim"] for d in dims])
+    # Groups that fit in a chunk are clusters as they are; negative roots are never rows.
+    clusters = usable.where(~indexed).select(F.col("row").alias("node"), F.col("grp").bitwiseOR(F.lit(-(1 << 63))).alias("root"))
+    if dims:
+        tables = {d["dim"]: learn_tables(usable.where(F.col("dim") == d["dim"]), d["n"], d["largest"]) for d in dims}
+        clusters = clusters.unionByName(connected_components(candidate_ties(usable.where(indexed), tables)))
+    links = reranked_links(usable, clusters, threshold)
     counts = links.where("dst is null").groupBy("src").agg(F.sum("n").alias("n_links"))
     roots = connected_components(links.where("dst is not null").select("src", "dst"))
     smallest = roots.join(result, F.col("node") == F.col("row")).groupBy("root").agg(F.min("id").alias("component_id"))
