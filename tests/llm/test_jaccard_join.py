@@ -55,6 +55,23 @@ def test_chunks_do_not_change_the_result(docs, monkeypatch):
     assert got == brute_force([(r.doc_id, r.text or "") for r in docs.collect()])
 
 
+def test_a_unit_holds_a_class_once(docs, monkeypatch):
+    real = J.runs
+
+    def checked(batches, keys):
+        for t in real(batches, keys):
+            ids = t["class_id"].to_pylist()
+            assert len(ids) == len(set(ids)), "a copy came along"
+            yield t
+
+    some = docs.where("doc_id in (0, 100, 1, 101)")
+    for _ in range(5):
+        some = some.union(some)  # 32 equal rows each
+    monkeypatch.setattr(J, "runs", checked)
+    got = {(r.doc_id, r.component_id) for r in J.jaccard_components(some).collect()}
+    assert got == {(0, 0), (100, 0), (1, 1), (101, 1)}
+
+
 def test_linked_sets_share_a_signature_in_their_prefix():
     rng = np.random.default_rng(1)
     for size in (1, 2, 3, 4, 5, 7, 8, 12, 15, 16, 17, 40, 63, 64, 200, 700):

@@ -229,13 +229,18 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_
     bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(members, F.col("rep")))
 
     def recompute(batches):
+        seen: set[int] = set()
         for b in batches:
             b = b.filter(pa.array(in_bitmap(bitmap.value, b.column("h").to_numpy())))
             cls, sets = [], []
             for s in _sets(b.column("text"), k):
-                if len(s):
-                    cls.append(_class_id(s))
-                    sets.append(s.tobytes())
+                c = _class_id(s) if len(s) else None
+                if c is None or c in seen:
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(c)
+                cls.append(c)
+                sets.append(s.tobytes())
             for i in range(0, len(cls), 256):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cls[i:i + 256], pa.int64()), pa.array(sets[i:i + 256], pa.binary())], ["class_id", "members"])
@@ -243,7 +248,8 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_
     sets = (
         docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
         .mapInArrow(recompute, "class_id long, members binary")
-    )  # the bitmap lets few other rows through; the join below drops them
+        .dropDuplicates(["class_id"])
+    )  # one set per class, whatever copies the bitmap lets through; the join below drops other classes
 
     def verify(batches):
         for unit in runs(batches, ["root", "a", "b"]):
