@@ -117,6 +117,19 @@ def test_pack_texts(docs, no_docs):
     assert B.pack_texts(no_docs).collect() == []
 
 
+def test_packing_query_parts_near_copies(spark, docs, tmp_path):
+    from wirefold.llm.jaccard_join import jaccard_components
+    from wirefold.llm.queries import op5
+
+    rows = docs.where("doc_id < 500").withColumn("source", docs["doc_id"].cast("string"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    cluster = {r.doc_id: r.component_id for r in jaccard_components(rows).collect()}
+    assert len(set(cluster.values())) < len(cluster)
+    length = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in rows.collect()}
+    out = op5(spark, str(tmp_path)).collect()
+    check_bins(out, {k: k for k in length}, cluster, length, 2048)
+
+
 def brute_scores(rows):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     docs = [(k, re.findall(r"[^\x20\x09-\x0D]+", t.translate(lower))) for k, t in rows]

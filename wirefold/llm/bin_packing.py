@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.llm.common import materialize, runs
+from wirefold.llm.common import connected_components, materialize, runs
+from wirefold.llm.jaccard_join import class_links, document_sets
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
@@ -105,10 +106,33 @@ def pack_documents(items: DataFrame, id_col: str = "doc_id", length_col: str = "
     return packed.unionByName(empty).withColumnRenamed("id", id_col)
 
 
+def linked_items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``(id, source, length, cluster)`` per row; a cluster is a group of texts linked by shingles or equal (letter case aside).
+
+    Clusters are joined by the class of a text, not by id, so that repeated and null ids keep their rows.
+    """
+    info = materialize(document_sets(docs, id_col, text_col, source=F.col(source_col), length=word_count(F.col(text_col)),
+                                     same=duplicate_cluster(F.col(text_col))), "sets")
+    full = info.where("class_id is not null")
+    _, links = class_links(docs, full, id_col, text_col)
+    texts = full.groupBy("same", "class_id").count().select("same", "class_id")
+    lowest = texts.groupBy("same").agg(F.min("class_id").alias("dst"), F.max("class_id").alias("last")).where("dst <> last")
+    equal = texts.join(lowest, "same").select(F.col("class_id").alias("src"), "dst").where("src <> dst")
+    roots = connected_components(links.unionByName(equal))
+    return info.join(roots, info["class_id"] == roots["node"], "left").select(
+        "id", "source", "length", F.coalesce("root", "class_id").alias("cluster"))
+
+
 def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-               capacity: int = CAPACITY) -> DataFrame:
-    """Pack whole texts by their number of words; clusters are equal texts."""
-    items = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("length"),
-                        duplicate_cluster(F.col(text_col)).alias("cluster"))
+               capacity: int = CAPACITY, near: bool = False) -> DataFrame:
+    """Pack whole texts by their number of words; clusters are equal texts, with ``near`` all texts linked by shingles too.
+
+    ``near`` is for texts that no near-duplicate removal has seen.
+    """
+    if near:
+        items = linked_items(docs, id_col, text_col, source_col)
+    else:
+        items = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+                            word_count(F.col(text_col)).alias("length"), duplicate_cluster(F.col(text_col)).alias("cluster"))
     items = materialize(items, "lengths")  # the texts are read once, whatever is counted and joined after
     return pack_documents(items, "id", "length", "source", "cluster", capacity).withColumnRenamed("id", id_col)

@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -93,9 +93,12 @@ def _signatures(s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield low | 2, ts.mix(s * _C[2] + _U(b + 64))
 
 
-def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
-    """Per document: id, ``n_shingles`` (set size) and ``class_id`` (null for an empty set), without a shuffle."""
-    schema = docs.select(F.col(id_col).alias("id")).schema.add("n_shingles", "long").add("class_id", "long")
+def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
+                  **others: Column) -> DataFrame:
+    """Per document: id, ``others``, ``n_shingles`` (set size) and ``class_id`` (null for an empty set), without a shuffle."""
+    kept = [F.col(id_col).alias("id"), *(c.alias(name) for name, c in others.items())]
+    names = ["id", *others]
+    schema = docs.select(*kept).schema.add("n_shingles", "long").add("class_id", "long")
 
     def scan(batches):
         for b in batches:
@@ -104,9 +107,10 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 n.append(len(s))
                 c.append(_class_id(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["id", "n_shingles", "class_id"])
+                [*(b.column(name) for name in names), pa.array(n, pa.int64()), pa.array(c, pa.int64())],
+                [*names, "n_shingles", "class_id"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
+    return docs.select(*kept, F.col(text_col).alias("text")).mapInArrow(scan, schema)
 
 
 def document_signatures(docs: DataFrame, text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
@@ -271,6 +275,16 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_
     )
 
 
+def class_links(docs: DataFrame, full: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                k: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """``classes(class_id, rep, n_shingles)`` of the documents with a set and the links ``(src, dst)`` between classes."""
+    classes = materialize(
+        full.groupBy("class_id").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n_shingles")), "classes")
+    candidates = materialize(candidate_edges(document_signatures(docs, text_col, k)), "candidates")
+    clusters = connected_components(candidates)
+    return classes, materialize(verified_links(docs, classes, clusters, id_col, text_col, k), "links")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
     """Per document: id, ``n_shingles``, ``component_id`` (smallest id linked directly or over others).
 
@@ -281,11 +295,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     info = materialize(document_sets(docs, id_col, text_col, k), "sets")
     full = info.where("class_id is not null")
-    classes = materialize(
-        full.groupBy("class_id").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n_shingles")), "classes")
-    candidates = materialize(candidate_edges(document_signatures(docs, text_col, k)), "candidates")
-    clusters = connected_components(candidates)
-    links = materialize(verified_links(docs, classes, clusters, id_col, text_col, k), "links")
+    classes, links = class_links(docs, full, id_col, text_col, k)
     roots = connected_components(links)
     of_class = classes.join(roots, classes["class_id"] == roots["node"], "left").select(
         "class_id", "rep", F.coalesce("root", "class_id").alias("root"))

@@ -134,8 +134,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of 2048 words; no sequence holds a source or an exact copy twice."""
-    return pack_texts(read_table(spark, sf_dir, "documents"))
+    """All documents packed into sequences of 2048 words; no sequence holds a source twice, nor a text and its exact or near copy."""
+    return pack_texts(read_table(spark, sf_dir, "documents"), near=True)
 
 
 @register("op6_window_decontamination", DECONTAMINATION_SQL)
