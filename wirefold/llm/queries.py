@@ -13,6 +13,7 @@ from wirefold.llm.decontaminate import contamination_report
 from wirefold.llm.embedding_dedup import near_duplicate_vectors
 from wirefold.llm.html_extract import extract_pages
 from wirefold.llm.jaccard_join import jaccard_components
+from wirefold.llm.line_dedup import drop_repeated_lines
 from wirefold.llm.lm_score import backoff_scores
 from wirefold.llm.quality_rank import score_documents
 from wirefold.llm.registry import register
@@ -95,6 +96,19 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_known, 0)::BIGINT AS n_
 FROM d LEFT JOIN s ON s.doc_id = d.doc_id
 """
 
+LINES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, i, ls[i] AS line,
+             translate(trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+      FROM d, UNNEST(range(1, len(ls) + 1)) AS t(i)),
+s AS (SELECT k, max(doc_id) AS top FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT r) >= 5),
+m AS (SELECT l.*, s.k IS NOT NULL AND doc_id IS DISTINCT FROM s.top AS gone FROM l LEFT JOIN s ON s.k = l.k)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
+
 
 @register("op7_parity_sketch_join", JACCARD_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,3 +175,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stupid-backoff scores of all documents, to three decimals."""
     scores = backoff_scores(read_table(spark, sf_dir, "documents"))
     return scores.withColumn("log_score", F.round("log_score", 3))
+
+
+@register("op13_levelled_line_dedup", LINES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 40 characters or more that five documents hold, dropped from all but the largest id."""
+    kept = drop_repeated_lines(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
