@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirefold.llm.bin_packing import pack_texts
+from wirefold.llm.centroid_cluster import CENTROIDS, ROUNDS, cluster_report
 from wirefold.llm.chat_format import chat_digests
 from wirefold.llm.common import read_table
 from wirefold.llm.decontaminate import contamination_report
 from wirefold.llm.embedding_dedup import near_duplicate_vectors
 from wirefold.llm.html_extract import extract_pages
+from wirefold.llm.importance_sample import importance_resample
 from wirefold.llm.jaccard_join import jaccard_components
 from wirefold.llm.line_dedup import drop_repeated_lines
 from wirefold.llm.lm_score import backoff_scores
@@ -109,6 +111,54 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone)
 FROM m GROUP BY r
 """
 
+RESAMPLE_SQL = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+w AS (
+  SELECT r, doc_id, is_doc, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT row_number() OVER () AS r, doc_id, text, true AS is_doc FROM documents UNION ALL SELECT NULL, NULL, text, false FROM benchmark)),
+f AS (SELECT r, is_doc, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS n
+      FROM w, UNNEST([1, 2, 3]) AS o(k), UNNEST(range(1, len(w) - k + 2)) AS t(i) WHERE len(w) >= k GROUP BY ALL),
+c AS (SELECT g, xor(list_reduce(list_transform(range(strlen(g)), lambda i: ('0x' || substr(hex(g), 2 * i + 1, 2))::BIGINT),
+                                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS b
+      FROM (SELECT DISTINCT g FROM f), tab),
+n AS (SELECT b, coalesce(sum(n) FILTER (is_doc), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT is_doc), 0)::DOUBLE AS t FROM f JOIN c USING (g) GROUP BY b),
+gain AS (SELECT b, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM n) + 10000) / ((s + 1) * ((SELECT sum(t) FROM n) + 10000))))::BIGINT AS gain FROM n),
+d AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM f JOIN c USING (g) JOIN gain USING (b) WHERE is_doc GROUP BY r),
+x AS (SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM w LEFT JOIN d USING (r) WHERE is_doc),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 5 * count(*) // 100 FROM k) THEN rank END AS rank
+FROM x LEFT JOIN k USING (r)
+"""
+
+
+def _clusters_sql() -> str:
+    """Lloyd's rounds written out, one pair of relations (assignment, centroids) per round."""
+    steps = [rf"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM v QUALIFY c < {CENTROIDS})"""]
+    for i in range(ROUNDS + 1):
+        steps.append(rf"""
+a{i} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS v, (min(struct_pack(d := d, c := c))).d AS d, (min(struct_pack(d := d, c := c))).c AS c
+  FROM (SELECT r, vec_id, v.v AS x, c, list_sum(list_transform(list_zip(v.v, c{i}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{i})
+  GROUP BY r)""")
+        if i < ROUNDS:
+            steps.append(rf"""
+m{i} AS (SELECT c, list(m ORDER BY j) AS m FROM (
+           SELECT c, j, (s - ((s % n) + n) % n) // n AS m FROM (
+             SELECT c, j, sum(v[j]) AS s, count(*) AS n FROM a{i}, UNNEST(range(1, 65)) AS t(j) GROUP BY c, j)) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(list_transform(m, lambda x: x::BIGINT), v) AS v FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return ",".join(steps) + rf"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c{ROUNDS}.v, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN c{ROUNDS} USING (c)
+"""
+
 
 @register("op7_parity_sketch_join", JACCARD_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,3 +232,15 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 characters or more that five documents hold, dropped from all but the largest id."""
     kept = drop_repeated_lines(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register("op12_importance_resample", RESAMPLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw of 5 % of all documents of 20 words or more, weighted towards the benchmark's texts."""
+    return importance_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@register("op11_heap_bounds_clusters", _clusters_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components in 40 clusters after five rounds."""
+    return cluster_report(read_table(spark, sf_dir, "embeddings"))
