@@ -14,5 +14,3 @@ def spark():
     yield s
     s.stop()
 
-
-SF_SMALL = "/root/testdata/sf0.001"

@@ -116,3 +116,48 @@ def test_vector_of_null_empty_and_long_bytes(spark):
     df = spark.createDataFrame([(1, None), (2, bytearray()), (3, bytearray(range(256)) * 8)], "k int, data binary")
     rows = {r.k: r.v for r in df.select("k", P.byte_vector("data").alias("v")).collect()}
     assert rows[1] is None and rows[2] == [0.0] * 1500 and rows[3] == [i % 256 / 255 for i in range(1500)]
+
+
+def test_layers_behind_tunnels(spark):
+    inner = ipv4(17, udp(5000, 53, b"q" * 10))
+    qinq = eth(0x9100, b"\x00\x05\x08\x00" + inner)
+    pppoe = eth(0x8864, b"\x11\x00\x00\x01" + struct.pack(">HH", len(inner) + 2, 0x21) + inner)
+    mpls = eth(0x8847, b"\x00\x00\xa0\x40" * 5 + b"\x00\x00\xb1\x40" + inner)
+    ipip = eth(0x0800, ipv4(4, ipv4(4, inner)))
+    gre = eth(0x0800, ipv4(47, b"\xb0\x00\x08\x00" + b"\0" * 12 + inner))  # checksum, key, sequence number
+    bridged = eth(0x86DD, v6(47, b"\x00\x00\x65\x58" + eth(0x0800, inner, vlan=9)))
+    sealed = eth(0x0800, ipv4(51, bytes([17, 4]) + b"\0" * 22 + udp(5000, 53, b"q" * 10)))
+    rows = hdrs(spark, [qinq, pppoe, mpls, ipip, gre, bridged, sealed]).select("hdr", P.is_dns().alias("d")).collect()
+    assert all(r.d and (r.hdr.proto, r.hdr.sport, r.hdr.payload_len) == (17, 5000, 10) for r in rows)
+    assert [r.hdr.ip_layers for r in rows] == [1, 1, 1, 3, 2, 2, 1]
+    assert [r.hdr.ip4_off for r in rows] == [18, 22, 14 + 24, 14, 14, 14 + 40 + 4 + 18, 14]
+    assert [r.hdr.l4_off for r in rows] == [38, 42, 58, 74, 14 + 20 + 16 + 20, 14 + 40 + 4 + 18 + 20, 58]
+    assert [r.hdr.ip_off for r in rows] == [18, 22, 38, 14, 14, 14, 14]
+
+
+def test_first_ipv4_layer_is_masked_at_any_depth(spark):
+    inner = ipv4(17, udp(7, 8, b"pay"))
+    frames = [eth(0x0800, ipv4(4, inner)), eth(0x86DD, v6(4, inner)), eth(0x8847, b"\x00\x00\xa1\x40" + inner)]
+    masked = [bytes(r.fbytes) for r in FE.feature_bytes(hdrs(spark, frames)).orderBy("packet_no").collect()]
+    zeros = b"\0" * 8
+    assert masked[0][12:20] == zeros and masked[0][32:40] == inner[12:20]  # the outer one alone
+    assert masked[1][52:60] == zeros and masked[2][16:24] == zeros
+    assert [len(m) for m in masked] == [len(f) - 14 + 12 for f in frames]  # UDP inside is widened
+
+
+def test_walk_ends_on_any_bytes():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from wirefold.functions.headers import HDR_FIELDS, header_arrays
+
+    rng = random.Random(7)
+    starts = ["", "0800", "86DD", "8847", "8864110000010016" + "0021", "8100", "9100", "080045000020000040004" + "02f"]
+    packets = [bytes.fromhex("02" * 12 + s + "0" * (len(s) % 2)) + rng.choice([rng.randbytes(rng.randint(0, 90)), b"\0" * 70, b"\x45\0" * 40, b"\x88\x47" * 30])
+               for s in starts for _ in range(200)]
+    packets += [None, b"", b"\x02" * 12 + b"\x81\x00\x00\x05" * 16_000, b"\x40" + b"\0" * 8 + b"\x04" * 60]
+    linktypes = np.array([rng.choice([1, 1, 1, 101, 113, 276, 0, 999]) for _ in packets[:-1]] + [101])
+    out = header_arrays(pa.array(packets, pa.binary()), linktypes)
+    assert len(out) == len(HDR_FIELDS) and all(len(a) == len(packets) for a in out)

@@ -30,7 +30,7 @@ def test_nll_matches_mllib_log_loss(spark):
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.sql import functions as F
 
-    from conftest import SF_SMALL
+    from tables import SF_SMALL
     from wirefold.functions import vectors as V
     from wirefold.session import read_table
 

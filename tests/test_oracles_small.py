@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from tables import SF_SMALL
 from tools.check_oracles import TABLES, canon
 from wirefold.plans.registry import load_all
 

@@ -7,20 +7,22 @@ batch. Offsets in the header struct are 0-based byte offsets into ``data``.
 
 Header struct (``hdr``): l2_off, ethertype, ip_version, ip_hlen, ip_off,
 ip_flags, proto, total_len, l4_off, sport, dport, tcp_flags, l4_hlen,
-payload_off, payload_len, pad_len. Unknown link type -> ``hdr`` is null and
-the packet is kept as raw bytes.
+payload_off, payload_len, pad_len, ip4_off, ip6_off, ip_layers. The ip_*
+fields and pad_len describe the outermost IP layer; proto, the ports and the
+payload the innermost one; ip4_off and ip6_off are the first IPv4 and the
+first IPv6 layer at any depth. Unknown link type -> ``hdr`` is null and the
+packet is kept as raw bytes.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirefold.functions.headers import HDR_FIELDS, parse_headers
+from wirefold.functions.headers import HDR_FIELDS, header_arrays
 
 # Protocol numbers, DNS ports, TCP flag mask, vector width.
 LINKTYPE_ETHERNET = 1
@@ -42,28 +44,21 @@ def hdr_struct(prefix: str = "_hdr_") -> Column:
 HDR_FLAT_FIELDS = [T.StructField("_hdr_" + f, T.IntegerType(), True) for f in HDR_FIELDS]
 
 
-def add_flat_headers(pdf: pd.DataFrame, data: str = "data", linktype: str = "linktype") -> pd.DataFrame:
-    """pandas side: append ``_hdr_*`` columns parsed from a batch."""
-    lts = pdf[linktype].fillna(-1).astype("int64").to_numpy()
-    h = parse_headers(pdf[data].tolist(), lts).add_prefix("_hdr_")
-    h.index = pdf.index
-    return pd.concat([pdf, h], axis=1)
-
-
 def with_headers(df: DataFrame, data: str = "data", linktype: str = "linktype", out: str = "hdr") -> DataFrame:
     """P1 + P2: add the header struct ``out`` parsed from ``data``.
 
-    One Arrow-batched pass (numpy gathers over the first bytes of each
-    packet); the decoder already does this in its own pass, so this is only
-    needed for packets from elsewhere.
+    One Arrow-batched pass; the decoder already does this in its own pass, so
+    this is only needed for packets from elsewhere.
     """
     schema = T.StructType(df.schema.fields + HDR_FLAT_FIELDS)
 
     def run(batches):
-        for pdf in batches:
-            yield add_flat_headers(pdf, data, linktype)
+        for b in batches:
+            linktypes = b.column(linktype).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+            found = header_arrays(b.column(data), linktypes)
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], [*b.schema.names, *(f.name for f in HDR_FLAT_FIELDS)])
 
-    flat = df.mapInPandas(run, schema)
+    flat = df.mapInArrow(run, schema)
     return flat.withColumn(out, hdr_struct()).drop(*[f.name for f in HDR_FLAT_FIELDS])
 
 

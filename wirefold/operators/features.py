@@ -37,9 +37,9 @@ def feature_bytes(packets: DataFrame, udp_pad: str = "header", mask_v6: bool = F
     at = ("hdr.l4_off - _sh + 8" if udp_pad == "header"
           else "hdr.payload_off + hdr.payload_len - _sh")
     df = df.withColumn("_p", P.pad_udp("_s", at, is_udp))
-    df = df.withColumn("_m", P.mask_ipv4("_p", "hdr.ip_off - _sh", "hdr.ip_version = 4"))
+    df = df.withColumn("_m", P.mask_ipv4("_p", "hdr.ip4_off - _sh", "hdr.ip4_off IS NOT NULL"))
     if mask_v6:
-        df = df.withColumn("_m", P.mask_ipv6("_m", "hdr.ip_off - _sh", "hdr.ip_version = 6"))
+        df = df.withColumn("_m", P.mask_ipv6("_m", "hdr.ip6_off - _sh", "hdr.ip6_off IS NOT NULL"))
     return df.withColumn(out, F.col("_m")).drop("_s", "_sh", "_p", "_m")
 
 

@@ -16,7 +16,7 @@ from wirefold.plans.oracle_base import byte_digest_sql, with_ev, with_kept
 from wirefold.plans.registry import register
 from wirefold.sources import captures as C
 from wirefold.sources import files as FS
-from wirefold.sources.synthetic import captures_from_events, mixed_packets, recoded_captures
+from wirefold.sources.synthetic import captures_from_events, damaged, mixed_packets, recoded_captures, tunnelled_packets
 
 
 def packets(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +137,8 @@ SELECT path, packet_no, CAST(14 AS INTEGER) AS l2_off, CAST(2048 AS INTEGER) AS
        CAST(ip_total AS INTEGER) AS total_len, CAST(34 AS INTEGER) AS l4_off, CAST(sport AS INTEGER) AS sport,
        CAST(dport AS INTEGER) AS dport, CAST(CASE WHEN is_udp THEN NULL ELSE flags_int END AS INTEGER) AS tcp_flags,
        CAST(l4len AS INTEGER) AS l4_hlen, CAST(34 + l4len AS INTEGER) AS payload_off,
-       CAST(plen AS INTEGER) AS payload_len, CAST(pad_len AS INTEGER) AS pad_len
+       CAST(plen AS INTEGER) AS payload_len, CAST(pad_len AS INTEGER) AS pad_len,
+       CAST(14 AS INTEGER) AS ip4_off, CAST(NULL AS INTEGER) AS ip6_off, CAST(1 AS INTEGER) AS ip_layers
 FROM ev"""))
 def packet_headers(spark, sf):
     """Every header field of every packet."""
@@ -325,7 +326,9 @@ _MIXED = """
 WITH m AS (SELECT event_id, event_id % 8 AS shape, event_id % 3 = 0 AS udp, strlen(props) AS plen, 1024 + event_id % 60000 AS sport,
                   CASE WHEN event_id % 7 = 0 THEN 53 ELSE 443 END AS dport FROM events),
 x AS (SELECT *, CASE shape WHEN 1 THEN 18 WHEN 2 THEN 26 WHEN 3 THEN 0 ELSE 14 END AS l2,
-             CASE WHEN shape IN (4, 5, 6) THEN 40 ELSE 20 END + CASE shape WHEN 5 THEN 24 WHEN 6 THEN 8 WHEN 7 THEN 8 ELSE 0 END AS hlen FROM m)
+             CASE WHEN shape IN (4, 5, 6) THEN 40 ELSE 20 END + CASE shape WHEN 5 THEN 24 WHEN 6 THEN 8 WHEN 7 THEN 8 ELSE 0 END AS hlen FROM m),
+y AS (SELECT *, shape <> 6 AND plen > 0 AND CASE WHEN udp THEN sport IN (53, 5353) OR dport IN (53, 5353) ELSE sport = 53 OR dport = 53 END AS is_dns,
+             shape <> 6 AND NOT udp AND plen = 0 AS is_control FROM x)
 """
 
 
@@ -334,20 +337,97 @@ SELECT event_id, CAST(l2 AS INTEGER) AS l2_off, CAST(CASE WHEN shape IN (4, 5, 6
        CAST(CASE WHEN udp THEN 17 ELSE 6 END AS INTEGER) AS proto, CAST(hlen AS INTEGER) AS ip_hlen,
        CAST(CASE WHEN shape <> 6 THEN l2 + hlen END AS INTEGER) AS l4_off, CAST(CASE WHEN shape <> 6 THEN sport END AS INTEGER) AS sport,
        CAST(CASE WHEN shape <> 6 THEN dport END AS INTEGER) AS dport, CAST(CASE WHEN shape <> 6 THEN plen END AS INTEGER) AS payload_len,
-       shape <> 6 AND plen > 0 AND dport = 53 AS is_dns
-FROM x""")
+       is_dns, is_control
+FROM y""")
 def mixed_headers(spark, sf):
     """Headers behind tags, options, extension headers and fragments, with and without a length."""
     d = P.with_headers(mixed_packets(spark, sf))
     return d.select("event_id", *[F.col("hdr." + c).alias(c) for c in (
-        "l2_off", "ip_version", "proto", "ip_hlen", "l4_off", "sport", "dport", "payload_len")], P.is_dns().alias("is_dns"))
+        "l2_off", "ip_version", "proto", "ip_hlen", "l4_off", "sport", "dport", "payload_len")], P.is_dns().alias("is_dns"),
+                    P.is_tcp_control().alias("is_control"))
 
 
 @register("unmasked_addresses", _MIXED + """
 SELECT CAST(shape AS INTEGER) AS shape, count(*) AS n_kept, CAST(0 AS BIGINT) AS n_unmasked
-FROM x WHERE shape = 6 OR plen = 0 OR dport <> 53 GROUP BY shape""")
+FROM y WHERE NOT is_dns AND NOT is_control GROUP BY shape""")
 def unmasked_addresses(spark, sf):
     """No kept packet of any shape shows an IP address of the fixture."""
     kept = FE.feature_bytes(P.with_headers(mixed_packets(spark, sf)), mask_v6=True)
     seen = F.instr(F.hex("fbytes"), "0A0000010A000002") + F.instr(F.hex("fbytes"), "20" * 16) + F.instr(F.hex("fbytes"), "21" * 16)
     return kept.groupBy("shape").agg(F.count("*").alias("n_kept"), F.count(F.when(seen > 0, 1)).alias("n_unmasked"))
+
+
+_TUNNELS = _MIXED + """,
+t AS (SELECT m.event_id, m.shape, CASE WHEN udp THEN 17 ELSE 6 END AS proto, sport, dport, plen,
+             [14, 14, 14, 14, 14, 14, 14, 18][m.shape + 1] AS l2, [34916, 34887, 2048, 2048, 34525, 2048, 2048, 2048][m.shape + 1] AS ethertype,
+             [22, 22, 14, 14, 14, 14, 14, 18][m.shape + 1] AS ip, [22, 22, 14, 14, 54, 14, 14, 18][m.shape + 1] AS ip4,
+             [NULL, NULL, NULL, NULL, 14, 34, NULL, NULL][m.shape + 1] AS ip6, [1, 1, 2, 2, 2, 2, 2, 1][m.shape + 1] AS layers,
+             [42, 42, 54, 62, 74, 74, 72, 38][m.shape + 1] AS l4,
+             plen > 0 AND CASE WHEN udp THEN sport IN (53, 5353) OR dport IN (53, 5353) ELSE sport = 53 OR dport = 53 END AS is_dns,
+             NOT udp AND plen = 0 AS is_control FROM m)
+"""
+
+
+@register("tunnel_headers", _TUNNELS + """
+SELECT event_id, CAST(l2 AS INTEGER) AS l2_off, CAST(ethertype AS INTEGER) AS ethertype, CAST(ip AS INTEGER) AS ip_off, CAST(ip4 AS INTEGER) AS ip4_off,
+       CAST(ip6 AS INTEGER) AS ip6_off, CAST(layers AS INTEGER) AS ip_layers, CAST(proto AS INTEGER) AS proto, CAST(l4 AS INTEGER) AS l4_off,
+       CAST(sport AS INTEGER) AS sport, CAST(dport AS INTEGER) AS dport, CAST(plen AS INTEGER) AS payload_len, is_dns, is_control
+FROM t""")
+def tunnel_headers(spark, sf):
+    """Layers at any depth, behind PPPoE, MPLS, GRE, IP in IP and bridged Ethernet."""
+    d = P.with_headers(tunnelled_packets(spark, sf))
+    return d.select("event_id", *[F.col("hdr." + c).alias(c) for c in (
+        "l2_off", "ethertype", "ip_off", "ip4_off", "ip6_off", "ip_layers", "proto", "l4_off", "sport", "dport", "payload_len")],
+        P.is_dns().alias("is_dns"), P.is_tcp_control().alias("is_control"))
+
+
+@register("tunnel_addresses", _TUNNELS + """
+SELECT CAST(shape AS INTEGER) AS shape, count(*) AS n_kept, CAST(0 AS BIGINT) AS n_outer,
+       CASE WHEN shape IN (2, 3, 6) THEN count(*) ELSE 0 END AS n_inner, CAST(sum(CASE WHEN proto = 17 THEN 12 ELSE 0 END) AS BIGINT) AS n_widened
+FROM t WHERE NOT is_dns AND NOT is_control GROUP BY shape""")
+def tunnel_addresses(spark, sf):
+    """The first IPv4 layer at any depth is masked, layers inside it are kept; UDP is widened at any depth."""
+    packets = P.with_headers(tunnelled_packets(spark, sf))
+    kept = FE.feature_bytes(packets).withColumn("wider", F.length("fbytes") + 14 - F.length("data"))
+    seen = lambda addresses: F.count_if(F.instr(F.hex("fbytes"), addresses) > 0)
+    return kept.groupBy("shape").agg(F.count("*").alias("n_kept"), seen("0A00000A0A00000B").alias("n_outer"),
+                                     seen("0A0000010A000002").alias("n_inner"), F.sum("wider").cast("bigint").alias("n_widened"))
+
+
+@register("damaged_captures", with_ev("""
+SELECT DISTINCT path, CASE user_id % 5 WHEN 0 THEN 'gzip inside gzip' WHEN 1 THEN 'bad link type' WHEN 2 THEN 'bad time' WHEN 3 THEN 'too short' END AS format_error,
+       CAST(CASE WHEN user_id % 5 = 4 THEN count(*) OVER (PARTITION BY path) ELSE 0 END AS BIGINT) AS n_packets
+FROM ev"""))
+def damaged_captures(spark, sf):
+    """Damaged captures of every form next to sound ones: each rejected with its reason, the sound ones read whole."""
+    caps = damaged(captures_from_events(spark, sf))
+    counts = C.decode_packets(caps).groupBy("path").agg(F.count("*").alias("n_packets"))
+    named = caps.select("path").join(C.capture_rejects(caps).select("path", "format_error"), "path", "left")
+    return named.join(counts, "path", "left").select("path", "format_error", F.coalesce("n_packets", F.lit(0)).cast("bigint").alias("n_packets"))
+
+
+_SPLIT_SQL = with_ev("""
+SELECT prefix || '.' || user_id || '.' || chunk || '.pcap' AS name, packet_no, CAST(frame_len AS BIGINT) AS caplen,
+       CAST(ts_us * 1000 AS BIGINT) AS ts_nanos, CAST(sport AS INTEGER) AS sport, md5(unhex(frame_hex)) AS data_md5
+FROM ev""")
+
+
+def _split_read(spark, sf, through: str) -> DataFrame:
+    from wirefold.sources.capture_ranges import read_captures
+
+    folder = FS.write_capture_files(captures_from_events(spark, sf), spark)
+    pk = read_captures(spark, folder, range_bytes=1000, through=through)
+    return pk.select(F.element_at(F.split("path", "/"), -1).alias("name"), "packet_no", "caplen", "ts_nanos",
+                     F.col("hdr.sport").alias("sport"), F.md5("data").alias("data_md5"))
+
+
+@register("split_captures", _SPLIT_SQL)
+def split_captures(spark, sf):
+    """Every capture read in ranges of 1000 bytes, each by itself, with the packets and numbers of a sequential reader."""
+    return _split_read(spark, sf, "arrow")
+
+
+@register("split_captures_spark", _SPLIT_SQL)
+def split_captures_spark(spark, sf):
+    """The same with all bytes read by Spark, so on any file system that Spark reaches."""
+    return _split_read(spark, sf, "spark")

@@ -28,6 +28,6 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> tuple[dict[str, QueryFn], dict[str, str]]:
     """Import every query module so the registry is complete."""
-    from wirefold.plans import packet_queries, sampling_queries, scoring_queries, vector_queries  # noqa: F401
+    from wirefold.plans import network_queries, packet_queries, sampling_queries, scoring_queries, vector_queries  # noqa: F401
 
     return QUERIES, ORACLES

@@ -4,23 +4,21 @@
 ``(path, modificationTime, length, content)``; any DataFrame with a
 ``content BINARY`` column (an upload, a table of blobs) is a capture source.
 ``decode_packets`` turns captures into ``packets``: one row per record, one
-task per group of files, no shuffle. A capture has no sync marker, so one
-file is read by one task; files too large for a BINARY cell go through the
-``pcap`` data source instead (``wirefold.sources.pcap_source``).
+task per group of files, no shuffle. Files too large for a BINARY cell go
+through the ``pcap`` data source (``wirefold.sources.pcap_source``), one
+large classic capture is read by many tasks (``wirefold.sources.capture_ranges``).
 """
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirefold.functions.packet import HDR_FLAT_FIELDS, add_flat_headers, hdr_struct
-from wirefold.sources.capture_format import MTU, CaptureError, format_error, iter_records
+from wirefold.functions.packet import HDR_FLAT_FIELDS, hdr_struct
+from wirefold.sources.capture_format import MTU, format_error
+from wirefold.sources.record_batches import decoded, gathered
 
 PACKET_FIELDS = [
     ("path", T.StringType()),
@@ -34,8 +32,6 @@ PACKET_FIELDS = [
 ]
 DECODED_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t in PACKET_FIELDS])
 PACKET_COLUMNS = ["path", "packet_no", "ts_nanos", "ts", "linktype", "snaplen", "caplen", "wirelen", "data"]
-_BATCH_ROWS = 8192
-_BATCH_BYTES = 32 << 20  # packet bytes held before a batch is handed on
 
 
 def scan_captures(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
@@ -104,41 +100,6 @@ def capture_format(captures: DataFrame) -> DataFrame:
 
 # --- S2: decoder ---------------------------------------------------------------------
 
-def _decode_partition(batches: Iterator[pd.DataFrame], mtu: int, failfast: bool,
-                      headers: bool) -> Iterator[pd.DataFrame]:
-    cols: dict[str, list] = {n: [] for n, _ in PACKET_FIELDS}
-
-    def flush() -> pd.DataFrame:
-        out = pd.DataFrame(cols)
-        for v in cols.values():
-            v.clear()
-        return add_flat_headers(out) if headers else out
-
-    held = 0
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            buf = bytes(content) if content is not None else b""
-            try:
-                for r in iter_records(buf, mtu):
-                    cols["path"].append(path)
-                    cols["packet_no"].append(r.packet_no)
-                    cols["ts_nanos"].append(r.ts_nanos)
-                    cols["linktype"].append(r.linktype)
-                    cols["snaplen"].append(r.snaplen)
-                    cols["caplen"].append(r.caplen)
-                    cols["wirelen"].append(r.wirelen)
-                    cols["data"].append(r.data)
-                    held += len(r.data)
-                    if len(cols["path"]) >= _BATCH_ROWS or held >= _BATCH_BYTES:
-                        yield flush()
-                        held = 0
-            except CaptureError as e:
-                if failfast:
-                    raise ValueError(f"{path}: not a readable capture ({e})") from None
-    if cols["path"]:
-        yield flush()
-
-
 def with_packet_time(packets: DataFrame) -> DataFrame:
     """``ts`` from the exact nanosecond count (microsecond TIMESTAMP)."""
     return packets.withColumn("ts", F.timestamp_micros(F.expr("ts_nanos DIV 1000")))
@@ -158,8 +119,12 @@ def decode_packets(captures: DataFrame, mode: str = "PERMISSIVE", mtu: int = MTU
         "content",
     )
     schema = T.StructType(DECODED_SCHEMA.fields + (HDR_FLAT_FIELDS if headers else []))
-    decoded = src.mapInPandas(lambda it: _decode_partition(it, mtu, failfast, headers), schema)
-    out = with_packet_time(decoded)
+
+    def decode(batches):
+        cells = ((p.as_py(), c.as_py()) for b in batches for p, c in zip(b.column("path"), b.column("content")))
+        return gathered(decoded(cells, mtu, failfast), headers)
+
+    out = with_packet_time(src.mapInArrow(decode, schema))
     if headers:
         return out.select(*PACKET_COLUMNS, hdr_struct().alias("hdr"))
     return out.select(*PACKET_COLUMNS)

@@ -193,6 +193,32 @@ def recoded_captures(captures: DataFrame, form: str) -> DataFrame:
     return captures.withColumn("content", F.arrow_udf(run, "binary")(F.col("content")))
 
 
+def damaged(captures: DataFrame) -> DataFrame:
+    """The captures damaged by user (``user_id % 5``).
+
+    0 gzip inside gzip, 1 a link type beyond 31 bits, 2 a block format whose last packet has a time beyond 64 bits of
+    nanoseconds, 3 cut within the file header, 4 sound.
+    """
+    def run(paths, contents):
+        out = []
+        for path, content in zip(paths.to_pylist(), contents.to_pylist()):
+            kind = int(path.split(".")[-3]) % 5
+            if kind == 0:
+                content = gzip.compress(gzip.compress(content, mtime=0), mtime=0)
+            elif kind == 1:
+                content = content[:20] + b"\xff" * 4 + content[24:]
+            elif kind == 2:
+                late = struct.pack("<IIIII", 0, 0xFFFFFFFF, 0, 0, 0)
+                content = _as_pcapng(content) + struct.pack("<II", 6, 32) + late + struct.pack("<I", 32)
+            elif kind == 3:
+                content = content[:23]
+            out.append(content)
+        return pa.array(out, pa.binary())
+
+    run.__annotations__ = {"paths": pa.Array, "contents": pa.Array, "return": pa.Array}
+    return captures.withColumn("content", F.arrow_udf(run, "binary")("path", "content"))
+
+
 def mixed_packets(spark: SparkSession, sf: str) -> DataFrame:
     """One packet per event in eight shapes (``event_id % 8``), for the header parser.
 
@@ -220,3 +246,43 @@ def mixed_packets(spark: SparkSession, sf: str) -> DataFrame:
     e = e.selectExpr("*", f"{l4} AS l4", f"{ext} AS ext")
     e = e.selectExpr("event_id", "shape", f"unhex(concat({link}, if(shape IN (4, 5, 6), {v6}, {v4}))) AS data")
     return e.select("event_id", "shape", F.when(F.col("shape") == 3, 101).otherwise(1).alias("linktype"), "data")
+
+
+def tunnelled_packets(spark: SparkSession, sf: str) -> DataFrame:
+    """One packet per event behind other layers, in eight shapes (``event_id % 8``).
+
+    0 PPPoE, 1 two MPLS labels, 2 IPv4 in IPv4, 3 GRE with a key, 4 IPv4 in
+    IPv6, 5 IPv6 in IPv4, 6 Ethernet bridged over GRE, 7 a tag of type 9100.
+    Ports and payload as in ``mixed_packets``; outer IPv4 addresses 10.0.0.10 and
+    10.0.0.11, inner ones 10.0.0.1 and 10.0.0.2.
+    """
+    word = lambda x: f"lpad(hex({x}), 4, '0')"
+    l4 = (f"concat({word('sport')}, {word('dport')}, if(udp, concat({word('8 + plen')}, '0000'), "
+          "'00000001000000025018FFFF00000000'), hex(props))")
+    size = "(length(l4) / 2)"
+
+    def v4(proto: str, addresses: str, body: str, length: str) -> str:
+        return f"concat('4500', {word(f'20 + {length}')}, '0000400040', {proto}, '0000', '{addresses}', {body})"
+
+    def v6(proto: str, body: str, length: str) -> str:
+        return f"concat('60000000', {word(length)}, {proto}, '40', repeat('20', 16), repeat('21', 16), {body})"
+
+    outer, inner = "0A00000A0A00000B", "0A0000010A000002"
+    plain = v4("proto", inner, "l4", size)
+    shapes = [
+        f"concat(eth, '8864', '11000001', {word(f'22 + {size}')}, '0021', {plain})",
+        f"concat(eth, '8847', '0000A040', '0000B140', {plain})",
+        "concat(eth, '0800', " + v4("'04'", outer, plain, f"20 + {size}") + ")",
+        "concat(eth, '0800', " + v4("'2F'", outer, f"concat('20000800', '0000002A', {plain})", f"28 + {size}") + ")",
+        "concat(eth, '86DD', " + v6("'04'", plain, f"20 + {size}") + ")",
+        "concat(eth, '0800', " + v4("'29'", outer, v6("proto", "l4", size), f"40 + {size}") + ")",
+        "concat(eth, '0800', " + v4("'2F'", outer, f"concat('00006558', eth, '0800', {plain})", f"38 + {size}") + ")",
+        f"concat(eth, '9100', '0007', '0800', {plain})",
+    ]
+    e = read_table(spark, sf, "events").selectExpr(
+        "event_id", "props", "cast(event_id % 8 as int) AS shape", "event_id % 3 = 0 AS udp", "octet_length(props) AS plen",
+        "1024 + event_id % 60000 AS sport", "if(event_id % 7 = 0, 53, 443) AS dport", "'020000000001020000000002' AS eth")
+    e = e.selectExpr("*", "if(udp, '11', '06') AS proto", f"{l4} AS l4")
+    frames = "CASE shape " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(shapes)) + " END"
+    # MPLS labels: the first one isn't the bottom of the stack, the second one is.
+    return e.selectExpr("event_id", "shape", "1 AS linktype", f"unhex({frames}) AS data")
