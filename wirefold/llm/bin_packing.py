@@ -111,8 +111,8 @@ def linked_items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Clusters are joined by the class of a text, not by id, so that repeated and null ids keep their rows.
     """
-    info = materialize(document_sets(docs, id_col, text_col, source=F.col(source_col), length=word_count(F.col(text_col)),
-                                     same=duplicate_cluster(F.col(text_col))), "sets")
+    info = materialize(document_sets(docs, id_col, text_col, source=F.col(source_col), same=duplicate_cluster(F.col(text_col)))
+                       .withColumnRenamed("n_words", "length"), "sets")
     full = info.where("class_id is not null")
     _, links = class_links(docs, full, id_col, text_col)
     texts = full.groupBy("same", "class_id").count().select("same", "class_id")

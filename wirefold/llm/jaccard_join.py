@@ -15,7 +15,11 @@ size.  The steps:
    ordered by frequency.  Linked sets share all but D signatures, so they
    share one among the D+1 rarest of each.  Unshared ones are rarest: a set
    with more than D of them has no partner and leaves at once, and a passage
-   that thousands of documents share is never joined on.
+   that thousands of documents share is never joined on.  The signatures of a
+   block of sets travel packed, sorted and shortened, to the partitions of the
+   hash space, which count them over all blocks and answer with the shared
+   ones; a block then picks the rarest of each of its sets.  A signature that
+   many sets of a block hold is one entry of the block, so that none is hot.
 3. *Clusters.*  In each signature group all members are tied to the smallest
    one, and the connected components of that star graph are the clusters: all
    linked pairs lie within one.  A cluster is cut into chunks of bounded
@@ -37,138 +41,299 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wirefold.llm import textscan as ts
 from wirefold.llm.common import connected_components, id_bitmap, in_bitmap, materialize, runs
+from wirefold.llm.lm_score import _from_planes as from_planes
+from wirefold.llm.lm_score import _planes as planes
 
 SHINGLE_WORDS = 5
 THRESHOLD = (75, 100)  # similarity >= 75 / 100, compared in integers
 PER_BUCKET = 2.5  # shingles per bucket at the upper end of a size band
 CHUNK_ROWS = 4096  # documents per chunk of a cluster
 CHUNK_SHINGLES = 1 << 22  # shingles per chunk of a cluster (32 MB)
+BLOCK_SIGNATURES = 1 << 20  # signatures that are sorted and sent together
+PART_SIGNATURES = 1 << 21  # signatures per partition of the hash space, about
+COMMON = 16  # sets of a block that share a signature which is then one entry
+SPARE_BITS = 8  # shortened signatures: two different ones are equal with probability 2**-8 at most
+BROADCAST_COPIES = 1_000_000  # ids of copies that are broadcast (8 MB); beyond, they are joined by a shuffle
 SKETCH_WORDS = 512  # widest bit sketch in 64-bit words; sets beyond 8,192 shingles are filtered less sharply
 _U = np.uint64
 _C = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
 
 
-def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def text_sets(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Piece by piece: the shingle hashes of all texts (sorted and distinct per text), each text's first, its number of words."""
     for part in ts.pieces(texts):
         data, offsets = ts.text_buffer(part)
-        _, _, h, first = ts.words(data, offsets, ts.SPACES)
-        for a, b in zip(first[:-1], first[1:]):
-            yield np.unique(ts.shingles(h[a:b], k))
-
-
-def _class_id(s: np.ndarray) -> int:
-    """A 62-bit fingerprint of the set; the two low bits stay free for the sketch's kind."""
-    x = ts.mix(s * _C[0])
-    x = np.bitwise_xor.reduce(x, keepdims=True) + np.add.reduce(x, keepdims=True) * _C[1]
-    return int((ts.mix(x + _U(len(s))) & ~_U(3)).view(np.int64)[0])
+        _, _, h, word = ts.words(data, offsets, ts.SPACES)
+        n = np.diff(word)
+        out = np.zeros(len(h), np.uint64)  # of the run that starts at a word
+        for m in range(1, k + 1):  # texts of fewer words are one run
+            at = np.flatnonzero(n == m) if m < k else np.flatnonzero(n >= k)
+            start = word[at] if m < k else np.repeat(word[at] - np.cumsum(n[at] - k + 1) + (n[at] - k + 1), n[at] - k + 1)
+            start = start + np.arange(len(start)) if m == k else start
+            x = np.zeros(len(start), np.uint64)
+            for j in range(m):
+                x *= _U(ts._ODD[0])
+                x += h[start + j]
+                x ^= x >> _U(31)
+            out[start] = ts.mix(x + _U(m))
+        count = np.where(n > 0, np.maximum(n - k + 1, 1), 0)
+        first = np.cumsum(np.concatenate([[0], count]))
+        place = np.arange(first[-1]) + np.repeat(word[:-1] - first[:-1], count)
+        out = out[place]
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            out[a:b].sort()
+        new = np.ones(len(out), bool)
+        new[1:] = out[1:] != out[:-1]
+        new[first[:-1][count > 0]] = True
+        total = np.concatenate([[0], np.cumsum(new)])
+        yield out[new], total[first], n
+
+
+def _class_ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """62-bit fingerprints of the sets (0 for empty ones); the two low bits stay free for the sketch's kind."""
+    out = np.zeros(len(first) - 1, np.int64)
+    size = np.diff(first)
+    full = np.flatnonzero(size)
+    if len(full):
+        x, at = ts.mix(h * _C[0]), first[:-1][full]
+        x = np.bitwise_xor.reduceat(x, at) + np.add.reduceat(x, at) * _C[1]
+        out[full] = (ts.mix(x + size[full].astype(np.uint64)) & ~_U(3)).view(np.int64)
+    return out
 
 
-def _max_diff(size: int) -> int:
+def _max_diff(size):
     """Most shingles in which a set of ``size`` can differ from a linked set."""
     num, den = THRESHOLD
     return size * (den - num) // num
 
 
-def _band(size: int) -> int:
-    return size.bit_length() - 1
-
-
-def _signatures(s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(kind, signatures) of a set; kind: bit 0 the next smaller band, bit 1 single shingles."""
-    size, band = len(s), _band(len(s))
+def set_signatures(h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, set of each signature, signatures) of all sets; kind: bit 0 the next smaller band, bit 1 single shingles."""
     num, den = THRESHOLD
-    bands = [(0, band)] + [(1, band - 1)] * (band > 0 and size * num < (1 << band) * den)
-    for low, b in bands:
-        m = int(np.ceil((2 << b) / PER_BUCKET)) + 2
-        bucket = ((s >> _U(32)) * _U(m)) >> _U(32)
-        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        sig = np.bitwise_xor.reduceat(s, at) * _C[1] ^ ts.mix(bucket[at] * _C[2] + _U(b))
-        yield low, sig
-        if len(sig) <= _max_diff(size):
-            yield low | 2, ts.mix(s * _C[2] + _U(b + 64))
+    size = np.diff(first)
+    band = np.frexp(size.astype(np.float64))[1] - 1
+    for low in (0, 1):
+        use = size > 0
+        if low:
+            use &= (band > 0) & (size * num < (np.int64(1) << np.maximum(band, 0)) * den)
+        inside = np.repeat(use, size)
+        of = np.repeat(np.arange(len(size)), size)[inside]
+        if not len(of):
+            continue
+        s, b = h[inside], (band - low).astype(np.uint64)
+        m = (np.ceil(2.0 ** (band - low + 1) / PER_BUCKET) + 2).astype(np.uint64)
+        bucket = ((s >> _U(32)) * m[of]) >> _U(32)
+        change = np.ones(len(of), bool)
+        change[1:] = (bucket[1:] != bucket[:-1]) | (of[1:] != of[:-1])
+        at = np.flatnonzero(change)
+        sig = np.bitwise_xor.reduceat(s, at) * _C[1] ^ ts.mix(bucket[at] * _C[2] + b[of[at]])
+        yield low, of[at], sig
+        few = use & (np.bincount(of[at], minlength=len(size)) <= _max_diff(size))
+        single = few[of]
+        yield low | 2, of[single], ts.mix(s[single] * _C[2] + b[of[single]] + _U(64))
 
 
 def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
                   **others: Column) -> DataFrame:
-    """Per document: id, ``others``, ``n_shingles`` (set size) and ``class_id`` (null for an empty set), without a shuffle."""
+    """Per document: id, ``others``, ``n_shingles`` (set size), ``n_words`` and ``class_id`` (null for an empty set), without a shuffle."""
     kept = [F.col(id_col).alias("id"), *(c.alias(name) for name, c in others.items())]
     names = ["id", *others]
-    schema = docs.select(*kept).schema.add("n_shingles", "long").add("class_id", "long")
+    schema = docs.select(*kept).schema.add("n_shingles", "long").add("n_words", "long").add("class_id", "long")
 
     def scan(batches):
         for b in batches:
-            n, c = [], []
-            for s in _sets(b.column("text"), k):
-                n.append(len(s))
-                c.append(_class_id(s) if len(s) else None)
+            out = [(np.diff(first), n, _class_ids(h, first)) for h, first, n in text_sets(b.column("text"), k)]
+            size, words, cls = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 3
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(name) for name in names), pa.array(n, pa.int64()), pa.array(c, pa.int64())],
-                [*names, "n_shingles", "class_id"])
+                [*(b.column(name) for name in names), pa.array(size), pa.array(words), pa.array(cls, mask=size == 0)],
+                [*names, "n_shingles", "n_words", "class_id"])
 
     return docs.select(*kept, F.col(text_col).alias("text")).mapInArrow(scan, schema)
 
 
-def document_signatures(docs: DataFrame, text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
-    """``(sig, owner, spare)`` rows: the sketch's signatures; owner is the class with the sketch's kind in its low bits.
+# ---- pigeonhole join ---------------------------------------------------------
+# Packed rows (part, block, kind, a, b, c).  LIGHT: signatures and their owners; HEAVY: signatures and how many owners
+# they have; LISTS: the owners of the heavy ones; OWNERS: class with the sketch's kind in its low bits, and spare =
+# D + 1 - signatures of that kind.  The first two go to the partitions of the hash space, the others to their block.
 
-    ``spare`` = D + 1 - signatures of that kind.  A task emits a class once
-    (it remembers up to a million of them), so copies add few rows.
-    """
+_ROW = "part long, block long, kind int, a binary, b binary, c binary"
+LIGHT, HEAVY, LISTS, OWNERS = range(4)
+
+
+def _packed(part: int, block: int, kind: int, *arrays: np.ndarray) -> tuple:
+    return (part, block, kind, *(planes(x) for x in arrays), *[None] * (3 - len(arrays)))
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["part", "block", "kind", "a", "b", "c"])
+
+
+def _steps(sorted_values: np.ndarray) -> np.ndarray:
+    """Differences of sorted values: small numbers, which compress."""
+    return np.diff(sorted_values, prepend=_U(0))
+
+
+def _unsteps(data: pa.Scalar) -> np.ndarray:
+    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
+
+
+def _by_signature(sig: np.ndarray, of: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both sorted by signature, then owner."""
+    width = max(1, int(of.max(initial=0)).bit_length())
+    if bits + width <= 64:
+        both = np.sort(sig << _U(width) | of.astype(np.uint64))
+        return both >> _U(width), (both & _U((1 << width) - 1)).astype(np.uint32)
+    order = np.lexsort((of, sig))
+    return sig[order], of[order].astype(np.uint32)
+
+
+def _block_rows(block: int, sig: np.ndarray, of: np.ndarray, owner: np.ndarray, spare: np.ndarray, bits: int, parts: int) -> list[tuple]:
+    """The packed rows of a block of sets."""
+    sig, of = _by_signature(sig >> _U(64 - bits), of, bits)
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    times = np.diff(np.append(start, len(sig)))
+    common = times >= COMMON
+    light = ~np.repeat(common, times)
+    home = parts + (block + (block >> 32)) % parts  # any partition that only passes rows on
+    rows = [_packed(home, block, OWNERS, owner, spare.astype(np.int32))]
+    if common.any():
+        rows.append(_packed(home, block, LISTS, _steps(sig[start[common]]), times[common].astype(np.uint32), of[~light]))
+    log2 = parts.bit_length() - 1
+    for kind, s, x in ((LIGHT, sig[light], of[light]), (HEAVY, sig[start[common]], times[common].astype(np.uint32))):
+        part = (s >> _U(bits - log2)).astype(np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(s) else []
+        rows += [_packed(int(part[i]), block, kind, _steps(s[i:j]), x[i:j]) for i, j in zip(cut, [*cut[1:], len(s)])]
+    return rows
+
+
+def signature_blocks(docs: DataFrame, bits: int, parts: int, text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
+    """Packed rows of all sets' signatures.  A task sends a class once (it remembers up to a million of them)."""
 
     def scan(batches):
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+        n_owners = n = 0
+
+        def flush() -> pa.RecordBatch:
+            sig, of, owner, spare = (np.concatenate(x) for x in zip(*held))
+            return _rows(_block_rows(block, sig, of, owner, spare, bits, parts))
+
         for b in batches:
-            sig, owner, spare = [], [], []
-            for s in _sets(b.column("text"), k):
-                if not len(s):
-                    continue
-                c = _class_id(s)
-                if c in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(c)
-                for kind, g in _signatures(s):
-                    sig.append(g.view(np.int64))
-                    owner.append(np.full(len(g), c | kind, np.int64))
-                    spare.append(np.full(len(g), _max_diff(len(s)) + 1 - len(g), np.int32))
-            if sig:
-                out = pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (sig, owner, spare)], ["sig", "owner", "spare"])
-                for i in range(0, out.num_rows, 100_000):
-                    yield out.slice(i, 100_000)
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(scan, "sig long, owner long, spare int")
-
-
-def candidate_edges(signatures: DataFrame) -> DataFrame:
-    """``(src, dst)`` class pairs whose components hold every linked pair (steps 2 and 3)."""
-    by_sig = Window.partitionBy("sig")
-    cls = F.col("owner").bitwiseAND(F.lit(~3))
-    shared = (
-        signatures.repartition("sig")
-        .withColumn("n", F.count("*").over(by_sig))
-        .withColumn("lo", F.min(cls).over(by_sig))
-        .withColumn("hi", F.max(cls).over(by_sig))
-        .where("n > 1 and lo <> hi")
-        .select("sig", "owner", "spare", "n")
-        .distinct()
-    )
-    by_owner = Window.partitionBy("owner")
-    prefix = (
-        shared.repartition("owner")
-        .withColumn("rank", F.row_number().over(by_owner.orderBy("n", "sig")))
-        .withColumn("shared", F.count("*").over(by_owner))
-        .where("rank <= spare + shared")
-        .select("sig", cls.alias("src"))
-    )
-    star = prefix.withColumn("dst", F.min("src").over(by_sig))
-    return star.where("src <> dst").select("src", "dst").distinct()
+            for h, first, _ in text_sets(b.column("text"), k):
+                cls, size = _class_ids(h, first), np.diff(first)
+                new = np.zeros(len(cls), bool)
+                for i, c in enumerate(cls.tolist()):
+                    if size[i] and c not in seen:
+                        new[i] = True
+                        if len(seen) < 1_000_000:
+                            seen.add(c)
+                h, cls, size = h[np.repeat(new, size)], cls[new], size[new]
+                for kind, of, sig in set_signatures(h, np.cumsum(np.concatenate([[0], size]))):
+                    sets, of, times = np.unique(of, return_inverse=True, return_counts=True)
+                    held.append((sig, of + n_owners, cls[sets] | kind, _max_diff(size[sets]) + 1 - times))
+                    n_owners += len(sets)
+                    n += len(sig)
+                if n >= BLOCK_SIGNATURES:
+                    yield flush()
+                    held, n_owners, n, block = [], 0, 0, block + 1
+        if n:
+            yield flush()
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(scan, _ROW)
+
+
+def _count_partition(t: pa.Table) -> Iterator[tuple]:
+    """Per packed row of a partition the signatures that have more than one owner, and how many."""
+    values = [(_unsteps(a), from_planes(b, np.uint32)) for a, b in zip(t["a"], t["b"])]
+    cut = np.cumsum([0, *(len(s) for s, _ in values)])
+    sig = np.concatenate([s for s, _ in values])
+    kinds, blocks = t["kind"].to_pylist(), t["block"].to_pylist()
+    weight = np.concatenate([x.astype(np.int64) if kind == HEAVY else np.ones(len(x), np.int64) for kind, (_, x) in zip(kinds, values)])
+    order = np.argsort(sig)
+    ordered = sig[order]
+    start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    total = np.empty(len(sig), np.int64)
+    total[order] = np.repeat(np.add.reduceat(weight[order], start), np.diff(np.append(start, len(sig))))
+    for i, (s, x) in enumerate(values):
+        n = total[cut[i]:cut[i + 1]]
+        at = np.flatnonzero(n > 1)
+        if len(at):
+            yield _packed(0, blocks[i], kinds[i], _steps(s[at]), n[at], x[at])
+
+
+def _block_prefixes(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, class) of the rarest signatures of a block's sets, as far as they are shared."""
+    rows = list(zip(t["kind"].to_pylist(), t["a"], t["b"], t["c"]))
+    owner, spare = next((from_planes(a, np.int64), from_planes(b, np.int32)) for kind, a, b, _ in rows if kind == OWNERS)
+    parts = [(_unsteps(a), from_planes(b, np.int64), from_planes(c, np.uint32)) for kind, a, b, c in rows if kind == LIGHT]
+    counted = [(_unsteps(a), from_planes(b, np.int64)) for kind, a, b, _ in rows if kind == HEAVY]
+    if counted:  # each is in a list of the block
+        known, n = (np.concatenate(x) for x in zip(*counted))
+        by = np.argsort(known)
+        for kind, a, b, c in rows:
+            if kind == LISTS:
+                s, times = _unsteps(a), from_planes(b, np.uint32)
+                parts.append((np.repeat(s, times), np.repeat(n[by][np.searchsorted(known[by], s)], times), from_planes(c, np.uint32)))
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sig, n, of = (np.concatenate(x) for x in zip(*parts))
+    room = spare + np.bincount(of, minlength=len(owner))
+    sig, n, of = (x[room[of] > 0] if len(of) else x for x in (sig, n, of))
+    order = np.lexsort((sig, n, of))
+    sig, of = sig[order], of[order]
+    rank = np.arange(len(of)) - np.searchsorted(of, of)
+    kept = rank < room[of]
+    return sig[kept], owner[of[kept]] & ~np.int64(3)
+
+
+def candidate_edges(docs: DataFrame, n_shingles: int, text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
+    """``(src, dst)`` class pairs whose components hold every linked pair (steps 2 and 3).
+
+    ``n_shingles``: shingles of all sets, about; it sets the length of the
+    shortened signatures and the number of partitions.
+    """
+    bits = min(64, max(32, n_shingles.bit_length() + SPARE_BITS))
+    parts = 1 << max(5, (n_shingles // PART_SIGNATURES).bit_length())
+
+    def count(batches):
+        for t in runs(batches, ["part"]):
+            if t["part"][0].as_py() >= parts:
+                yield t.combine_chunks().to_batches()[0]
+                continue
+            rows = list(_count_partition(t))
+            if rows:
+                yield _rows(rows)
+
+    def pick(batches):
+        for t in runs(batches, ["block"]):
+            sig, cls = _block_prefixes(t)
+            if len(sig):
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(cls)], ["sig", "src"])
+
+    blocks = signature_blocks(docs, bits, parts, text_col, k)
+    answers = materialize(blocks.repartition("part").sortWithinPartitions("part").mapInArrow(count, _ROW), "shared-signatures")
+    prefix = materialize(answers.repartition("block").sortWithinPartitions("block").mapInArrow(pick, "sig long, src long"), "prefixes")
+    lowest = prefix.groupBy("sig").agg(F.min("src").alias("dst"), F.max("src").alias("last")).where("dst <> last").select("sig", "dst")
+    return prefix.join(lowest, "sig").where("src <> dst").select("src", "dst").distinct()
+
+
+def first_texts(docs: DataFrame, full: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` but those whose id represents no class.  All classes remain, most copies go."""
+    of_id = full.join(classes.select("class_id", "rep"), "class_id").groupBy("id").agg(F.bool_or(F.col("id") == F.col("rep")).alias("own"))
+    copies = materialize(of_id.where("not own").select(F.col("id").alias("_copy")), "copies")
+    if copies.count() <= BROADCAST_COPIES:
+        copies = F.broadcast(copies)
+    return docs.join(copies, docs[id_col] == copies["_copy"], "left_anti")
+
 
+# ---- verification ------------------------------------------------------------
 
 def _bit_sketches(sets: list[np.ndarray]) -> np.ndarray:
     """One row of bits per set, four bits per shingle of the largest up to ``SKETCH_WORDS``; every shingle flips one bit."""
@@ -237,14 +402,14 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_
         for b in batches:
             b = b.filter(pa.array(in_bitmap(bitmap.value, b.column("h").to_numpy())))
             cls, sets = [], []
-            for s in _sets(b.column("text"), k):
-                c = _class_id(s) if len(s) else None
-                if c is None or c in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(c)
-                cls.append(c)
-                sets.append(s.tobytes())
+            for h, first, _ in text_sets(b.column("text"), k):
+                for c, x, y in zip(_class_ids(h, first).tolist(), first[:-1].tolist(), first[1:].tolist()):
+                    if x == y or c in seen:
+                        continue
+                    if len(seen) < 1_000_000:
+                        seen.add(c)
+                    cls.append(c)
+                    sets.append(h[x:y].tobytes())
             for i in range(0, len(cls), 256):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cls[i:i + 256], pa.int64()), pa.array(sets[i:i + 256], pa.binary())], ["class_id", "members"])
@@ -280,9 +445,11 @@ def class_links(docs: DataFrame, full: DataFrame, id_col: str = "doc_id", text_c
     """``classes(class_id, rep, n_shingles)`` of the documents with a set and the links ``(src, dst)`` between classes."""
     classes = materialize(
         full.groupBy("class_id").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n_shingles")), "classes")
-    candidates = materialize(candidate_edges(document_signatures(docs, text_col, k)), "candidates")
+    firsts = first_texts(docs, full, classes, id_col)
+    n_shingles = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    candidates = materialize(candidate_edges(firsts, n_shingles, text_col, k), "candidates")
     clusters = connected_components(candidates)
-    return classes, materialize(verified_links(docs, classes, clusters, id_col, text_col, k), "links")
+    return classes, materialize(verified_links(firsts, classes, clusters, id_col, text_col, k), "links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
