@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wirefold.llm import token_repair as T
@@ -13,10 +14,15 @@ def ids_of(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids
 
 
+def ids_of_all(texts):
+    from tokenizers import Tokenizer
+
+    return [e.ids for e in Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_files_hold_the_tokenizer_ids(docs):
     got = sorted((tuple(r) for r in T.token_blocks(docs, TOKENIZER, shards=3, block_ids=2000).collect()), key=lambda r: r[1])
     rows = sorted(((r.doc_id is not None, r.doc_id or 0), r.text or "") for r in docs.collect())
@@ -58,20 +64,56 @@ def test_repetitive_ids_shrink():
     assert len(T.pack_block(a, np.array([len(a)]))) < 4 * len(a) / 5
 
 
-def test_chunked_encoding_equals_the_tokenizer():
+def test_cut_encoding_equals_the_tokenizer():
     texts = ["", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \nb", "x\ty z", "don't it's", "é à  ü", "1 22 333,4", "<|endoftext|> a",
-             "a b  c", "tab\t tab", "a\x00b", "a\x85 b", "日本 語", "x\r\ny z", "!? ... a", "\U0001F600 \U0001F600"]
+             "a b  c", "tab\t tab", "a\x00b", "a\x85 b", "日本 語", "x\r\ny z", "!? ... a", "\U0001F600 \U0001F600", "x <|endoftext|>y", "end.", " .", ".a", "a.b. c..",
+             "café, naïve. × 2×2, ÷. ɐx. ǅ.", "a b c", "a b", "a—b “q”.", "a　b", "word's words'. 3.5 x2. ª. µ,",
+             "\n", "a\n", "\na", "a\n b", "one\ntwo three\nfour,", "n" * 70_000, "q " * 20 + "q"]
+    enc = T.Encoder(TOKENIZER)
+    for piece_bytes in (1 << 20, 1 << 20, 10):
+        T.PIECE_BYTES, before = piece_bytes, T.PIECE_BYTES
+        try:
+            assert [x.tolist() for x in enc(pa.array([*texts, None]))] == [ids_of(t) for t in [*texts, ""]]
+        finally:
+            T.PIECE_BYTES = before
+    assert len(enc.known.key) > 40 and enc(pa.array([], pa.string())) == []
+
+
+def test_random_texts_equal_the_tokenizer():
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcXYZéßłɐ中019.,!'\"-$ \n\t "))
+    share = np.array([6.0] * 6 + [2, 2, 1, 0.2, 0.2] + [1] * 3 + [1.5] * 7 + [9, 2, 0.03, 0.03])
+    texts = ["".join(rng.choice(letters, n, p=share / share.sum())) for n in rng.integers(0, 90, 3000)]
     enc = T.Encoder(TOKENIZER)
-    for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in enc(texts)] == [ids_of(t) for t in texts]
+    assert [x.tolist() for x in enc(pa.array(texts))] == ids_of_all(texts)
 
 
 def test_cache_bound_keeps_results(monkeypatch):
-    monkeypatch.setattr(T, "CACHED_CHUNKS", 3)
+    monkeypatch.setattr(T, "CACHED_PIECES", 4)
     enc = T.Encoder(TOKENIZER)
-    texts = ["one two three four", "five six one two", "seven one"]
-    for t in texts:
-        assert np.frombuffer(enc([t])[0], "<u4").tolist() == ids_of(t)
+    for t in ["one two three four", "five six one two", "seven one", "one two three. four, five"] * 2:
+        assert enc(pa.array([t]))[0].tolist() == ids_of(t)
+        assert len(enc.known.key) <= 4
+
+
+def test_pairs_are_replaced_until_none_is_frequent():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 50_000, 500)
+    cases = [np.concatenate([np.concatenate([passage, rng.integers(0, 50_000, 30)]) for _ in range(100)]), rng.integers(0, 6, 20_000), np.zeros(5_000, int),
+             np.tile([1, 2, 1, 1, 2], 700), np.arange(40)]
+    for ids in cases:
+        rules, seq, first, lengths = T.compress(ids.astype(np.uint32))
+        assert np.array_equal(T.expand(seq, rules, first), ids)
+        assert [len(T.expand(np.array([first + i]), rules, first)) for i in range(len(rules))] == lengths.tolist()
+        # Occurrences of a pair that don't overlap: fewer than the minimum for every pair that is left.
+        last, times = {}, {}
+        for i, p in enumerate(zip(seq.tolist(), seq[1:].tolist())):
+            if last.get(p) != i - 1:
+                last[p], times[p] = i, times.get(p, 0) + 1
+        assert max(times.values(), default=0) < T.MIN_PAIR_COUNT
+    # A passage that repeats costs its own length once, not in every place.
+    rules, seq, _, _ = T.compress(cases[0].astype(np.uint32))
+    assert 3 * len(rules) + len(seq) < 3 * 500 + 100 * 34
 
 
 def test_table_of_blocks_is_readable_later(spark, docs):

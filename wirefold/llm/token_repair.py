@@ -18,95 +18,107 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import zlib
-from itertools import islice
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wirefold.llm import textscan as ts
 from wirefold.llm.common import shared_dir
 
 MAGIC = b"RPG1"
 END_ID = 2
 BLOCK_IDS = 1 << 18  # a block is closed by the document that reaches this many ids
-ROUNDS = 4
-RULES_PER_ROUND = 1024
 MIN_PAIR_COUNT = 8
-CACHED_CHUNKS = 250_000  # text chunks whose ids a task remembers
-ENCODED_ROWS = 1024  # texts cut into chunks at a time
-_PUNCTUATION = ".,;:!?%$#&*|\")]}"
-_SPLIT_BELOW = "\u0250"  # Latin letters, on whose class all libraries agree
-_SLOT_BITS = 16
+SHARDS_PER_SPLIT = 2  # shards per split that Spark reads the documents in, so that they don't grow with the table
+PIECE_BYTES = 1 << 20  # text that is cut and looked up at a time: its arrays stay in the cache
+CACHED_PIECES = 1_500_000  # pieces of text whose ids a worker remembers
+_SLOT_BITS = 18
+_U = np.uint64
 
 
 # ---- grammar -----------------------------------------------------------------
 
-def _pair_slots(seq: np.ndarray) -> np.ndarray:
-    key = seq[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seq[1:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (key >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-
-
-def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND,
-             min_count: int = MIN_PAIR_COUNT) -> tuple[np.ndarray, np.ndarray, int]:
-    """``(rules, sequence, first)``: Re-Pair over one block of ids.
-
-    Each round counts all neighbouring pairs, turns the most frequent ones
-    into rules ``first + i -> rules[i]`` and replaces their occurrences from
-    the left.  A round handles many pairs at once, most frequent first where
-    two overlap in a run, so the cost is a few passes over the block.
+def _frequent_pairs(seq: np.ndarray, among: np.ndarray, min_count: int) -> tuple[np.ndarray, ...]:
+    """(positions among the given ones of pairs that occur ``min_count`` times or more there, which pair each is, the pairs, their counts)."""
+    code = seq[among].astype(np.uint64)
+    code <<= _U(32)
+    code |= seq[among + 1]
+    slot = (code * _U(0x9E3779B97F4A7C15) >> _U(64 - _SLOT_BITS)).astype(np.int32)
+    hot = np.flatnonzero((np.bincount(slot, minlength=1 << _SLOT_BITS) >= min_count)[slot])  # no frequent pair is missed, a few others come along
+    pair, which, times = np.unique(code[hot], return_inverse=True, return_counts=True)
+    keep = times[which] >= min_count
+    return among[hot[keep]], which[keep], pair, times
+
+
+def _locally_best(at: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Which of the positions have a more frequent pair than both overlapping ones; among equals every second of a run."""
+    start = np.ones(len(at), bool)
+    start[1:] = (at[1:] != at[:-1] + 1) | (times[1:] != times[:-1])
+    index = np.arange(len(at))
+    even = (index - np.maximum.accumulate(np.where(start, index, 0))) % 2 == 0
+    rank = np.zeros(len(at) + 2, np.int64)
+    rank[1:-1] = 2 * times + even
+    place = np.full(len(at) + 2, -9, np.int64)
+    place[1:-1] = at
+    before = np.where(place[:-2] == at - 1, rank[:-2], 0)
+    behind = np.where(place[2:] == at + 1, rank[2:], 0)
+    return (rank[1:-1] > before) & (rank[1:-1] > behind)
+
+
+def compress(ids: np.ndarray, min_count: int = MIN_PAIR_COUNT) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """``(rules, sequence, first, expansions)``: Re-Pair over one block of ids, until no pair occurs ``min_count`` times.
+
+    Rule ``i`` defines the nonterminal ``first + i`` and stands for
+    ``expansions[i]`` ids.  A round counts all neighbouring pairs and replaces
+    every frequent one where no overlapping pair is more frequent, so many
+    rules are made per pass; where that replaces none often enough, the most
+    frequent pair alone is replaced from the left.  A pair's count never grows,
+    so a round looks only at the pairs that were frequent in the one before and
+    at those around its new nonterminals.
     """
     seq = ids.astype(np.uint32)
     first = int(seq.max()) + 1 if len(seq) else 0
-    rules: list[np.ndarray] = []
-    n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2 * min_count:
-            break
-        slot = _pair_slots(seq)
-        count = np.bincount(slot, minlength=1 << _SLOT_BITS)
-        floor = max(min_count, int(np.partition(count, -per_round)[-per_round]))
-        hot = np.flatnonzero(count[slot] >= floor)
-        if not len(hot):
-            break
-        code = seq[hot].astype(np.uint64) << np.uint64(32) | seq[hot + 1]
-        pair, times = np.unique(code, return_counts=True)
-        keep = times >= min_count
-        if not keep.any():
+    rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
+    among = np.arange(len(seq) - 1)
+    while len(among) >= min_count:
+        at, which, pair, times = _frequent_pairs(seq, among, min_count)
+        if not len(at):
             break
-        pair, times = pair[keep], times[keep]
-        best = np.sort(np.argsort(-times, kind="stable")[:per_round])
-        pair, times = pair[best], times[best]
-        at = np.searchsorted(pair, code)
-        at[at == len(pair)] = 0
-        hit = pair[at] == code
-        pos, which = hot[hit], at[hit]
-        # Occurrences that overlap form runs; in a run every second one is taken.
-        start = np.concatenate([[True], pos[1:] != pos[:-1] + 1])
-        run_start = np.maximum.accumulate(np.where(start, np.arange(len(pos)), 0))
-        take = (np.arange(len(pos)) - run_start) % 2 == 0
-        pos, which = pos[take], which[take]
-        used, which = np.unique(which, return_inverse=True)
-        seq = seq.copy()
-        seq[pos] = (first + n_rules + which).astype(np.uint32)
+        take = _locally_best(at, times[which])
+        uses = np.bincount(which[take], minlength=len(pair))
+        chosen = uses >= max(2, min_count // 2)
+        if not chosen.any():
+            chosen = np.arange(len(pair)) == np.argmax(times)
+            hit = chosen[which]
+            take = hit.copy()
+            take[hit] = _locally_best(at[hit], times[which[hit]])
+        take &= chosen[which]
+        position, number = at[take], np.cumsum(chosen)[which[take]] - 1
+        p = pair[chosen]
+        new = np.stack([p >> _U(32), p & _U(0xFFFFFFFF)], 1).astype(np.uint32)
+        seq[position] = (first + len(lengths) + number).astype(np.uint32)
         stay = np.ones(len(seq), bool)
-        stay[pos + 1] = False
-        seq = seq[stay]
-        p = pair[used]
-        rules.append(np.stack([p >> np.uint64(32), p & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        n_rules += len(p)
-    table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return table, seq, first
-
-
-def expansions(rules: np.ndarray, first: int) -> np.ndarray:
-    """How many ids each rule stands for (a rule only refers to earlier ones)."""
-    out = np.zeros(len(rules), np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        out[i] = (out[a - first] if a >= first else 1) + (out[b - first] if b >= first else 1)
-    return out
+        stay[position + 1] = False
+        look = np.zeros(len(seq) + 1, bool)
+        look[at] = True
+        look[position] = True
+        look[position + 1] = False
+        look[position - 1] |= position > 0  # the one before it may be removed, then the nonterminal before that starts a new pair
+        look[np.maximum(position - 2, 0)] |= position > 1
+        seq, look = seq[stay], look[:-1][stay]
+        among = np.flatnonzero(look[:-1])
+        inner = new.astype(np.int64) - first
+        known = np.append(lengths, 1)  # the last entry: of an id
+        lengths = np.concatenate([lengths, known[np.where(inner >= 0, inner, len(lengths))].sum(axis=1)])
+        rules.append(new)
+    return np.concatenate(rules), seq, first, lengths
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
@@ -128,9 +140,9 @@ def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
 
 def pack_block(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """The binary record of a block of documents with the given lengths."""
-    rules, seq, first = compress(ids)
+    rules, seq, first, expansions = compress(ids)
     head = np.array([len(rules), len(seq), len(lengths), first], "<u4")
-    parts = [head, rules[:, 0], rules[:, 1], expansions(rules, first), seq, np.asarray(lengths)]
+    parts = [head, rules[:, 0], rules[:, 1], expansions, seq, np.asarray(lengths)]
     return MAGIC + b"".join(np.ascontiguousarray(p, "<u4").tobytes() for p in parts)
 
 
@@ -152,7 +164,18 @@ class Block:
         self.symbol_starts = np.concatenate([[0], np.cumsum(width)])
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.first)
+        """All ids: every rule is opened once, then the symbols are looked up."""
+        if not len(self.rules):
+            return self.symbols.astype(np.uint32)
+        opened = expand(np.arange(self.first, self.first + len(self.rules)), self.rules, self.first)
+        width = np.diff(self.symbol_starts)
+        rule = np.maximum(self.symbols.astype(np.int64) - self.first, 0)
+        start = np.where(self.symbols >= self.first, (np.cumsum(self.length, dtype=np.int64) - self.length)[rule], 0)
+        out = np.repeat(self.symbols.astype(np.uint32), width)
+        inner = np.repeat(self.symbols >= self.first, width)
+        at = np.repeat(start - self.symbol_starts[:-1], width) + np.arange(len(out))
+        out[inner] = opened[at[inner]]
+        return out
 
     def range(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start:stop`` of the block; only the symbols that cover them are expanded."""
@@ -170,14 +193,120 @@ class Block:
 
 # ---- encoding ----------------------------------------------------------------
 
+def _byte_flags(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for lo, hi in ranges:
+        out[lo:hi + 1] = True
+    return out
+
+
+# Bytes of white space other than space and line feed; punctuation that a pattern parts from a word before it;
+# bytes of letters up to U+024F (a lead byte from C3 to C9 and what follows), on whose class all libraries agree.
+_OTHER_SPACE = _byte_flags((0x09, 0x09), (0x0B, 0x0D), (0x1C, 0x1F))
+_PUNCTUATION = np.isin(np.arange(256), list(b".,;:!?%$#&*|\")]}"))
+_LETTER = _byte_flags((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xBF), (0xC3, 0xC9))
+
+
+def _spaced_oddly(data: np.ndarray) -> np.ndarray:
+    """Positions in UTF-8 bytes where white space stands that isn't a space or a line feed between two other characters (or may stand)."""
+    def ahead(k: int) -> np.ndarray:
+        return np.concatenate([data[k:], np.zeros(min(k, len(data)), np.uint8)])
+
+    one, two = ahead(1), ahead(2)
+    wide = (data == 0xC2) & ((one == 0x85) | (one == 0xA0))
+    wide |= (data == 0xE1) & (one == 0x9A) & (two == 0x80)
+    wide |= (data == 0xE2) & (one == 0x80) & ((two <= 0x8A) | (two == 0xA8) | (two == 0xA9) | (two == 0xAF))
+    wide |= (data == 0xE2) & (one == 0x81) & (two == 0x9F) | (data == 0xE3) & (one == 0x80) & (two == 0x80)
+    gap = (data == 0x20) | (data == 0x0A)
+    double = gap.copy()
+    double[:-1] &= gap[1:]
+    double[-1:] = False
+    return np.flatnonzero(_OTHER_SPACE[data] | wide | double)
+
+
+def _odd_letters(data: np.ndarray) -> np.ndarray:
+    """Bytes that are no letter's: all but ASCII letters and two-byte letters up to U+024F."""
+    odd = ~_LETTER[data]
+    lead = (data >= 0xC3) & (data <= 0xC9)
+    follows = np.zeros(len(data), bool)
+    follows[1:] = lead[:-1]
+    odd |= (data >= 0x80) & (data <= 0xBF) & ~follows
+    sign = lead.copy()  # the signs of multiplication and division
+    sign[:-1] &= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    sign[-1:] = False
+    beyond = lead.copy()  # from U+0250 on
+    beyond[:-1] &= (data[:-1] == 0xC9) & (data[1:] >= 0x90)
+    beyond[-1:] = False
+    return odd | sign | beyond
+
+
+def _slices(texts: pa.Array, most: int):
+    """Consecutive slices of a string column with about ``most`` bytes each (or one longer text)."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
+class _Known:
+    """Ids of pieces of text by 128-bit hash: sorted arrays, the most used half stays when they are full."""
+
+    def __init__(self):
+        self.key = np.zeros(0, np.uint64)
+        self.check, self.start, self.size, self.hits = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int32, np.int64))
+        self.ids = np.zeros(0, np.uint32)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Place of each piece, -1 if it isn't known."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where((self.key[at] == key) & (self.check[at] == check), at, -1)
+
+    def add(self, key: np.ndarray, check: np.ndarray, ids: list[list[int]]) -> None:
+        """Add pieces that aren't known; a piece whose first hash is taken by another one is left out."""
+        order = np.argsort(key, kind="stable")
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[order][1:] != key[order][:-1]
+        order = order[fresh]
+        place = np.searchsorted(self.key, key[order])
+        if len(self.key):
+            free = self.key[np.minimum(place, len(self.key) - 1)] != key[order]
+            order, place = order[free], place[free]
+        size = np.array([len(ids[i]) for i in order.tolist()], np.int32)
+        start = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, np.array([x for i in order.tolist() for x in ids[i]], np.uint32)])
+        for name, values in (("key", key[order]), ("check", check[order]), ("start", start), ("size", size), ("hits", np.zeros(len(order), np.int64))):
+            setattr(self, name, np.insert(getattr(self, name), place, values))
+
+    def shrink(self, most: int) -> None:
+        if len(self.key) <= most:
+            return
+        keep = np.sort(np.argsort(-self.hits, kind="stable")[:most // 2])
+        self.ids = self.gather(keep)
+        for name in ("key", "check", "size"):
+            setattr(self, name, getattr(self, name)[keep])
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.hits = np.zeros(len(keep), np.int64)
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the pieces at ``at``, one after the other."""
+        size = self.size[at].astype(np.int64)
+        return self.ids[np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
 class Encoder:
-    """Ids of whole texts as little-endian u32 bytes, remembering chunks.
+    """Ids of whole texts, remembering pieces.
 
     The tokenizer's pattern never joins a space between two other
     characters with what stands before it, nor a line feed between two others
-    with either side.  A text whose white space is only such spaces and line
-    feeds may thus be cut there and its chunks encoded apart, each distinct one
-    once.  Other texts are encoded in one call.
+    with either side, nor letters with the punctuation behind them.  A text
+    whose white space is only such spaces and line feeds may thus be cut there
+    and its pieces encoded apart, each distinct one once; pieces are found and
+    looked up for many texts at once.  Other texts, and texts that hold the
+    string of an added token, are encoded in one call.
     """
 
     def __init__(self, path: str):
@@ -185,72 +314,169 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
-        pre = json.loads(self._tok.to_str())["pre_tokenizer"] or {}
+        about = json.loads(self._tok.to_str())
+        pre = about["pre_tokenizer"] or {}
         feed = self._tok.encode("\n", add_special_tokens=False).ids
-        self._chunks = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and len(feed) == 1
+        plain = about["normalizer"] is None and len(feed) == 1 and about["truncation"] is None and about["padding"] is None
+        self._cuts = plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self._model = self._tok.model.tokenize if about["model"].get("type") == "BPE" and not about["model"].get("dropout") else None
+        self._added = [t.content.encode() for t in self._tok.get_added_tokens_decoder().values()]
         self._feed = feed[0] if feed else 0
-        self._known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks without line feeds, many in one call with a line feed between two."""
-        out: list[bytes] = []
-        for i in range(0, len(chunks), 1000):
-            part = chunks[i:i + 1000]
-            ids = np.array(self._tok.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(ids == self._feed)
-            data = ids.tobytes()
-            ends = [*(4 * cut).tolist(), len(data)]
-            out += [data[x:y] for x, y in zip([0, *(4 * cut + 4).tolist()], ends)]
+        self.known = _Known()
+        self._powers = ts._powers(ts._BASE, _HASHED + 1), ts._powers(ts._BASE_INV, _HASHED + 1)
+        # The byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self._alphabet = {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[bytes], letters: np.ndarray) -> list[list[int]]:
+        """Ids of pieces without line feeds; those of letters are one unit for the model, many others go in one call with line feeds between."""
+        out: list = [None] * len(pieces)
+        if self._model is not None:
+            for i in np.flatnonzero(letters).tolist():
+                out[i] = [t.id for t in self._model(pieces[i].decode("latin1").translate(self._alphabet))]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for lo in range(0, len(rest), 1000):
+            part = rest[lo:lo + 1000]
+            ids = self._tok.encode("\n".join(pieces[i].decode() for i in part), add_special_tokens=False).ids
+            cut = [-1, *(k for k, x in enumerate(ids) if x == self._feed), len(ids)]
+            for i, a, b in zip(part, cut[:-1], cut[1:]):
+                out[i] = ids[a + 1:b]
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        """Add the ids of new chunks to the known ones; a word is encoded apart from the punctuation behind it."""
-        known = self._known
-        stems: dict[str, tuple[str, str]] = {}
-        needed = set()
-        for c in new:
-            stem = c.rstrip(_PUNCTUATION)
-            word = stem[1:] if stem[:1] == "\0" else stem
-            if len(stem) < len(c) and word.isalpha() and (word.isascii() or max(word) < _SPLIT_BELOW):
-                stems[c] = stem, "\0" + c[len(stem):]
-                needed.update(stems[c])
-            else:
-                needed.add(c)
-        needed = sorted(needed.difference(known))
-        plain = [c for c in needed if c not in ("\n", "", "\0")]
-        known.update(zip(plain, self._encode_chunks([c[1:] if c[0] == "\0" else " " + c for c in plain])))
-        known["\n"], known["\0"] = np.array([self._feed], "<u4").tobytes(), b""
-        known.update((c, known[x] + known[y]) for c, (x, y) in stems.items())
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _simple(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts may be cut."""
+        simple = np.full(len(offsets) - 1, self._cuts)
+        full = np.flatnonzero(np.diff(offsets))
+        edge = np.concatenate([offsets[:-1][full], offsets[1:][full] - 1])
+        edge = edge[(data[edge] == 0x20) | (data[edge] == 0x0A)]
+        bad = [_spaced_oddly(data), edge]
+        raw = data.tobytes()
+        for token in self._added:
+            at = raw.find(token)
+            while at >= 0:
+                bad.append(np.array([at]))
+                at = raw.find(token, at + 1)
+        simple[np.searchsorted(offsets, np.concatenate(bad), "right") - 1] = False
+        return simple
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null texts have none."""
+        return [ids for part in _slices(texts, PIECE_BYTES) for ids in self._piece(part)]
+
+    def _piece(self, texts: pa.Array) -> list[np.ndarray]:
+        data, offsets = ts.text_buffer(texts)
+        if not len(data):
+            return [np.zeros(0, np.uint32)] * len(texts)
+        simple = self._simple(data, offsets)
         out: list = [None] * len(texts)
-        parts: list = [None] * len(texts)
-        whole = []
-        for i, t in enumerate(texts):
-            # Equal only if all white space is single spaces and line feeds between other characters.
-            if self._chunks and "\0" not in t and " ".join(t.split()) == t.replace("\n", " "):
-                # A chunk keeps its leading space implicitly; \0 marks the first one of a line, which has none.
-                parts[i] = ("\0" + t.replace("\n", " \n \0")).split(" ")
-            else:
-                whole.append(i)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
+        odd = np.flatnonzero(~simple)
+        for i, ids in zip(odd.tolist(), self._whole([t or "" for t in texts.take(pa.array(odd)).to_pylist()])):
             out[i] = ids
-        known = self._known
-        size = len(known)
-        new = set().union(*filter(None, parts)).difference(known)
-        self._learn(new)
-        for i, p in enumerate(parts):
-            if p is not None:
-                out[i] = b"".join(map(known.__getitem__, p))
-        if len(known) > CACHED_CHUNKS:  # the earliest, hence the frequent ones, stay
-            for c in list(islice(reversed(known), len(known) - min(size, CACHED_CHUNKS))):
-                del known[c]
+        if simple.any():
+            if len(odd):
+                texts = texts.filter(pa.array(simple))
+                data, offsets = ts.text_buffer(texts)
+            for i, ids in zip(np.flatnonzero(simple).tolist(), self._cut(data, offsets)):
+                out[i] = ids
         return out
 
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts that may be cut."""
+        gap = (data == 0x20) | (data == 0x0A)
+        start, end = ts.word_bounds(data, offsets, _NO_GAP)
+        before = np.where(start > 0, data[np.maximum(start, 1) - 1], 0)
+        before[np.isin(start, offsets)] = 0  # the first piece of a text
+        spaced, fed = before == 0x20, before == 0x0A
+        # Punctuation behind letters is a piece of its own.
+        other = np.flatnonzero(~_PUNCTUATION[data])
+        last = np.searchsorted(other, end)
+        stem = np.where((last > 0) & (other[np.maximum(last, 1) - 1] >= start), other[np.maximum(last, 1) - 1] + 1, start) if len(other) else start
+        strange = np.concatenate([[0], np.cumsum(_odd_letters(data))])
+        letters = (stem > start) & (strange[stem] == strange[start])
+        parted = letters & (stem < end)
+        n = 1 + parted
+        at = np.cumsum(n) - n
+        piece = np.repeat(np.arange(len(start)), n)
+        second = np.ones(len(piece), bool)
+        second[at] = False
+        lo = np.where(second, stem[piece], start[piece])
+        hi = np.where(parted[piece] & ~second, stem[piece], end[piece])
+        spaced, fed, letters = spaced[piece] & ~second, fed[piece] & ~second, letters[piece] & ~second
+        key, check = _hashes(data, lo, hi, spaced, self._powers)
+        distinct, one, of = np.unique(key, return_index=True, return_inverse=True)
+        clash = np.flatnonzero(check != check[one][of])  # pieces that share the first hash with another one
+        if len(clash):
+            return self._whole([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])])
+        place = self.known.find(distinct, check[one])
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            first = one[new]
+            raw = data.tobytes()
+            found = [(b" " if s else b"") + raw[a:b] for a, b, s in zip(lo[first].tolist(), hi[first].tolist(), spaced[first].tolist())]
+            self.known.add(distinct[new], check[first], self._encode_pieces(found, letters[first]))
+            place = self.known.find(distinct, check[one])
+            if (place < 0).any():  # a remembered piece has the same first hash
+                return self._whole([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])])
+        self.known.hits[place] += np.bincount(of, minlength=len(place))
+        at = place[of]
+        size = self.known.size[at].astype(np.int64) + fed
+        ends = np.cumsum(size)
+        ids = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        feeds = (ends - size)[fed]
+        rest = np.ones(len(ids), bool)
+        rest[feeds] = False
+        ids[feeds] = self._feed
+        ids[rest] = self.known.gather(at)
+        self.known.shrink(CACHED_PIECES)
+        cut = np.concatenate([[0], ends])[np.searchsorted(lo, offsets)]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
+_NO_GAP = ~_byte_flags((0x20, 0x20), (0x0A, 0x0A))
+
+
+_HASHED = 1 << 20  # bytes hashed at a time
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, flag: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit values per byte range (in ascending order) and flag: a hash of all its bytes, and one of its first and last eight."""
+    value = ts._byte_values()
+    size = (end - start).astype(np.uint64)
+    h = np.empty(len(start), np.uint64)
+    a = 0
+    while a < len(start):
+        lo = int(start[a])
+        b = max(a + 1, int(np.searchsorted(end, lo + _HASHED, "right")))
+        hi = int(end[b - 1])
+        power, inverse = powers if hi - lo <= _HASHED else (ts._powers(ts._BASE, hi - lo + 1), ts._powers(ts._BASE_INV, hi - lo + 1))
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(value[data[lo:hi]] * power[:hi - lo], out=sums[1:])
+        s, e = start[a:b] - lo, end[a:b] - lo
+        h[a:b] = (sums[e] - sums[s]) * inverse[s]
+        a = b
+    h = ts.mix(h + size * _U(ts._ODD[4]) + flag.astype(np.uint64) * _U(ts._ODD[3]))
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 9, 8), (1, 1))
+    first = eight[start + 8].view(np.uint64)[:, 0] << (_U(8) * (_U(8) - np.minimum(size, _U(8))) % _U(64))
+    last = eight[end].view(np.uint64)[:, 0] >> (_U(8) * (_U(8) - np.minimum(size, _U(8))) % _U(64))
+    check = ts.mix(first * _U(ts._ODD[0]) + ts.mix(last + size * _U(ts._ODD[1]) + flag.astype(np.uint64)))
+    return h, check
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, kept with its pieces from task to task; one per tokenizer file."""
+    kept = sys.modules.setdefault("_wirefold_worker_state", SimpleNamespace(encoders={}))
+    about = os.stat(path)
+    key = path, about.st_size, about.st_mtime_ns, CACHED_PIECES
+    if key not in kept.encoders:
+        kept.encoders.clear()
+        kept.encoders[key] = Encoder(path)
+    return kept.encoders[key]
+
 
 def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                        end_id: int = END_ID, block_ids: int = BLOCK_IDS, shards: int | None = None) -> None:
@@ -268,14 +494,15 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, id_col: str =
         from pyspark import TaskContext
 
         shard, block = TaskContext.get().partitionId(), 0
-        enc = Encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
+        enc = worker_encoder(tokenizer)
+        end = np.array([end_id], np.uint32)
         keys: list = []
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         total = 0
 
         def flush():
-            record = pack_block(np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids]))
+            flat = np.concatenate([x for d in ids for x in (d, end)])
+            record = pack_block(flat, np.array([len(d) + 1 for d in ids]))
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([total], pa.int64()),
                  pa.array([keys], pa.list_(key_arrow)), pa.array([record], pa.binary())],
@@ -284,12 +511,14 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, id_col: str =
         key_arrow = None
         for b in batches:
             key_arrow = b.column("key").type
-            for lo in range(0, b.num_rows, ENCODED_ROWS):
-                part = b.slice(lo, ENCODED_ROWS)
-                for key, x in zip(part.column("key").to_pylist(), enc([t or "" for t in part.column("text").to_pylist()])):
+            lo = 0
+            for part in _slices(b.column("text"), 4 * PIECE_BYTES):
+                names = b.column("key").slice(lo, len(part)).to_pylist()
+                lo += len(part)
+                for key, x in zip(names, enc(part)):
                     keys.append(key)
-                    ids.append(x + end)
-                    total += len(x) // 4 + 1
+                    ids.append(x)
+                    total += len(x) + 1
                     if total >= block_ids:
                         yield flush()
                         keys, ids, total, block = [], [], 0, block + 1
@@ -297,10 +526,8 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str, id_col: str =
             yield flush()
 
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    if shards:
-        rows = rows.repartitionByRange(shards, "key", F.xxhash64("text"))
-    else:
-        rows = rows.repartitionByRange("key", F.xxhash64("text"))
+    shards = shards or max(docs.sparkSession.sparkContext.defaultParallelism, SHARDS_PER_SPLIT * docs.rdd.getNumPartitions())
+    rows = rows.repartitionByRange(shards, "key", F.xxhash64("text"))
     rows.sortWithinPartitions("key", F.xxhash64("text"), "text").mapInArrow(encode, schema).write.parquet(path)
 
 
