@@ -1,5 +1,6 @@
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -59,6 +60,79 @@ def test_pages_table(spark):
     assert H.extract_pages(pages.limit(0)).collect() == []
 
 
+def test_names_are_hints_only():
+    body = "".join(f"<p>{'several words of prose ' * 20}</p>" for _ in range(4))
+    text = "\n".join([("several words of prose " * 20).strip()] * 4)
+    for opened in ('<div class="layout has-sidebar">', '<div class="post related-none">', '<div id="social-history">', '<main><div class="dialog">'):
+        assert H.main_text(f"<body><nav>menu</nav>{opened}{body}</div></body>") == text
+    # A short article next to a long advert, and next to long comments.
+    long = "buy this thing, it is good " * 40
+    short = "<article><h1>A title</h1><p>One short line.</p></article>"
+    assert H.main_text(f"<body><div class='ad'>{long}</div>{short}<div id='comments'><p>{long}</p></div></body>") == "A title\nOne short line."
+    assert H.main_text(f"<body><div id='comments'><p>{long}</p></div></body>") == long.strip()  # nothing else is there
+
+
+def test_a_cluster_of_its_own_stays_outside():
+    body = "".join(f"<p>{'several words of prose ' * 20}</p>" for _ in range(4))
+    legal = "<p><a>A</a> <a>B</a></p><div class='legal'><p>" + "legal words here " * 30 + "</p></div>"
+    for tag in ("article", "div"):
+        text = H.main_text(f"<body><{tag}>{body}</{tag}>{legal}</body>")
+        assert "legal" not in text and "A B" not in text and text.count("\n") == 3
+
+
+@pytest.mark.parametrize("n", [50_000])
+def test_deep_pages_in_linear_time(n):
+    start = time.process_time()
+    assert H.main_text("<div>a" * n).count("\n") == n - 1
+    assert len(H.main_text("<p>a<li>b</x>" * n)) > n and H.main_text("<ul><li>" * n + "x") == "x"
+    assert time.process_time() - start < 60
+
+
+def generated_page(rng):
+    """A page and its main text, both written out by the generator: nothing here parses html."""
+    words = ["lorem", "ipsum", "dolor", "sit", "amet", "caf&eacute;", "a&amp;b", "x &lt; y", "na&#239;ve"]
+    plain_words = ["lorem", "ipsum", "dolor", "sit", "amet", "caf\u00e9", "a&b", "x < y", "na\u00efve"]
+
+    def prose(n):
+        picks = [rng.randrange(len(words)) for _ in range(n)]
+        html = rng.choice([" ", "\n", "  \t"]).join(rng.choice(["{}", "<b>{}</b>", "<i>{}</i>", "<a href='#'>{}</a>"] if rng.random() < 0.1 else ["{}"]).format(words[i]) for i in picks)
+        return html, " ".join(plain_words[i] for i in picks)
+
+    def block():
+        kind = rng.choice(["p", "p", "p", "h2", "blockquote", "ul", "pre"])
+        if kind == "ul":
+            items = [prose(rng.randint(3, 12)) for _ in range(rng.randint(1, 4))]
+            return "<ul>" + "".join(f"<li>{h}</li>" for h, _ in items) + "</ul>", [t for _, t in items]
+        html, text = prose(rng.randint(2, 6) if kind == "h2" else rng.randint(15, 90))
+        return f"<{kind}>{html}</{kind}>", [text]
+
+    blocks = [(lambda x: (f"<h1>{x[0]}</h1>", [x[1]]))(prose(4))] + [block() for _ in range(rng.randint(2, 9))]
+    if all(b[0].startswith("<h") for b in blocks):
+        blocks.append((lambda x: (f"<p>{x[0]}</p>", [x[1]]))(prose(40)))
+    body = "\n".join(b[0] for b in blocks)
+    tag, attrs = rng.choice([("article", ""), ("main", ""), ("div", ' class="post"'), ("div", ' class="layout has-sidebar"')])
+    junk = ["<script>var p = '<p>no</p>';</script>", "<style>p{}</style>", "<!-- <p>no</p> -->", f"<form><p>{prose(30)[0]}</p><input></form>",
+            "<noscript><p>turn it on</p></noscript>", "<div class='share social'><a href='#'>share</a></div>"]
+    before = ["<header><h1>Site</h1></header>", f"<nav><ul>{'<li><a href=#>menu</a>' * rng.randint(1, 8)}</ul></nav>", "<div class='ad'>Buy now</div>",
+              "<div id='cookie-notice'>We use cookies</div>"]
+    after = ["<aside>side words</aside>", "<footer>&copy; 2024 all rights</footer>", "<section id='comments'><p>me too</p><p>so true</p></section>"]
+
+    def some(items):
+        return "".join(x for x in items if rng.random() < 0.6)
+
+    html = f"<html><head><title>t</title></head><body>{some(before)}{some(junk)}<{tag}{attrs}>{some(junk[:3])}{body}{some(junk[:3])}</{tag}>{some(junk)}{some(after)}</body></html>"
+    return html, "\n".join(t for b in blocks for t in b[1])
+
+
+def test_pages_equal_what_the_generator_wrote():
+    import random
+
+    rng = random.Random(12)
+    for _ in range(400):
+        html, text = generated_page(rng)
+        assert H.main_text(html) == text, html
+
+
 def check_bins(out, source, cluster, length, capacity):
     placed, bins = Counter(), defaultdict(list)
     for r in out:
@@ -130,36 +204,40 @@ def test_packing_query_parts_near_copies(spark, docs, tmp_path):
     check_bins(out, {k: k for k in length}, cluster, length, 2048)
 
 
-def brute_scores(rows):
+def brute_scores(rows, order):
+    """The definition, n-gram by n-gram."""
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     docs = [(k, re.findall(r"[^\x20\x09-\x0D]+", t.translate(lower))) for k, t in rows]
-    uni, bi = Counter(), Counter()
+
+    def grams(w):
+        return Counter(tuple(w[i:i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+
+    everywhere = Counter()
     for _, w in docs:
-        uni.update(w)
-        bi.update(zip(w, w[1:]))
-    total = sum(uni.values())
+        everywhere.update(grams(w))
+    total = sum(len(w) for _, w in docs)
     out = []
     for k, w in docs:
-        u, b = Counter(w), Counter(zip(w, w[1:]))
-        rest = max(1, total - len(w))
-        s, known = 0.0, 0
-        for i, x in enumerate(w):
-            pair = (w[i - 1], x) if i else None
-            c = bi[pair] - b[pair] if pair else 0
-            if c > 0:
-                known += 1
-                s += math.log(c / (uni[w[i - 1]] - u[w[i - 1]]))
-            else:
-                s += math.log((uni[x] - u[x] or 0.5) / rest) + (math.log(0.4) if i else 0)
-        out.append((k, len(w), known, s))
+        own = grams(w)
+
+        def c(gram):
+            return everywhere[gram] - own[gram]
+
+        def score(gram):
+            if len(gram) == 1:
+                return math.log((c(gram) or 0.5) / max(1, total - len(w)))
+            return math.log(c(gram) / c(gram[:-1])) if c(gram) > 0 else math.log(0.4) + score(gram[1:])
+
+        ending = [tuple(w[max(0, i + 1 - order):i + 1]) for i in range(len(w))]
+        out.append((k, len(w), sum(len(g) == order and c(g) > 0 for g in ending), sum(map(score, ending))))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 900])
-def test_backoff_scores_equal_brute_force(docs, monkeypatch, block_bytes):
+@pytest.mark.parametrize("block_bytes, order", [(8 << 20, 3), (900, 3), (8 << 20, 1), (900, 5)])
+def test_backoff_scores_equal_brute_force(docs, monkeypatch, block_bytes, order):
     monkeypatch.setattr(L, "BLOCK_BYTES", block_bytes)
-    got = sorted((tuple(r) for r in L.backoff_scores(docs).collect()), key=repr)
-    want = brute_scores(plain(docs))
+    got = sorted((tuple(r) for r in L.backoff_scores(docs, order=order).collect()), key=repr)
+    want = brute_scores(plain(docs), order)
     assert sorted(r[:3] for r in got if r[0]) == sorted(r[:3] for r in want if r[0])
     assert sorted(round(r[3], 4) for r in got) == pytest.approx(sorted(r[3] for r in want), abs=1e-3)
 
