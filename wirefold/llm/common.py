@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wirefold.session import read_table, shared_dir
 
-__all__ = ["connected_components", "id_bitmap", "in_bitmap", "materialize", "read_table", "runs", "shared_dir"]
+__all__ = ["connected_components", "from_planes", "id_bitmap", "in_bitmap", "materialize", "planes", "read_table", "runs", "shared_dir"]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -88,6 +88,17 @@ def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Integers byte plane by byte plane, which compression can shrink."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def from_planes(data: pa.Scalar | pa.Buffer, kind) -> np.ndarray:
+    """The integers of type ``kind`` that ``planes`` wrote."""
+    raw = np.frombuffer(data if isinstance(data, pa.Buffer) else data.as_buffer(), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Split a stream sorted by integer ``keys`` into one table per key, holding one key's rows at a time."""
     kept: list[pa.RecordBatch] = []
