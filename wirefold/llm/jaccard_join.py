@@ -43,9 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.llm import textscan as ts
-from wirefold.llm.common import connected_components, id_bitmap, in_bitmap, materialize, runs
-from wirefold.llm.lm_score import _from_planes as from_planes
-from wirefold.llm.lm_score import _planes as planes
+from wirefold.llm.common import connected_components, from_planes, id_bitmap, in_bitmap, materialize, planes, runs
 
 SHINGLE_WORDS = 5
 THRESHOLD = (75, 100)  # similarity >= 75 / 100, compared in integers
@@ -163,8 +161,20 @@ _ROW = "part long, block long, kind int, a binary, b binary, c binary"
 LIGHT, HEAVY, LISTS, OWNERS = range(4)
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Integers as compressed byte planes, their size in front."""
+    raw = planes(values)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _loose(data: pa.Scalar, kind) -> np.ndarray:
+    raw = data.as_buffer()
+    size = int.from_bytes(raw.slice(0, 8).to_pybytes(), "little")
+    return from_planes(pa.decompress(raw.slice(8), decompressed_size=size, codec="zstd"), kind)
+
+
 def _packed(part: int, block: int, kind: int, *arrays: np.ndarray) -> tuple:
-    return (part, block, kind, *(planes(x) for x in arrays), *[None] * (3 - len(arrays)))
+    return (part, block, kind, *(_squeezed(x) for x in arrays), *[None] * (3 - len(arrays)))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -178,7 +188,7 @@ def _steps(sorted_values: np.ndarray) -> np.ndarray:
 
 
 def _unsteps(data: pa.Scalar) -> np.ndarray:
-    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
+    return np.cumsum(_loose(data, np.uint64), dtype=np.uint64)
 
 
 def _by_signature(sig: np.ndarray, of: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +261,7 @@ def signature_blocks(docs: DataFrame, bits: int, parts: int, text_col: str = "te
 
 def _count_partition(t: pa.Table) -> Iterator[tuple]:
     """Per packed row of a partition the signatures that have more than one owner, and how many."""
-    values = [(_unsteps(a), from_planes(b, np.uint32)) for a, b in zip(t["a"], t["b"])]
+    values = [(_unsteps(a), _loose(b, np.uint32)) for a, b in zip(t["a"], t["b"])]
     cut = np.cumsum([0, *(len(s) for s, _ in values)])
     sig = np.concatenate([s for s, _ in values])
     kinds, blocks = t["kind"].to_pylist(), t["block"].to_pylist()
@@ -271,16 +281,16 @@ def _count_partition(t: pa.Table) -> Iterator[tuple]:
 def _block_prefixes(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(signature, class) of the rarest signatures of a block's sets, as far as they are shared."""
     rows = list(zip(t["kind"].to_pylist(), t["a"], t["b"], t["c"]))
-    owner, spare = next((from_planes(a, np.int64), from_planes(b, np.int32)) for kind, a, b, _ in rows if kind == OWNERS)
-    parts = [(_unsteps(a), from_planes(b, np.int64), from_planes(c, np.uint32)) for kind, a, b, c in rows if kind == LIGHT]
-    counted = [(_unsteps(a), from_planes(b, np.int64)) for kind, a, b, _ in rows if kind == HEAVY]
+    owner, spare = next((_loose(a, np.int64), _loose(b, np.int32)) for kind, a, b, _ in rows if kind == OWNERS)
+    parts = [(_unsteps(a), _loose(b, np.int64), _loose(c, np.uint32)) for kind, a, b, c in rows if kind == LIGHT]
+    counted = [(_unsteps(a), _loose(b, np.int64)) for kind, a, b, _ in rows if kind == HEAVY]
     if counted:  # each is in a list of the block
         known, n = (np.concatenate(x) for x in zip(*counted))
         by = np.argsort(known)
         for kind, a, b, c in rows:
             if kind == LISTS:
-                s, times = _unsteps(a), from_planes(b, np.uint32)
-                parts.append((np.repeat(s, times), np.repeat(n[by][np.searchsorted(known[by], s)], times), from_planes(c, np.uint32)))
+                s, times = _unsteps(a), _loose(b, np.uint32)
+                parts.append((np.repeat(s, times), np.repeat(n[by][np.searchsorted(known[by], s)], times), _loose(c, np.uint32)))
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     sig, n, of = (np.concatenate(x) for x in zip(*parts))
@@ -409,7 +419,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_
                     if len(seen) < 1_000_000:
                         seen.add(c)
                     cls.append(c)
-                    sets.append(h[x:y].tobytes())
+                    sets.append(planes(_steps(h[x:y])))
             for i in range(0, len(cls), 256):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cls[i:i + 256], pa.int64()), pa.array(sets[i:i + 256], pa.binary())], ["class_id", "members"])
@@ -427,7 +437,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_
             if len(ids) < 2:
                 continue
             cross = unit["a"][0].as_py() != unit["b"][0].as_py()
-            arrays = [np.frombuffer(unit["members"][int(i)].as_buffer(), np.uint64) for i in at]
+            arrays = [np.cumsum(from_planes(unit["members"][int(i)], np.uint64), dtype=np.uint64) for i in at]
             links = list(_unit_links(ids, unit["chunk"].to_numpy()[at], arrays, cross))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["src", "dst"])
