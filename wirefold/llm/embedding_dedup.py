@@ -8,7 +8,8 @@
 2. *Tables.*  The codes are cut into substrings, one table each.  Their width
    follows the number of vectors, and their number is such that a pair at the
    threshold shares a substring with probability ``RECALL``, by the measured
-   rate of differing bits.  Within a table's bucket, pairs of one label whose
+   rate of differing bits.  A table's row carries two of the codes, whatever
+   the number of tables.  Within a table's bucket, pairs of one label whose
    codes are near in Hamming distance are tied; only the links of a spanning
    forest are kept.
 3. *Rerank.*  The connected components of those ties are the candidate
@@ -16,16 +17,19 @@
    double precision, block by block; each pair lies in one block, so links are
    counted once and never listed.
 
-Large buckets and clusters are cut into chunks of bounded size, and each pair
-of chunks is a unit of work.  Every vector length has its own codes and tables;
-a length whose labels all fit in a chunk needs none, each of its labels is a
-candidate cluster.
+Equal vectors of a label are one class with a number of copies, counted by
+partial sums before anything else, so that copies are never compared.  Large
+buckets and clusters are cut into chunks of bounded size, and each pair of
+chunks is a unit of work.  Every vector length has its own codes and tables; a
+length whose labels all fit in a chunk needs none, each of its labels is a
+candidate cluster, and so is every label with ``exact``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -97,18 +101,26 @@ class Tables:
         share = (1 - rate) ** self.width
         self.count = max(4, math.ceil(math.log(1 - RECALL) / math.log(1 - share)) if share < 1 else 4)
         self.mean, self.projections = learn_rotations(sample, -(-self.count // per_code), bits)
-        self.bits = bits * len(self.projections)
+        self.rotation = [t // per_code for t in range(self.count)]  # of each table
+        compared = bits * min(2, len(self.projections))
         rate = bit_difference(sample, self.mean, self.projections, THRESHOLD)
-        self.radius = math.ceil(rate * self.bits + _SIGMAS * math.sqrt(rate * (1 - rate) * self.bits))
+        self.radius = math.ceil(rate * compared + _SIGMAS * math.sqrt(rate * (1 - rate) * compared))
         self.starts = [(t // per_code) * bits + (t % per_code) * self.width for t in range(self.count)]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(packed codes, table keys) of unit vectors."""
+        """(codes[row, rotation] as 64-bit words, table keys[row, table]) of unit vectors."""
         code = sign_codes(x, self.mean, self.projections)
         weight = 1 << np.arange(self.width, dtype=np.int64)
         keys = np.stack([code[:, s:s + self.width] @ weight + (t << 40) for t, s in enumerate(self.starts)], axis=1)
-        packed = np.packbits(code, axis=1)
-        return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))), keys
+        one = np.packbits(code.reshape(len(x), len(self.projections), -1), axis=2)
+        words = np.pad(one, ((0, 0), (0, 0), (0, 8 - one.shape[2]))).view(np.uint64)[:, :, 0]
+        return words, keys
+
+    def carried(self, words: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """The two codes that the rows of a table carry: that of its rotation and the next one's (nothing if it is the only one)."""
+        r = self.rotation[table]
+        other = words[:, (r + 1) % words.shape[1]] if words.shape[1] > 1 else np.zeros(len(words), np.uint64)
+        return words[:, r], other
 
 
 # ---- vectors -----------------------------------------------------------------
@@ -129,23 +141,34 @@ def _vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray | None]]:
 
 
 def comparable_vectors(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """``(row, id, label, dim, vector)``, written once; ``vector``: unit vector in binary doubles, null if not comparable."""
+    """``(row, id, grp, dim, c1, c2, vector)``, written once; ``vector``: unit vector in binary doubles, null if not comparable.
+
+    ``grp`` stands for label and length, ``(c1, c2)`` is a 128-bit hash of the vector.
+    """
 
     def scan(batches):
         for b in batches:
             dim, vectors = _vectors(b.column("v"))
-            binary = [None if x is None else (x / np.linalg.norm(x)).tobytes() for x in vectors]
+            binary = [None if x is None else (x / np.linalg.norm(x) + 0.0).tobytes() for x in vectors]  # no negative zeros
+            digest = np.frombuffer(b"".join(blake2b(v or b"", digest_size=16).digest() for v in binary), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("id"), b.column("label"), pa.array(dim), pa.array(binary, pa.binary())],
-                ["row", "id", "label", "dim", "vector"])
+                [b.column("row"), b.column("id"), b.column("label"), pa.array(dim), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()),
+                 pa.array(binary, pa.binary())], ["row", "id", "label", "dim", "c1", "c2", "vector"])
 
     source = rows.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(label_col).alias("label"),
                          F.col(vector_col).alias("v"))
     id_type, label_type = (source.schema[c].dataType.simpleString() for c in ("id", "label"))
     return materialize(
-        source.mapInArrow(scan, f"row long, id {id_type}, label {label_type}, dim int, vector binary")
+        source.mapInArrow(scan, f"row long, id {id_type}, label {label_type}, dim int, c1 long, c2 long, vector binary")
         .withColumn("vector", F.when(F.col("label").isNotNull(), F.col("vector")))
-        .withColumn("grp", F.when(F.col("vector").isNotNull(), F.xxhash64("label", "dim"))), "vectors")
+        .withColumn("grp", F.when(F.col("vector").isNotNull(), F.xxhash64("label", "dim"))).drop("label"), "vectors")
+
+
+def distinct_vectors(vectors: DataFrame) -> DataFrame:
+    """``(row, low, grp, dim, c1, c2, copies, vector)``: one row per distinct comparable vector of a label, named by its first row; ``low``: smallest id."""
+    same = vectors.where("vector is not null").groupBy("grp", "c1", "c2").agg(
+        F.min("row").alias("row"), F.min("id").alias("low"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("vector").alias("vector"))
+    return materialize(same.select("row", "low", "grp", "dim", "c1", "c2", "copies", "vector"), "distinct-vectors")
 
 
 def _units(rows: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
@@ -200,28 +223,28 @@ def candidate_ties(vectors: DataFrame, tables: dict[int, Tables]) -> DataFrame:
                 t = shared.value[int(dim)]
                 b = mixed.filter(pa.array(dims == dim))
                 x = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in b.column("vector")])
-                codes, keys = t.encode(x)
-                packed = pa.array([c.tobytes() for c in codes], pa.binary())
+                words, keys = t.encode(x)
                 for i in range(t.count):
+                    code1, code2 = (pa.array(np.ascontiguousarray(c).view(np.int64)) for c in t.carried(words, i))
                     yield pa.RecordBatch.from_arrays(
-                        [b.column("grp"), pa.array(keys[:, i].copy()), b.column("row"), b.column("dim"), packed],
-                        ["grp", "bucket", "row", "dim", "code"])
+                        [b.column("grp"), pa.array(keys[:, i].copy()), b.column("row"), b.column("dim"), code1, code2],
+                        ["grp", "bucket", "row", "dim", "code1", "code2"])
 
     def tie(batches):
         for t in runs(batches, ["grp", "bucket", "a", "b"]):
-            codes = np.stack([np.frombuffer(c.as_buffer(), np.uint64) for c in t["code"]])
+            codes = np.stack([t[c].to_numpy().view(np.uint64) for c in ("code1", "code2")], axis=1)
             cross = t["a"][0].as_py() != t["b"][0].as_py()
             radius = shared.value[t["dim"][0].as_py()].radius
             found = list(_ties(t["row"].to_numpy(), t["chunk"].to_numpy(), codes, radius, cross))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["src", "dst"])
 
-    rows = vectors.select("grp", "row", "dim", "vector").mapInArrow(index, "grp long, bucket long, row long, dim int, code binary")
-    return _units(rows, ["grp", "bucket"], ["dim", "code"]).mapInArrow(tie, "src long, dst long")
+    rows = vectors.select("grp", "row", "dim", "vector").mapInArrow(index, "grp long, bucket long, row long, dim int, code1 long, code2 long")
+    return _units(rows, ["grp", "bucket"], ["dim", "code1", "code2"]).mapInArrow(tie, "src long, dst long")
 
 
 def reranked_links(vectors: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
-    """``(src, dst, n)``: links of a row counted per unit (``dst`` null), and the links of spanning forests (``n`` 0)."""
+    """``(src, dst, n)``: links of a row to other vectors and their copies, counted per unit (``dst`` null), and the links of spanning forests (``n`` 0)."""
 
     def compare(batches):
         for t in runs(batches, ["root", "a", "b"]):
@@ -231,7 +254,7 @@ def reranked_links(vectors: DataFrame, clusters: DataFrame, threshold: float) ->
             np.fill_diagonal(linked, False)
             if t["a"][0].as_py() != t["b"][0].as_py():
                 linked &= chunk[:, None] != chunk[None, :]
-            n = linked.sum(axis=1)
+            n = linked @ t["copies"].to_numpy()
             src, dst = [], []
             comp = np.arange(len(rows))
             for i in np.flatnonzero(n):
@@ -246,12 +269,12 @@ def reranked_links(vectors: DataFrame, clusters: DataFrame, threshold: float) ->
                  pa.array([None] * len(with_links) + dst, pa.int64()),
                  pa.array(np.concatenate([n[with_links], np.zeros(len(src), np.int64)]))], ["src", "dst", "n"])
 
-    members = clusters.join(vectors.select("row", "vector"), clusters["node"] == F.col("row")).select("root", "row", "vector")
-    return materialize(_units(members, ["root"], ["vector"]).mapInArrow(compare, "src long, dst long, n long"), "links")
+    members = clusters.join(vectors.select("row", "vector", "copies"), clusters["node"] == F.col("row")).select("root", "row", "vector", "copies")
+    return materialize(_units(members, ["root"], ["vector", "copies"]).mapInArrow(compare, "src long, dst long, n long"), "links")
 
 
 def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                           threshold: float = THRESHOLD) -> DataFrame:
+                           threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """Per row: id, ``n_links``, ``component_id`` (smallest id reachable over links), ``kept``.
 
     Rows are compared if their labels are equal and not null.  Vectors that are
@@ -261,26 +284,31 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col:
     more pass for its sample).  Repeated rows are rows of their own and link
     with each other.  A row whose id is null stays; ids of a component are
     compared without nulls.  An empty table gives an empty result.
+
+    With ``exact`` no index is used: all distinct vectors of a label are
+    compared, in units of bounded size, and no link is missed.
     """
     vectors = comparable_vectors(rows, id_col, vector_col, label_col)
-    per_group = vectors.where("vector is not null").groupBy("dim", "grp").count()
-    dims = per_group.groupBy("dim").agg(F.sum("count").alias("n"), F.max("count").alias("largest")).where(
+    distinct = distinct_vectors(vectors)
+    per_group = distinct.groupBy("dim", "grp").count()
+    dims = [] if exact else per_group.groupBy("dim").agg(F.sum("count").alias("n"), F.max("count").alias("largest")).where(
         F.col("largest") > CHUNK_ROWS).orderBy("dim").collect()
-    result = vectors.select("row", "id")
-    usable = vectors.where("vector is not null")
     indexed = F.col("dim").isin([d["dim"] for d in dims])
     # Groups that fit in a chunk are clusters as they are; negative roots are never rows.
-    clusters = usable.where(~indexed).select(F.col("row").alias("node"), F.col("grp").bitwiseOR(F.lit(-(1 << 63))).alias("root"))
+    clusters = distinct.where(~indexed).select(F.col("row").alias("node"), F.col("grp").bitwiseOR(F.lit(-(1 << 63))).alias("root"))
     if dims:
-        tables = {d["dim"]: learn_tables(usable.where(F.col("dim") == d["dim"]), d["n"], d["largest"]) for d in dims}
-        clusters = clusters.unionByName(connected_components(candidate_ties(usable.where(indexed), tables)))
-    links = reranked_links(usable, clusters, threshold)
-    counts = links.where("dst is null").groupBy("src").agg(F.sum("n").alias("n_links"))
-    roots = connected_components(links.where("dst is not null").select("src", "dst"))
-    smallest = roots.join(result, F.col("node") == F.col("row")).groupBy("root").agg(F.min("id").alias("component_id"))
-    found = roots.join(smallest, "root").select(F.col("node").alias("row"), "component_id")
-    found = found.join(counts.withColumnRenamed("src", "row"), "row")
-    joined = result.join(found, "row", "left").select(
-        "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"))
+        tables = {d["dim"]: learn_tables(distinct.where(F.col("dim") == d["dim"]), d["n"], d["largest"]) for d in dims}
+        clusters = clusters.unionByName(connected_components(candidate_ties(distinct.where(indexed), tables)))
+    links = reranked_links(distinct, clusters, threshold)
+    counts = links.where("dst is null").groupBy(F.col("src").alias("row")).agg(F.sum("n").alias("others"))
+    roots = connected_components(links.where("dst is not null").select("src", "dst")).withColumnRenamed("node", "row")
+    classes = distinct.select("row", "low", "grp", "c1", "c2", "copies").join(counts, "row", "left").join(roots, "row", "left").select(
+        "low", "grp", "c1", "c2", F.coalesce("root", "row").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    classes = materialize(classes, "classes")
+    smallest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
+    classes = classes.join(smallest, "root").select("grp", "c1", "c2", "n_links", "component_id")
+    linked = vectors.where("vector is not null").select("id", "grp", "c1", "c2").join(classes, ["grp", "c1", "c2"]).select(
+        "id", "n_links", F.coalesce("component_id", "id").alias("component_id"))
+    alone = vectors.where("vector is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    joined = linked.unionByName(alone).select("id", F.col("n_links").cast("long").alias("n_links"), "component_id")
     return joined.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)
