@@ -202,3 +202,62 @@ def test_pipeline_takes_an_empty_table(spark):
     for _, stage in P.STAGES:
         out = stage(spark, docs, SMALL)
         assert out.collect() == []
+
+
+def test_exact_vectors_and_copies(spark):
+    """Without an index every link is found; copies are counted, not compared."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((40, 16))
+    rows = [(i, (base[i % 40] + rng.standard_normal(16) * 0.1).tolist(), i % 2) for i in range(300)]
+    rows += [(1000 + i, rows[i % 3][1], rows[i % 3][2]) for i in range(400)] + [(None, rows[0][1], rows[0][2]), (2000, [-0.0] + rows[0][1][1:], 0), (2001, [0.0] + rows[0][1][1:], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
+    x = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    linked = np.array(x) @ np.array(x).T >= 0.93
+    label = np.array([r[2] for r in rows])
+    linked &= label[:, None] == label[None, :]
+    np.fill_diagonal(linked, False)
+    want = sorted(((r[0], int(n)) for r, n in zip(rows, linked.sum(axis=1))), key=repr)
+    E_chunk, E.CHUNK_ROWS = E.CHUNK_ROWS, 50
+    try:
+        out = E.near_duplicate_vectors(df, exact=True).collect()
+        indexed = E.near_duplicate_vectors(df).collect()
+    finally:
+        E.CHUNK_ROWS = E_chunk
+    assert sorted(((r.vec_id, r.n_links) for r in out), key=repr) == want
+    assert sum(r.n_links for r in indexed) >= 0.9 * sum(n for _, n in want)
+    component = {r.vec_id: r.component_id for r in out}
+    assert all(component[1000 + i] == component[i % 3] <= i % 3 for i in range(400))
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    from wirefold.llm.decontaminate import drop_contaminated
+
+    docs = spark.createDataFrame([(i, f"words of text number {i} " * 9, 0.5, 7) for i in range(20)], "doc_id long, text string, _quality double, _hit_0 int")
+    items = spark.createDataFrame([(1, "words of text number 3 words of text number 3 words")] * 5, "item_id long, text string")
+    clean = drop_contaminated(docs, items)
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [i for i in range(20) if i != 3]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    kept = Q.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {(r._quality, r._hit_0) for r in kept.collect()} <= {(0.5, 7)}
+
+
+def test_ranking_equals_an_independent_fit(spark, docs):
+    """The weights solve the penalised Bradley-Terry equations of the pairs, found here by plain gradient steps."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((120, 5))
+    good = x @ np.array([1.0, -2.0, 0.0, 0.5, 0.0]) + rng.standard_normal(120) > 0
+    pairs = [(i, j) for i in np.flatnonzero(good) for j in np.flatnonzero(~good)]
+    d = np.array([x[i] - x[j] for i, j in pairs])
+    w = Q._logistic_on_differences(d)
+    v, step = np.zeros(5), 1 / (0.25 * np.linalg.norm(d, 2) ** 2 + Q.RIDGE)
+    for _ in range(20_000):
+        v += step * (d.T @ (1 / (1 + np.exp(d @ v))) - Q.RIDGE * v)
+    assert np.allclose(w, v, atol=1e-3)
+
+
+def test_scores_of_an_empty_table(spark, no_docs):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert Q.score_documents(no_docs, labels).collect() == []
+    from wirefold.llm.secret_scan import find_secrets, redact_secrets
+
+    assert find_secrets(no_docs).collect() == [] and redact_secrets(no_docs).collect() == []
