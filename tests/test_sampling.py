@@ -72,7 +72,7 @@ def test_top_n_with_a_hot_group(spark):
     assert hot > d.count() / 4
 
 
-def test_top_n_zero_null_groups_and_absent_groups(spark, monkeypatch):
+def test_top_n_zero_null_groups_and_absent_groups(spark):
     rows = [("a", i) for i in range(60)] + [(None, i) for i in range(100, 140)] + [("b", i) for i in range(200, 203)]
     df = spark.createDataFrame(rows, "g string, k long")
 
@@ -82,16 +82,28 @@ def test_top_n_zero_null_groups_and_absent_groups(spark, monkeypatch):
         ranks = df.withColumn("rn", F.row_number().over(w)).collect()
         return sorted(((r.g, r.k) for r in ranks if r.rn <= limits.get(r.g, 0)), key=str)
 
-    for broadcast in (200_000, 0):
-        monkeypatch.setattr(B, "BROADCAST_GROUPS", broadcast)
+    for few in (True, False):
         for n in (0, -1, 1, 5, 45, 100):
-            got = sorted(((r.g, r.k) for r in B.top_n_per_group(df, "g", n, "k").collect()), key=str)
+            got = sorted(((r.g, r.k) for r in B.top_n_per_group(df, "g", n, "k", few_groups=few).collect()), key=str)
             assert got == ranked({"a": n, None: n, "b": n})
         n = spark.createDataFrame([("a", 7), (None, 0), ("missing", 3)], "g string, n long")
-        got = sorted(((r.g, r.k) for r in B.top_n_per_group(df, "g", n, "k").collect()), key=str)
+        got = sorted(((r.g, r.k) for r in B.top_n_per_group(df, "g", n, "k", few_groups=few).collect()), key=str)
         assert got == ranked({"a": 7})
 
 
+def test_top_n_is_lazy_and_ranks_few_rows(spark):
+    """No job runs before an action, and only the rows around the cut reach the window; rows of one key are ranked all."""
+    df = spark.range(60_000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    spark.sparkContext.setJobGroup("top-n-plan", "")
+    out = B.top_n_per_group(df, "g", 5_000, "k", few_groups=True)
+    assert not jobs("top-n-plan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.g: r["count"] for r in out.groupBy("g").count().collect()} == {"a": 5_000, "b": 5_000}
+    same = spark.range(900).select(F.lit(1).alias("k"), F.col("id").alias("v"), F.lit("a").alias("g"))
+    assert B.top_n_per_group(same, "g", 100, ["k"]).count() == 100
+
+
 def test_undersampling_does_not_deal_rows_by_label_alone(spark):
     df = spark.range(20_000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 < 8, "x").when(F.col("id") % 10 == 8, "y").alias("label"))
     out = B.undersample(df, "k")

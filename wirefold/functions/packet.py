@@ -207,3 +207,12 @@ def vector_digest(vec: str = "feature") -> list[Column]:
     digest.__annotations__ = {"vectors": pa.Array, "return": pa.Array}
     d = F.arrow_udf(digest, "struct<vec_len:int,n_nonzero:int,byte_sum:bigint,weighted_sum:bigint>")(F.col(vec))
     return [d[c].alias(c) for c in ("vec_len", "n_nonzero", "byte_sum", "weighted_sum")]
+
+
+def omitted(fields: dict[str, np.ndarray]) -> np.ndarray:
+    """P8 over header arrays (-1 where a field does not exist), for code that scores packets inside a Python task."""
+    proto, sport, dport, size = (fields[k] for k in ("proto", "sport", "dport", "payload_len"))
+    control = (proto == PROTO_TCP) & (fields["tcp_flags"] >= 0) & (fields["tcp_flags"] & TCP_FIN_SYN_ACK != 0) & (size == 0)
+    dns = np.select([proto == PROTO_UDP, proto == PROTO_TCP],
+                    [np.isin(sport, DNS_UDP_PORTS) | np.isin(dport, DNS_UDP_PORTS), np.isin(sport, DNS_TCP_PORTS) | np.isin(dport, DNS_TCP_PORTS)], False)
+    return control | (dns & (size > 0))

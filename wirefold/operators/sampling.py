@@ -6,11 +6,10 @@ chosen whatever the partitioning, after a retry, and in DuckDB.
 
 * the split is a narrow predicate (no join, no shuffle);
 * class counts are one partial aggregate;
-* "first n rows per class in hash order" is exact and skew-safe: two levels
-  of 16-bit hash histograms find each class's cut point, so no class is ever
-  sorted as a whole in one task (only the rows sharing one 32-bit hash value
-  at the cut are ranked with a window, and they are carried whole, so
-  duplicate keys are handled).
+* "first n rows per class in hash order" is exact and skew-safe: the hash is
+  uniform, so a class's size tells nearly where its cut lies; one count checks
+  that, and only the rows around the cut are ranked with a window.  The plan is
+  lazy; a table of few classes is broadcast.
 """
 
 from __future__ import annotations
@@ -19,13 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirefold.operators.labels import TASKS
-from wirefold.session import checkpoint_root
 
 # Fixed value: seed of the split and of the under-sampling order.
 SEED = 9876
 TWO_32 = 4294967296
-BROADCAST_GROUPS = 200_000  # largest per-group table (three numbers a row) that is broadcast
-SALTS = 16
+SIGMAS = 7  # standard deviations around the expected cut of a group
 
 
 def _key_list(key) -> list[str]:
@@ -129,14 +126,6 @@ def min_count_per_label(df: DataFrame, label: str = "label") -> DataFrame:
     return counts.withColumn("_one", F.lit(1)).join(F.broadcast(least), "_one").select(label, "n")
 
 
-def _cut(counts: DataFrame, group: list[str], bucket: str, need: str) -> DataFrame:
-    """Per group: the bucket where the running count reaches ``need``, and what is still needed there."""
-    w = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    c = counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    return c.where((F.col("_before") < F.col(need)) & (F.col("_before") + F.col("_cnt") >= F.col(need))).select(
-        *group, F.col(bucket).alias(bucket + "_cut"), (F.col(need) - F.col("_before")).alias(bucket + "_need"))
-
-
 def _null_safe(left: DataFrame, right: DataFrame, group: list[str], how: str = "inner") -> DataFrame:
     """Join on ``group`` with nulls equal; keeps the left columns of the key."""
     renamed = right.select(*[F.col(g).alias("_g_" + g) for g in group], *[c for c in right.columns if c not in group])
@@ -144,66 +133,62 @@ def _null_safe(left: DataFrame, right: DataFrame, group: list[str], how: str = "
     return left.join(renamed, on, how).drop(*["_g_" + g for g in group])
 
 
-def _attach(rows: DataFrame, per_group: DataFrame, group: list[str]) -> DataFrame:
-    """Data rows with the columns of a table of one row per group, without dealing them by the group alone.
+def _bounds(sizes: DataFrame, group: list[str]) -> DataFrame:
+    """Per group of ``_size`` rows two hash values between which the ``_n``-th smallest lies, unless hashes are very uneven.
 
-    ``per_group`` is a checkpointed table.  Up to ``BROADCAST_GROUPS`` groups
-    (counted) it is broadcast; beyond, data rows are dealt by (group, salt)
-    and the table is repeated once per salt.
+    The share of rows below a hash value is the value over 2**32, give or take
+    a few standard deviations; the bounds leave ``SIGMAS`` of them, and room for small groups.
     """
-    if per_group.count() <= BROADCAST_GROUPS:
-        return _null_safe(rows, F.broadcast(per_group), group)
-    salted = rows.withColumn("_salt", (F.col("_h1") % SALTS).cast("int"))
-    repeated = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return _null_safe(salted, repeated, [*group, "_salt"]).drop("_salt")
+    room = F.lit(SIGMAS) * F.sqrt(F.col("_n") * (1 - F.col("_n") / F.col("_size"))) + 4 * SIGMAS
+    at = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x / F.col("_size"))) * F.lit(float(TWO_32))
+    return sizes.select(
+        *group, "_n",
+        F.when(F.col("_n") >= F.col("_size"), F.lit(TWO_32)).otherwise(at(F.col("_n") - room).cast("bigint")).alias("_lo"),
+        F.when(F.col("_n") >= F.col("_size"), F.lit(TWO_32)).otherwise(F.ceil(at(F.col("_n") + room))).cast("bigint").alias("_hi"))
 
 
-def top_n_per_group(df: DataFrame, group, n, key, seed: int = SEED) -> DataFrame:
+def top_n_per_group(df: DataFrame, group, n, key, seed: int = SEED, few_groups: bool = False) -> DataFrame:
     """The first ``n`` rows of each group in (hash, key) order — a seeded random top-n.
 
     ``n`` is an int or a DataFrame ``(group..., n)`` with one row per group.
     Equal to
     ``row_number() OVER (PARTITION BY group ORDER BY h1, h2, key) <= n``:
     null groups are a group, n <= 0 and groups that ``n`` doesn't list give no
-    rows.  Jobs run while the plan is built, to measure the per-group tables.
+    rows.  A lazy plan: group sizes give two hash bounds around each group's cut,
+    a count checks them, rows below the lower one are taken as they are, and
+    only those between them are ranked.  Where the count contradicts the bounds
+    (rows that repeat one key) all rows of the group are ranked.
+
+    ``few_groups`` says that the groups are few, like the labels of a task: their
+    table is broadcast and no row is shuffled.  Else Spark chooses the joins.
     """
     group = _key_list(group)
     keys = _key_list(key)
     h1, h2 = hash_words(keys, seed)
-    wide = df.withColumns({"_h1": h1, "_h2": h2}).withColumns(
-        {"_b1": F.expr("_h1 DIV 65536"), "_b2": F.expr("_h1 % 65536")})
-    checkpoint_root(df.sparkSession)
-
-    # Level 1: high 16 bits of h1 (class-size histogram, partial aggregation).
-    sizes = wide.groupBy(*group, "_b1").agg(F.count("*").alias("_cnt"))
+    hashed = df.withColumns({"_h1": h1, "_h2": h2})
+    sizes = hashed.groupBy(*group).agg(F.count("*").alias("_size"))
     if isinstance(n, int):
-        c1 = sizes.withColumn("_n", F.lit(n).cast("bigint"))
+        sizes = sizes.withColumn("_n", F.lit(n).cast("bigint"))
     else:
-        c1 = _null_safe(sizes, n.select(*group, F.col("n").cast("bigint").alias("_n")), group)
-    c1 = c1.where("_n > 0").checkpoint(eager=True)
-    total = c1.groupBy(*group).agg(F.sum("_cnt").alias("_size"), F.first("_n").alias("_n"))
-    whole = total.where("_size <= _n").select(*group, F.lit(65536).cast("bigint").alias("_b1_cut"), F.lit(0).cast("bigint").alias("_b1_need"))
-    cut1 = _cut(c1, group, "_b1", "_n")
-    cut1 = whole.unionByName(_null_safe(cut1, whole.select(*group), group, "left_anti")).checkpoint(eager=True)
-    # Level 2: low 16 bits, over the rows of each group's cut bucket only (~1/65536 of a group).
-    bounded = _attach(wide, cut1, group)
-    cand1 = bounded.where(F.col("_b1") == F.col("_b1_cut")).checkpoint(eager=True)
-    c2 = cand1.groupBy(*group, "_b2", "_b1_need").agg(F.count("*").alias("_cnt"))
-    cut2 = _cut(c2, group, "_b2", "_b1_need").checkpoint(eager=True)
-    # Level 3: rows sharing the cut's full 32-bit value, ranked by (h2, key); below it all rows of the cut bucket stay.
-    cand2 = _attach(cand1, cut2, group)
-    helpers = ["_h1", "_h2", "_b1", "_b2", "_b1_cut", "_b1_need", "_b2_cut", "_b2_need"]
-    rw = Window.partitionBy(*group).orderBy("_h2", *keys)
-    at_cut = (cand2.where(F.col("_b2") == F.col("_b2_cut")).withColumn("_rn", F.row_number().over(rw))
-              .where(F.col("_rn") <= F.col("_b2_need")).drop("_rn", *helpers))
-    in_bucket = cand2.where(F.col("_b2") < F.col("_b2_cut")).drop(*helpers)
-    below = bounded.where(F.col("_b1") < F.col("_b1_cut")).drop(*helpers)
-    return below.unionByName(in_bucket).unionByName(at_cut)
+        sizes = _null_safe(sizes, n.select(*group, F.col("n").cast("bigint").alias("_n")), group)
+    table = F.broadcast if few_groups else (lambda t: t)
+    guess = table(_bounds(sizes.where("_n > 0"), group))
+    inside = _null_safe(hashed.select(*group, "_h1"), guess, group).groupBy(*group).agg(
+        F.first("_n").alias("_n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
+        F.count_if(F.col("_h1") < F.col("_lo")).alias("_below"), F.count_if(F.col("_h1") < F.col("_hi")).alias("_upto"))
+    right = (F.col("_below") <= F.col("_n")) & ((F.col("_upto") >= F.col("_n")) | (F.col("_hi") >= TWO_32))
+    cuts = inside.select(*group, F.when(right, F.col("_lo")).otherwise(0).alias("_lo"), F.when(right, F.col("_hi")).otherwise(TWO_32).alias("_hi"),
+                         (F.col("_n") - F.when(right, F.col("_below")).otherwise(0)).alias("_need"))
+    rows = _null_safe(hashed, table(cuts), group).where("_h1 < _hi")
+    helpers = ["_h1", "_h2", "_lo", "_hi", "_need"]
+    ranked = Window.partitionBy(*group).orderBy("_h1", "_h2", *keys)
+    between = rows.where("_h1 >= _lo").withColumn("_rn", F.row_number().over(ranked)).where("_rn <= _need").drop("_rn")
+    return rows.where("_h1 < _lo").unionByName(between).drop(*helpers)
 
 
 def undersample(df: DataFrame, key, label: str = "label", seed: int = SEED) -> DataFrame:
     """Every class cut to the smallest class's size (hash order)."""
-    return top_n_per_group(df, label, min_count_per_label(df, label), key, seed)
+    return top_n_per_group(df, label, min_count_per_label(df, label), key, seed, few_groups=True)
 
 
 def split_train_test(df: DataFrame, key, label: str = "label", test_size=0.2, under_sampling: bool = False,
@@ -234,21 +219,27 @@ def task_sets(df: DataFrame, label_col: str, key, test_size=0.2, under_sampling:
 
 
 def build_task_sets(df: DataFrame, label_col: str, out: str, key, test_size=0.2, under_sampling: bool = False,
-                    seed: int = SEED) -> str:
-    """B9 + S11: write ``out/split=train`` and ``out/split=test`` in one job."""
+                    seed: int = SEED, as_bytes: bool = False) -> str:
+    """B9 + S11: write ``out/split=train`` and ``out/split=test`` in one job.
+
+    With ``as_bytes`` samples that hold bytes are stored as they are (column
+    ``fbytes``), a hundredth of the vectors; the models read them directly.
+    """
     from wirefold.operators.features import with_feature
 
-    sets = with_feature(task_sets(df, label_col, key, test_size, under_sampling, seed))
-    sets.select("feature", "label", "split").write.mode("overwrite").partitionBy("split").parquet(out)
+    sets = task_sets(df, label_col, key, test_size, under_sampling, seed)
+    sets = sets if as_bytes else with_feature(sets)
+    feature = "fbytes" if "fbytes" in sets.columns else "feature"
+    sets.select(feature, "label", "split").write.mode("overwrite").partitionBy("split").parquet(out)
     return out
 
 
 def build_both_task_sets(samples: DataFrame, out: str, key, test_size=0.2, under_sampling: bool = False,
-                         seed: int = SEED) -> dict[str, str]:
+                         seed: int = SEED, as_bytes: bool = False) -> dict[str, str]:
     """Application and traffic sets from one stored sample table."""
     paths = {}
     for task, col in TASKS.items():
-        paths[task] = build_task_sets(samples, col, f"{out}/{task}", key, test_size, under_sampling, seed)
+        paths[task] = build_task_sets(samples, col, f"{out}/{task}", key, test_size, under_sampling, seed, as_bytes)
     return paths
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wirefold.operators import features as FE
 from wirefold.operators import sampling as B
+from wirefold.operators.labels import TASKS
 from wirefold.plans.oracle_base import with_kept
 from wirefold.plans.registry import register
 from wirefold.session import read_table, shared_dir
@@ -175,3 +176,23 @@ def label_distribution(spark, sf):
     out = shared_dir(spark, "task-sets")
     B.build_task_sets(_customer_samples(spark, sf), "segment", out, "c_custkey", 0.2)
     return B.label_distribution(spark, out, "train")
+
+
+@register("balanced_task_sets", with_kept(f"""
+, t AS (SELECT 'app' AS task, path, packet_no, {_APP} AS label FROM kept
+        UNION ALL SELECT 'traffic', path, packet_no, {_TRAFFIC} FROM kept),
+s AS (SELECT task, path, packet_no, label, {test_sql('path', 'packet_no')} AS is_test,
+             row_number() OVER (PARTITION BY task, label, {test_sql('path', 'packet_no')}
+                                ORDER BY {h1_sql('path', 'packet_no')}, {h2_sql('path', 'packet_no')}, path, packet_no) AS rn FROM t WHERE label IS NOT NULL),
+m AS (SELECT task, min(n) AS least FROM (SELECT task, label, count(*) AS n FROM s WHERE NOT is_test GROUP BY 1, 2) GROUP BY task)
+SELECT task, CASE WHEN is_test THEN 'test' ELSE 'train' END AS split, CAST(label AS BIGINT) AS label, count(*) AS n,
+       CAST(sum(packet_no) AS BIGINT) AS packet_sum
+FROM s JOIN m USING (task) WHERE is_test OR rn <= least GROUP BY 1, 2, 3"""))
+def balanced_task_sets(spark, sf):
+    """Both tasks' sets from stored samples, the train sides cut to their smallest class."""
+    stored = shared_dir(spark, "samples")
+    FE.preprocess(captures_from_events(spark, sf), as_bytes=True).write.parquet(stored)
+    samples = spark.read.parquet(stored)
+    parts = [B.task_sets(samples, col, ["path", "packet_no"], 0.2, under_sampling=True).withColumn("task", F.lit(t)) for t, col in TASKS.items()]
+    return parts[0].unionByName(parts[1]).groupBy("task", "split", "label").agg(
+        F.count("*").alias("n"), F.sum("packet_no").cast("bigint").alias("packet_sum"))

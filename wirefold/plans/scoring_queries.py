@@ -221,9 +221,9 @@ def _packet_model(spark, sf, caps):
     """Stored task sets -> train -> save -> load, at preset filters."""
     stored = shared_dir(spark, "samples")
     FE.preprocess(caps, as_bytes=True).write.parquet(stored)
-    sets = B.build_task_sets(spark.read.parquet(stored), "traffic_label", shared_dir(spark, "task-set"), ["path", "packet_no"])
+    sets = B.build_task_sets(spark.read.parquet(stored), "traffic_label", shared_dir(spark, "task-set"), ["path", "packet_no"], as_bytes=True)
     train = spark.read.parquet(sets).where("split = 'train'")
-    model = MO.train(train, "traffic", "resnet", head="logistic")
+    model = MO.train(train, "traffic", "resnet", head="logistic", num_classes=N_TRAFFIC)
     return MO.load_model(MO.save_model(model, shared_dir(spark, "model"))), sets
 
 
@@ -232,7 +232,7 @@ def score_packets(spark, sf):
     """Every kept packet scored once by a model trained on the stored task set."""
     caps = captures_from_events(spark, sf)
     model, _ = _packet_model(spark, sf, caps)
-    scored = SC.score_packets(FE.to_features(C.decode_packets(caps)), model)
+    scored = SC.score_packets(FE.feature_bytes(C.decode_packets(caps)).select("path", "packet_no", "fbytes"), model)
     return scored.select("path", "packet_no", F.col("prediction").between(0, N_TRAFFIC - 1).alias("in_range"))
 
 
