@@ -47,9 +47,10 @@ _U = np.uint64
 
 def _frequent_pairs(seq: np.ndarray, among: np.ndarray, min_count: int) -> tuple[np.ndarray, ...]:
     """(positions among the given ones of pairs that occur ``min_count`` times or more there, which pair each is, the pairs, their counts)."""
-    code = seq[among].astype(np.uint64)
+    whole = len(among) == len(seq) - 1
+    code = (seq[:-1] if whole else seq[among]).astype(np.uint64)
     code <<= _U(32)
-    code |= seq[among + 1]
+    code |= seq[1:] if whole else seq[among + 1]
     slot = (code * _U(0x9E3779B97F4A7C15) >> _U(64 - _SLOT_BITS)).astype(np.int32)
     hot = np.flatnonzero((np.bincount(slot, minlength=1 << _SLOT_BITS) >= min_count)[slot])  # no frequent pair is missed, a few others come along
     pair, which, times = np.unique(code[hot], return_inverse=True, return_counts=True)
@@ -86,7 +87,7 @@ def compress(ids: np.ndarray, min_count: int = MIN_PAIR_COUNT) -> tuple[np.ndarr
     seq = ids.astype(np.uint32)
     first = int(seq.max()) + 1 if len(seq) else 0
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
-    among = np.arange(len(seq) - 1)
+    among = np.arange(max(0, len(seq) - 1))
     while len(among) >= min_count:
         at, which, pair, times = _frequent_pairs(seq, among, min_count)
         if not len(at):
@@ -168,14 +169,13 @@ class Block:
         if not len(self.rules):
             return self.symbols.astype(np.uint32)
         opened = expand(np.arange(self.first, self.first + len(self.rules)), self.rules, self.first)
-        width = np.diff(self.symbol_starts)
-        rule = np.maximum(self.symbols.astype(np.int64) - self.first, 0)
-        start = np.where(self.symbols >= self.first, (np.cumsum(self.length, dtype=np.int64) - self.length)[rule], 0)
-        out = np.repeat(self.symbols.astype(np.uint32), width)
-        inner = np.repeat(self.symbols >= self.first, width)
-        at = np.repeat(start - self.symbol_starts[:-1], width) + np.arange(len(out))
-        out[inner] = opened[at[inner]]
-        return out
+        table = np.concatenate([opened, self.symbols.astype(np.uint32)])  # a symbol that is an id stands for itself
+        rule = self.symbols.astype(np.int64) - self.first
+        start = np.where(rule >= 0, (np.cumsum(self.length, dtype=np.int64) - self.length)[np.maximum(rule, 0)], len(opened) + np.arange(len(rule)))
+        shift = (start - self.symbol_starts[:-1]).astype(np.int32)
+        at = np.repeat(shift, np.diff(self.symbol_starts))
+        at += np.arange(len(at), dtype=np.int32)
+        return table[at]
 
     def range(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start:stop`` of the block; only the symbols that cover them are expanded."""
@@ -251,45 +251,63 @@ def _slices(texts: pa.Array, most: int):
 
 
 class _Known:
-    """Ids of pieces of text by 128-bit hash: sorted arrays, the most used half stays when they are full."""
+    """Ids of pieces of text by 128-bit hash: an open hash table in arrays; the most used half stays when it is full."""
 
     def __init__(self):
-        self.key = np.zeros(0, np.uint64)
-        self.check, self.start, self.size, self.hits = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int32, np.int64))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots = np.full(1 << 16, -1, np.int32)
+        self.key, self.check, self.start, self.size, self.hits = (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int32, np.int32))
         self.ids = np.zeros(0, np.uint32)
 
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def _slot(self, key: np.ndarray, step: int) -> np.ndarray:
+        return ((key + _U(step)) & _U(len(self.slots) - 1)).astype(np.int64)
+
     def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Place of each piece, -1 if it isn't known."""
+        out = np.full(len(key), -1)
         if not len(self.key):
-            return np.full(len(key), -1)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where((self.key[at] == key) & (self.check[at] == check), at, -1)
+            return out
+        place = self.slots[self._slot(key, 0)]
+        same = (self.key[place] == key) & (self.check[place] == check) & (place >= 0)
+        out[same] = place[same]
+        todo, step = np.flatnonzero(~same & (place >= 0)), 1
+        while len(todo):  # the slot holds another piece: on to the next one, until a free one
+            place = self.slots[self._slot(key[todo], step)]
+            same = (self.key[place] == key[todo]) & (self.check[place] == check[todo]) & (place >= 0)
+            out[todo[same]] = place[same]
+            todo, step = todo[~same & (place >= 0)], step + 1
+        return out
 
     def add(self, key: np.ndarray, check: np.ndarray, ids: list[list[int]]) -> None:
-        """Add pieces that aren't known; a piece whose first hash is taken by another one is left out."""
-        order = np.argsort(key, kind="stable")
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = key[order][1:] != key[order][:-1]
-        order = order[fresh]
-        place = np.searchsorted(self.key, key[order])
-        if len(self.key):
-            free = self.key[np.minimum(place, len(self.key) - 1)] != key[order]
-            order, place = order[free], place[free]
-        size = np.array([len(ids[i]) for i in order.tolist()], np.int32)
-        start = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.array([x for i in order.tolist() for x in ids[i]], np.uint32)])
-        for name, values in (("key", key[order]), ("check", check[order]), ("start", start), ("size", size), ("hits", np.zeros(len(order), np.int64))):
-            setattr(self, name, np.insert(getattr(self, name), place, values))
+        """Add distinct pieces that aren't known."""
+        n = len(self.key)
+        size = np.array([len(x) for x in ids], np.int32)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size, dtype=np.int64) - size])
+        self.ids = np.concatenate([self.ids, np.array([x for i in ids for x in i], np.uint32)])
+        self.key, self.check, self.size = (np.concatenate(x) for x in ((self.key, key), (self.check, check), (self.size, size)))
+        self.hits = np.concatenate([self.hits, np.zeros(len(key), np.int32)])
+        if 2 * len(self.key) > len(self.slots):
+            self.slots, n = np.full(4 * len(self.slots) if 4 * len(self.key) > len(self.slots) else len(self.slots), -1, np.int32), 0
+        todo, step = np.arange(n, len(self.key)), 0
+        while len(todo):
+            at = self._slot(self.key[todo], step)
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]  # of several that want one slot, one gets it
+            todo, step = todo[self.slots[at] != todo], step + 1
 
     def shrink(self, most: int) -> None:
         if len(self.key) <= most:
             return
         keep = np.sort(np.argsort(-self.hits, kind="stable")[:most // 2])
-        self.ids = self.gather(keep)
-        for name in ("key", "check", "size"):
-            setattr(self, name, getattr(self, name)[keep])
-        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
-        self.hits = np.zeros(len(keep), np.int64)
+        key, check, size, ids = self.key[keep], self.check[keep], self.size[keep], self.gather(keep)
+        self._clear()
+        ends = np.cumsum(size)
+        self.add(key, check, [ids[a:b] for a, b in zip(ends - size, ends)])
 
     def gather(self, at: np.ndarray) -> np.ndarray:
         """The ids of the pieces at ``at``, one after the other."""
@@ -386,16 +404,21 @@ class Encoder:
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of texts that may be cut."""
-        gap = (data == 0x20) | (data == 0x0A)
         start, end = ts.word_bounds(data, offsets, _NO_GAP)
         before = np.where(start > 0, data[np.maximum(start, 1) - 1], 0)
-        before[np.isin(start, offsets)] = 0  # the first piece of a text
+        at = np.searchsorted(start, offsets[:-1])
+        at = at[at < len(start)]
+        before[at[np.isin(start[at], offsets[:-1])]] = 0  # the first piece of a text
         spaced, fed = before == 0x20, before == 0x0A
         # Punctuation behind letters is a piece of its own.
-        other = np.flatnonzero(~_PUNCTUATION[data])
-        last = np.searchsorted(other, end)
-        stem = np.where((last > 0) & (other[np.maximum(last, 1) - 1] >= start), other[np.maximum(last, 1) - 1] + 1, start) if len(other) else start
-        strange = np.concatenate([[0], np.cumsum(_odd_letters(data))])
+        stem = end.copy()
+        tail = np.arange(len(end))
+        while len(tail):
+            tail = tail[stem[tail] > start[tail]]
+            tail = tail[_PUNCTUATION[data[stem[tail] - 1]]]
+            stem[tail] -= 1
+        strange = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(_odd_letters(data), out=strange[1:])
         letters = (stem > start) & (strange[stem] == strange[start])
         parted = letters & (stem < end)
         n = 1 + parted
@@ -407,22 +430,19 @@ class Encoder:
         hi = np.where(parted[piece] & ~second, stem[piece], end[piece])
         spaced, fed, letters = spaced[piece] & ~second, fed[piece] & ~second, letters[piece] & ~second
         key, check = _hashes(data, lo, hi, spaced, self._powers)
-        distinct, one, of = np.unique(key, return_index=True, return_inverse=True)
-        clash = np.flatnonzero(check != check[one][of])  # pieces that share the first hash with another one
-        if len(clash):
-            return self._whole([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])])
-        place = self.known.find(distinct, check[one])
-        new = np.flatnonzero(place < 0)
+        at = self.known.find(key, check)
+        new = np.flatnonzero(at < 0)
         if len(new):
-            first = one[new]
+            order = np.lexsort((check[new], key[new]))
+            k, c = key[new][order], check[new][order]
+            distinct = np.ones(len(new), bool)
+            distinct[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+            first = new[order[distinct]]
             raw = data.tobytes()
             found = [(b" " if s else b"") + raw[a:b] for a, b, s in zip(lo[first].tolist(), hi[first].tolist(), spaced[first].tolist())]
-            self.known.add(distinct[new], check[first], self._encode_pieces(found, letters[first]))
-            place = self.known.find(distinct, check[one])
-            if (place < 0).any():  # a remembered piece has the same first hash
-                return self._whole([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])])
-        self.known.hits[place] += np.bincount(of, minlength=len(place))
-        at = place[of]
+            self.known.add(key[first], check[first], self._encode_pieces(found, letters[first]))
+            at[new] = self.known.find(key[new], check[new])
+        self.known.hits[at] += 1  # once per piece of text and call, which is enough to tell the used ones
         size = self.known.size[at].astype(np.int64) + fed
         ends = np.cumsum(size)
         ids = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
