@@ -96,6 +96,28 @@ def test_cache_bound_keeps_results(monkeypatch):
         assert len(enc.known) <= 4
 
 
+def test_table_of_pieces_grows_and_shrinks():
+    rng = np.random.default_rng(7)
+    known, all_keys, ids = T._Known(), np.zeros(0, np.uint64), {}
+    for n in (10, 200_000, 5, 60_000):
+        key = rng.integers(0, 2**64, n, dtype=np.uint64)
+        key[::7] &= np.uint64(0xFFFF)  # many want the same slots
+        key = np.setdiff1d(key, all_keys)
+        known.add(key, key ^ np.uint64(5), [[int(k) % 1000] * (int(k) % 3) for k in key])
+        all_keys = np.concatenate([all_keys, key])
+        at = known.find(all_keys, all_keys ^ np.uint64(5))
+        assert (known.key[at] == all_keys).all() and 2 * len(known) <= len(known.slots)
+        assert (known.find(all_keys, all_keys) < 0).all() and (known.find(rng.integers(0, 2**64, 99, dtype=np.uint64), np.zeros(99, np.uint64)) < 0).all()
+    known.hits[:] = 1
+    known.hits[:1000] = 9
+    best = known.key[:1000].copy()
+    known.shrink(100_000)
+    assert len(known) == 50_000 and (known.find(best, best ^ np.uint64(5)) >= 0).all()
+    for k in best[:50]:
+        at = known.find(np.array([k]), np.array([k ^ np.uint64(5)]))
+        assert known.gather(at).tolist() == [int(k) % 1000] * (int(k) % 3)
+
+
 def test_pairs_are_replaced_until_none_is_frequent():
     rng = np.random.default_rng(3)
     passage = rng.integers(0, 50_000, 500)

@@ -292,7 +292,7 @@ class _Known:
         self.key, self.check, self.size = (np.concatenate(x) for x in ((self.key, key), (self.check, check), (self.size, size)))
         self.hits = np.concatenate([self.hits, np.zeros(len(key), np.int32)])
         if 2 * len(self.key) > len(self.slots):
-            self.slots, n = np.full(4 * len(self.slots) if 4 * len(self.key) > len(self.slots) else len(self.slots), -1, np.int32), 0
+            self.slots, n = np.full(1 << (4 * len(self.key)).bit_length(), -1, np.int32), 0
         todo, step = np.arange(n, len(self.key)), 0
         while len(todo):
             at = self._slot(self.key[todo], step)
