@@ -161,3 +161,24 @@ def test_walk_ends_on_any_bytes():
     linktypes = np.array([rng.choice([1, 1, 1, 101, 113, 276, 0, 999]) for _ in packets[:-1]] + [101])
     out = header_arrays(pa.array(packets, pa.binary()), linktypes)
     assert len(out) == len(HDR_FIELDS) and all(len(a) == len(packets) for a in out)
+
+
+def test_vectors_stay_in_one_python_step(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"\x00\x07\x00\xff")), (2, None), (3, bytearray())], "k int, b binary")
+    sparse = rows.select("k", P.byte_vector("b", 6).alias("v")).select("k", P.to_sparse("v").alias("s"))
+    digest = P.with_digest(sparse.select("k", P.to_dense("s", 6).alias("v")), "v")
+    plan = digest._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, digest.collect())) == [(1, 6, 2, 262, 2 * 7 + 4 * 255), (2, None, None, None, None), (3, 6, 0, 0, 0)]
+    beyond = spark.createDataFrame([([(1, 2.0), (4, 3.0)],), ([],), (None,)], "s array<struct<i:int,v:double>>")
+    assert [r.d for r in beyond.select(P.to_dense("s", 3).alias("d")).collect()] == [[0.0, 2.0, 0.0, 0.0, 3.0], [0.0] * 3, None]
+    holes = spark.createDataFrame([([1.0, None, 0.0, 5.0],)], "v array<double>")
+    assert [tuple(e) for e in holes.select(P.to_sparse("v").alias("s")).first().s] == [(0, 1.0), (3, 5.0)]
+
+
+def test_frames_are_built_behind_the_only_shuffle(spark):
+    from tables import SF_SMALL
+    from wirefold.sources.synthetic import captures_from_events
+
+    plan = captures_from_events(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "frame_hex" not in plan[plan.index("Exchange"):]
