@@ -115,9 +115,8 @@ def _u32(expr: str, little: str) -> str:
     return f"(CASE WHEN {little} THEN {le} ELSE {h} END)"
 
 
-def record_hex_sql() -> str:
-    """Record header (sec, usec or nsec, caplen, wirelen) in the capture's byte order + frame, as hex."""
-    frame = frame_hex_sql()
+def record_hex_sql(frame: str) -> str:
+    """Record header (sec, usec or nsec, caplen, wirelen) in the capture's byte order + the frame of column ``frame``, as hex."""
     flen = f"(length({frame}) DIV 2)"
     little = f"(user_id % {len(FORMATS)} = 1)"
     frac = f"(ts_us % 1000000) * (CASE WHEN user_id % {len(FORMATS)} = 2 THEN 1000 ELSE 1 END)"
@@ -129,13 +128,18 @@ def record_hex_sql() -> str:
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event with its frame hex and capture key."""
-    ev = read_table(spark, sf_dir, "events").selectExpr(*frame_columns_sql())
+    # The events of a capture meet before their frames are built: rows are smaller than frames, and a table in one
+    # file is read by few tasks.  Grouping by capture needs no further shuffle.
+    ev = read_table(spark, sf_dir, "events").select("*", F.expr(f"event_id DIV {RECORDS_PER_CAPTURE} AS chunk")).repartition("user_id", "chunk")
+    # The frame is a column of its own: the record header reads its length several times.
+    ev = ev.selectExpr(*frame_columns_sql(), "chunk").selectExpr(
+        "event_id", "user_id", "event_type", "ts", "ts_us", "chunk", f"{frame_hex_sql()} AS frame_hex")
     prefixes = "array(" + ", ".join(f"'{p}'" for p in PREFIXES) + ")"
     return ev.selectExpr(
         "event_id", "user_id", "event_type", "ts",
         f"element_at({prefixes}, CAST(user_id % {len(PREFIXES)} AS INT) + 1) AS prefix",
-        f"event_id DIV {RECORDS_PER_CAPTURE} AS chunk",
-        f"{record_hex_sql()} AS rec_hex",
+        "chunk",
+        f"{record_hex_sql('frame_hex')} AS rec_hex",
     )
 
 
