@@ -71,3 +71,24 @@ def test_stream_follows_files_as_they_grow(spark, tmp_path):
         assert all(r.seq == k for r in labels.values())
     assert {n: (r.n_records, r.n_packets, r.prediction) for n, r in labels.items()} == {n: whole(c) for n, c in files.items()}
     assert seen == sorted(seen) and seen[0] < seen[-1] == sum(5 * i for i in range(5))
+
+
+def test_captures_of_a_key_are_scored_together(spark, tmp_path):
+    from wirefold.streaming.capture_stream import run_until_done
+
+    rng = random.Random(11)
+    files = {f"c{i}": capture([rng.randbytes(rng.randint(0, 120)) for _ in range(i % 9)], linktype=1 + 100 * (i % 2)) for i in range(40)}
+    folder, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(packets, linktype, by_size=by_size):
+        calls.add(1)
+        return by_size(packets, linktype)
+
+    for k in (1, 0):  # the first half comes last
+        rows = [(n, k, bytearray(c[len(c) * k // 2:len(c) * (k + 1) // 2])) for n, c in files.items()]
+        spark.createDataFrame(rows, G.PIECES).coalesce(1).write.mode("append").parquet(folder)
+        run_until_done(G.label_growing_captures(spark, folder, out, ckpt, counted, 4, "traffic", keys=3))
+    labels = G.newest_labels(spark.read.parquet(out)).collect()
+    assert {r.path: (r.n_records, r.n_packets, r.prediction) for r in labels} == {n: whole(c) for n, c in files.items()}
+    assert calls.value <= 2 * 3  # both link types of each key, once
