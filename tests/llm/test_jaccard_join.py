@@ -141,3 +141,59 @@ def test_copies_of_reused_ids_stay(spark):
     docs = spark.createDataFrame([(1, a), (5, a), (5, b), (7, near), (None, a)], "doc_id long, text string")
     got = sorted((tuple(r) for r in J.jaccard_components(docs).collect()), key=repr)
     assert got == brute_force([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_passages_that_documents_share_make_no_large_cluster(spark, monkeypatch):
+    """Every document has passages of its neighbours: tied all along, but only near copies are compared as sets."""
+    passage = [" ".join(f"p{i}x{j}" for j in range(100)) for i in range(304)]
+    rows = [(i, " ".join(passage[i:i + 4])) for i in range(300)]
+    rows += [(1000 + i, rows[i][1].replace(f"p{i}x30 ", "")) for i in range(0, 300, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    compared = []
+    monkeypatch.setattr(J, "LOOSE_ROWS", 20, raising=False)
+
+    def spy(docs, classes, clusters, *args, real=J.verified_links):
+        compared.append(sorted(r["count"] for r in clusters.groupBy("root").count().collect()))
+        return real(docs, classes, clusters, *args)
+
+    monkeypatch.setattr(J, "verified_links", spy)
+    got = sorted((tuple(r) for r in J.jaccard_components(docs).collect()), key=repr)
+    assert len(compared[0]) >= 10 and compared[0][-1] <= 20 and got == brute_force(rows)
+
+
+def test_sketched_clusters_do_not_change_the_result(docs, monkeypatch):
+    want = brute_force([(r.doc_id, r.text or "") for r in docs.collect()])
+    monkeypatch.setattr(J, "LOOSE_ROWS", 1)
+    for rows in (1 << 15, 2):
+        monkeypatch.setattr(J, "SKETCH_ROWS", rows)
+        assert sorted((tuple(r) for r in J.jaccard_components(docs).collect()), key=repr) == want
+
+
+def test_near_links_hold_all_linked_pairs():
+    rng = np.random.default_rng(3)
+    sets = []
+    for size in (1, 2, 3, 5, 8, 15, 16, 17, 21, 60, 64, 66, 85, 300, 500, 520, 9000):
+        for _ in range(4):
+            a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+            drop = J._max_diff(size) // 2
+            sets += [a, np.unique(np.concatenate([a[drop:], rng.integers(0, 2**64, drop, dtype=np.uint64)])), a[J._max_diff(size) // 2:]]
+    first = np.cumsum([0, *map(len, sets)])
+    links = {}
+    rows = {}
+    for band, guest, of, bits in J.set_sketches(np.concatenate(sets), first):
+        rows.setdefault(band, []).extend((int(i), guest, b) for i, b in zip(of, bits))
+    for band, held in rows.items():
+        ids, guest = (np.array(x) for x in zip(*((i, g) for i, g, _ in held)))
+        bits = np.stack([b for *_, b in held]).view(np.uint64)
+        n = np.array([len(sets[i]) for i in ids])
+        for cross in (False, True):
+            side = (ids % 2).astype(np.int8)
+            links.setdefault(cross, []).extend(J._near_links(ids, n, guest, side, bits, cross))
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if J._similar(sets[i], sets[j])]
+    for cross, found in links.items():
+        low = list(range(len(sets)))
+        for _ in sets:
+            for i, j in found:
+                low[i] = low[j] = min(low[i], low[j])
+        assert all(low[i] == low[j] for i, j in linked if not cross or (i - j) % 2)
+    assert len(linked) > len(sets) // 2 and len(links[False]) < 2 * len(sets)

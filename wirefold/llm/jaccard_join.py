@@ -22,12 +22,16 @@ size.  The steps:
    many sets of a block hold is one entry of the block, so that none is hot.
 3. *Clusters.*  In each signature group all members are tied to the smallest
    one, and the connected components of that star graph are the clusters: all
-   linked pairs lie within one.  A cluster is cut into chunks of bounded
-   size, and every pair of chunks is one unit of work.
-4. *Verification.*  In a unit a bit sketch (each shingle flips one bit; the
-   Hamming distance is a lower bound of the symmetric difference) discards
-   most pairs, the rest are compared exactly; pairs that are connected
-   already are skipped, and only the links of a spanning forest are emitted.
+   linked pairs lie within one.  Passages that documents happen to share tie
+   ever more of them together as the corpus grows, so in a large cluster bit
+   sketches are compared first (each shingle flips one bit; the Hamming distance
+   is a lower bound of the symmetric difference): sets that may be linked by
+   their sketches are tied anew, and the components of that are the clusters.
+   A cluster is cut into chunks of bounded size, and every pair of chunks is
+   one unit of work.
+4. *Verification.*  In a unit a bit sketch discards most pairs, the rest are
+   compared exactly; pairs that are connected already are skipped, and only
+   the links of a spanning forest are emitted.
 
 No link between different sets is lost and no pair list is ever built.  Sets
 with equal members form one class; the documents of a class share its result.
@@ -48,13 +52,16 @@ from wirefold.llm.common import connected_components, from_planes, id_bitmap, in
 SHINGLE_WORDS = 5
 THRESHOLD = (75, 100)  # similarity >= 75 / 100, compared in integers
 PER_BUCKET = 2.5  # shingles per bucket at the upper end of a size band
-CHUNK_ROWS = 4096  # documents per chunk of a cluster
-CHUNK_SHINGLES = 1 << 22  # shingles per chunk of a cluster (32 MB)
+CHUNK_ROWS = 2048  # documents per chunk of a cluster
+CHUNK_SHINGLES = 1 << 21  # shingles per chunk of a cluster (16 MB)
+LOOSE_ROWS = 256  # documents of a cluster whose sketches are compared before its sets are sent
+SKETCH_ROWS = 1 << 15  # sketches per chunk of such a cluster
+SKETCH_BYTES = 1 << 24  # bytes of them
 BLOCK_SIGNATURES = 1 << 20  # signatures that are sorted and sent together
 PART_SIGNATURES = 1 << 21  # signatures per partition of the hash space, about
 COMMON = 16  # sets of a block that share a signature which is then one entry
 SPARE_BITS = 8  # shortened signatures: two different ones are equal with probability 2**-8 at most
-BROADCAST_COPIES = 1_000_000  # ids of copies that are broadcast (8 MB); beyond, they are joined by a shuffle
+BROADCAST_COPIES = 1_000_000  # ids of copies and of linked documents that are broadcast (8 MB); beyond, they are joined by a shuffle
 SKETCH_WORDS = 512  # widest bit sketch in 64-bit words; sets beyond 8,192 shingles are filtered less sharply
 _U = np.uint64
 _C = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
@@ -343,6 +350,130 @@ def first_texts(docs: DataFrame, full: DataFrame, classes: DataFrame, id_col: st
     return docs.join(copies, docs[id_col] == copies["_copy"], "left_anti")
 
 
+# ---- large clusters ----------------------------------------------------------
+# Sketches are as wide as their size band (powers of two) wants, so that all of a band can be compared.  A set that may
+# be the larger partner of one of the next smaller band is a guest there: linked sets meet in the smaller one's band.
+
+def _sketch_log2(band: int) -> int:
+    """Bits of a band's sketches as a power of two: four to eight per shingle, up to ``SKETCH_WORDS``."""
+    return min(max(band + 3, 6), (SKETCH_WORDS * 64).bit_length() - 1)
+
+
+def set_sketches(h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+    """(band, guests, sets, a row of bytes per set) of all sets."""
+    num, den = THRESHOLD
+    size = np.diff(first)
+    band = np.frexp(size.astype(np.float64))[1] - 1
+    for guest in (False, True):
+        use = size > 0
+        if guest:
+            use &= (band > 0) & (size * num < (np.int64(1) << np.maximum(band, 0)) * den)
+        for v in np.unique(band[use]).tolist():
+            log2 = _sketch_log2(v - guest)
+            of = np.flatnonzero(use & (band == v))
+            step = max(1, (1 << 21) >> log2)
+            for i in range(0, len(of), step):
+                sets = of[i:i + step]
+                n = size[sets]
+                at = np.arange(n.sum()) + np.repeat(first[:-1][sets] - (np.cumsum(n) - n), n)
+                bit = ((h[at] & _U(0xFFFFFFFF)) >> _U(32 - log2)).astype(np.int64) + (np.repeat(np.arange(len(sets)), n) << log2)
+                odd = (np.bincount(bit, minlength=len(sets) << log2) & 1).astype(np.uint8)
+                yield v - guest, guest, sets, np.packbits(odd).reshape(len(sets), -1)
+
+
+def _near_links(ids: np.ndarray, n: np.ndarray, guest: np.ndarray, side: np.ndarray, bits: np.ndarray, cross: bool) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs of a unit that may be linked by their sketches; ``cross``: only between its two sides."""
+    num, den = THRESHOLD
+    words = bits.shape[1]
+    wide = max(1, words // 4)
+    folded = np.bitwise_xor.reduce(bits.reshape(len(bits), words // wide, wide), axis=1)  # a sketch too, which discards nearly all
+    parts = []
+    for s in (0, 1) if cross else (0,):
+        rows = np.flatnonzero(side == s) if cross else np.arange(len(ids))
+        rows = rows[np.argsort(n[rows], kind="stable")]
+        parts.append((rows, n[rows].astype(np.int64), np.ascontiguousarray(folded[rows].T)))
+    comp = np.arange(len(ids))
+    for x, y in ((0, 1), (1, 0)) if cross else ((0, 0),):
+        rows, sizes, narrow = parts[x]
+        others, other_sizes, other_narrow = parts[y]
+        for i in range(int((~guest[rows]).sum())):  # guests are larger than all others
+            lo = int(np.searchsorted(other_sizes, sizes[i], "right" if x else "left")) if cross else i + 1
+            hi = int(np.searchsorted(other_sizes, sizes[i] * den // num, "right"))
+            at = rows[i]
+            if hi <= lo or not (free := comp[others[lo:hi]] != comp[at]).any():
+                continue
+            most = (other_sizes[lo:hi] + sizes[i]) * (den - num) // (den + num)
+            distance = np.zeros(hi - lo, np.int32)
+            for w in range(wide):
+                distance += np.bitwise_count(other_narrow[w, lo:hi] ^ narrow[w, i])
+            near = np.flatnonzero(free & (distance <= most))
+            if len(near):
+                distance = np.bitwise_count(bits[others[lo + near]] ^ bits[at]).sum(axis=1, dtype=np.int64)
+                for j in others[lo + near[distance <= most[near]]]:
+                    if comp[j] != comp[at]:
+                        comp[comp == comp[j]] = comp[at]
+                        yield int(ids[at]), int(ids[j])
+
+
+def close_clusters(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   k: int = SHINGLE_WORDS) -> DataFrame:
+    """``clusters(node, root)``, those beyond ``LOOSE_ROWS`` split where no two sets may be linked by their sketches."""
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > LOOSE_ROWS).select("root")
+    loose = materialize(clusters.join(sizes, "root").join(classes, F.col("node") == F.col("class_id")).select("root", "class_id", "rep"), "loose")
+    if loose.isEmpty():
+        return clusters
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(loose, F.col("rep")))
+
+    def sketch(batches):
+        seen: set[int] = set()
+        for b in batches:
+            b = b.filter(pa.array(in_bitmap(bitmap.value, b.column("h").to_numpy())))
+            for h, first, _ in text_sets(b.column("text"), k):
+                cls, size = _class_ids(h, first), np.diff(first)
+                new = np.zeros(len(cls), bool)
+                for i, c in enumerate(cls.tolist()):
+                    if size[i] and c not in seen:
+                        new[i] = True
+                        if len(seen) < 1_000_000:
+                            seen.add(c)
+                h, cls, size = h[np.repeat(new, size)], cls[new], size[new]
+                for band, guest, sets, bits in set_sketches(h, np.cumsum(np.concatenate([[0], size]))):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cls[sets]), pa.array(np.full(len(sets), band, np.int32)), pa.array(np.full(len(sets), guest)),
+                         pa.array(size[sets]), pa.array([row.tobytes() for row in bits], pa.binary())],
+                        ["class_id", "band", "guest", "n", "bits"])
+
+    sketches = (
+        docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
+        .mapInArrow(sketch, "class_id long, band int, guest boolean, n long, bits binary")
+        .dropDuplicates(["class_id", "guest"])
+    )
+    rows = materialize(loose.select("root", "class_id").join(sketches, "class_id"), "sketches")
+    row_bytes = F.expr(f"shiftleft(1L, least(greatest(band + 3, 6), {_sketch_log2(99)}) - 3)")
+    # A row per large cluster and size band.
+    chunks = rows.groupBy("root", "band").agg(F.count("*").alias("rows"), F.bool_and("guest").alias("idle")).where("rows > 1 and not idle").select(
+        "root", "band", F.ceil(F.greatest(F.col("rows") / SKETCH_ROWS, F.col("rows") * row_bytes / SKETCH_BYTES)).cast("int").alias("chunks"))
+    units = (
+        rows.join(F.broadcast(chunks), ["root", "band"])
+        .withColumn("chunk", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("root", "band", "class_id", "guest", "n", "chunk", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "bits")
+    )
+
+    def compare(batches):
+        for unit in runs(batches, ["root", "band", "a", "b"]):
+            a, b = unit["a"][0].as_py(), unit["b"][0].as_py()
+            bits = np.frombuffer(b"".join(unit["bits"].to_pylist()), np.uint64).reshape(unit.num_rows, -1)
+            links = list(_near_links(unit["class_id"].to_numpy(), unit["n"].to_numpy(), unit["guest"].to_numpy(),
+                                     (unit["chunk"].to_numpy() != a).astype(np.int8), bits, a != b))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["src", "dst"])
+
+    near = units.repartition("root", "band", "a", "b").sortWithinPartitions("root", "band", "a", "b", "class_id").mapInArrow(
+        compare, "src long, dst long")
+    return clusters.join(loose.select("root").distinct(), "root", "left_anti").select("node", "root").unionByName(connected_components(near))
+
+
 # ---- verification ------------------------------------------------------------
 
 def _bit_sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -458,7 +589,7 @@ def class_links(docs: DataFrame, full: DataFrame, id_col: str = "doc_id", text_c
     firsts = first_texts(docs, full, classes, id_col)
     n_shingles = classes.agg(F.sum("n_shingles")).first()[0] or 0
     candidates = materialize(candidate_edges(firsts, n_shingles, text_col, k), "candidates")
-    clusters = connected_components(candidates)
+    clusters = close_clusters(firsts, classes, connected_components(candidates), id_col, text_col, k)
     return classes, materialize(verified_links(firsts, classes, clusters, id_col, text_col, k), "links")
 
 
@@ -489,6 +620,8 @@ def drop_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id or an empty set stay; rows that share the smallest id
     of their group all stay, as ids are taken to name documents.
     """
-    dropped = jaccard_components(docs, id_col, text_col, k).where(F.col("component_id") < F.col(id_col)).select(
-        F.col(id_col).alias("_dropped")).distinct()
+    dropped = materialize(jaccard_components(docs, id_col, text_col, k).where(F.col("component_id") < F.col(id_col)).select(
+        F.col(id_col).alias("_dropped")).distinct(), "dropped")
+    if dropped.count() <= BROADCAST_COPIES:  # else the texts are shuffled
+        dropped = F.broadcast(dropped)
     return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
