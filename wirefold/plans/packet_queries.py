@@ -35,8 +35,9 @@ SELECT prefix || '.' || user_id || '.' || chunk || '.pcap' AS name,
 FROM ev GROUP BY prefix, user_id, chunk"""))
 def capture_manifest(spark, sf):
     """Captures written as files, listed back with the ``binaryFile`` source."""
-    folder = FS.write_capture_files(captures_from_events(spark, sf), spark)
-    listed = C.capture_manifest(C.scan_captures(spark, folder, glob="*.pcap"))
+    caps = captures_from_events(spark, sf)
+    folder = FS.write_capture_files(caps, spark, folders=FS.folder_count(caps))
+    listed = C.capture_manifest(C.listed_captures(spark, FS.capture_folders(spark, folder), glob="*.pcap"))
     return listed.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirefold.functions.packet import HDR_FLAT_FIELDS, hdr_struct
+from wirefold.session import shared_dir
 from wirefold.sources.capture_format import MTU, format_error
+from wirefold.sources.files import listing_rounds
 from wirefold.sources.record_batches import decoded, gathered
 
 PACKET_FIELDS = [
@@ -49,9 +51,19 @@ def few_tasks(captures: DataFrame) -> DataFrame:
     return captures.coalesce(4 * captures.sparkSession.sparkContext.defaultParallelism)
 
 
+def listed_captures(spark: SparkSession, folders: list[str], glob: str | None = None) -> DataFrame:
+    """``(path, modificationTime, length)`` of every file of many folders, scanned a few folders at a time, each once, and written."""
+    out = shared_dir(spark, "listed")
+    columns = ["path", "modificationTime", "length"]
+    for part in listing_rounds(spark, folders):
+        found = few_tasks(scan_captures(spark, part, glob)).select(*columns)
+        found.write.mode("append").parquet(out)
+    return spark.read.schema(found.schema).parquet(out)
+
+
 def capture_manifest(captures: DataFrame) -> DataFrame:
     """File list without the bytes, ordered by name (display order only)."""
-    return captures.select("path", "modificationTime", "length").orderBy("path")
+    return captures.select("path", "modificationTime", "length").orderBy(F.element_at(F.split("path", "/"), -1), "path")
 
 
 # --- S3: format detection as column expressions -------------------------------------
